@@ -1,16 +1,20 @@
 """Per-key running and final counts over a batch.
 
-A key may hold a third of all rows, so no step gives one task all rows of a
-key: counts are combined before the shuffle, and numbering is done per
-``(key, span)``, where a span is a bounded stretch of the arrival order.
+A key may hold a third of all rows, so no step gives one task all rows of such
+a key: counts are combined before the shuffle, and a hot key is numbered in
+bounded stretches of the arrival order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN = 1 << 20
+HOT_ROWS = 1 << 20
+HOT_KEYS = 10_000
+WHOLE_KEY = -1
+FIRST_SPAN = -(1 << 63)
 RANGE_ROWS = 10_000
 
 
@@ -28,60 +32,84 @@ def merge_state(*states: DataFrame, key: str = "key") -> DataFrame:
     return final_count(merged, key, weight="n")
 
 
+def hot_keys(rows: DataFrame, key: str = "key", at_least: int = HOT_ROWS) -> list:
+    """The keys with more than ``at_least`` rows, the largest ``HOT_KEYS`` of them.
+
+    A key left out by that bound has at most one ``HOT_KEYS``-th of all rows.
+    """
+    counted = final_count(rows, key).filter(F.col("n") > at_least)
+    top = counted.orderBy(F.col("n").desc(), key).limit(HOT_KEYS)
+    return [row[key] for row in top.select(key).collect()]
+
+
 def running_count(
     rows: DataFrame,
     key: str = "key",
     seq: str | list[str] = "seq",
     initial: DataFrame | None = None,
     span: int = SPAN,
+    hot: list | None = None,
 ) -> DataFrame:
-    """Add ``n``: how often the key has been seen up to and with this row.
+    """Add ``n``: how often the key has been seen up to and with this row, on top
+    of its ``initial`` state ``(key, n)`` if there is one.
 
     ``seq`` names the arrival order, unique within a key; its first column is an
-    integer and is cut into stretches of ``span``. Rows are shuffled once, by
-    ``(key, span)``, and numbered there; the counts of the earlier spans of a
-    key, and its ``initial`` state ``(key, n)``, are prefix sums over one
-    row per ``(key, span)``. The sums come from the same shuffled rows.
+    integer. Rows are shuffled once. A key's rows are numbered in one task, but
+    for those of the ``hot`` keys (looked up by a count if not given): they are
+    cut into stretches of ``span`` in the arrival order, numbered per stretch, and
+    lifted by the count of the stretches before, a prefix sum over combined counts.
     """
     order = [seq] if isinstance(seq, str) else list(seq)
-    kind = rows.schema[key].dataType
-    # A NULL key is a group of its own, and the join below needs plain equality.
-    place = ["_key", "_null", "_span"]
-    keyed = rows.withColumns(
-        {
-            "_key": F.coalesce(F.col(key).cast("string"), F.lit("")),
-            "_null": F.col(key).isNull(),
-            "_span": F.floor(F.col(order[0]) / F.lit(span)),
-        }
-    ).drop(key)
-    spread = keyed.repartition(*place)
-    within = Window.partitionBy(*place).orderBy(*order)
-    numbered = spread.withColumn("_i", F.row_number().over(within))
-    # Counting a column that both branches need keeps their shuffles the same one.
-    totals = spread.groupBy(*place).agg(F.count(order[0]).alias("_c"))
-    earlier = (
-        Window.partitionBy("_key", "_null")
-        .orderBy("_span")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    if hot is None:
+        hot = hot_keys(rows, key)
+    if not hot and initial is None:
+        return running_count_by_window(rows, key, seq)
+
+    place = ["_key", "_span"]
+    is_hot = F.lit(False)
+    if hot:
+        is_hot = F.col("_key").isin(["" if k is None else f"={k}" for k in hot])
+    stretch = F.coalesce(F.expr(f"`{order[0]}` div {int(span)}L"), F.lit(FIRST_SPAN))
+    keyed = rows.withColumn("_key", _pack(F.col(key))).withColumn(
+        "_span", F.when(is_hot, stretch).otherwise(F.lit(WHOLE_KEY).cast("bigint"))
     )
-    offsets = totals.select(*place, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    # A hot key's offsets start from its state; any other key's offset is its state.
+    lifts = []
+    state = None
     if initial is not None:
-        state = initial.select(
-            F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"),
-            F.col(key).isNull().alias("_null"),
-            F.col("n").alias("_base"),
-        )
-        offsets = offsets.join(state, ["_key", "_null"], "left").select(
-            *place, (F.col("_before") + F.coalesce("_base", F.lit(0))).alias("_before")
-        )
+        state = initial.select(_pack(F.col(key)).alias("_key"), F.col("n").alias("_base"))
+        lifts.append(state.filter(~is_hot).select("_key", F.lit(WHOLE_KEY).cast("bigint").alias("_span"), "_base"))
+    if hot:
+        earlier = Window.partitionBy("_key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+        totals = keyed.filter(is_hot).groupBy(*place).agg(F.count(F.lit(1)).alias("_c"))
+        before = totals.select(*place, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_base"))
+        if state is not None:
+            started = state.filter(is_hot).withColumnRenamed("_base", "_start")
+            before = before.join(started, "_key", "left").select(
+                *place, (F.col("_base") + F.coalesce("_start", F.lit(0))).alias("_base")
+            )
+        lifts.append(before)
+    lift = lifts[0] if len(lifts) == 1 else lifts[0].unionByName(lifts[1])
+
+    within = Window.partitionBy(*place).orderBy(*order)
+    numbered = keyed.drop(key).withColumn("_i", F.row_number().over(within))
     others = [c for c in rows.columns if c != key]
-    return numbered.join(offsets, place).select(
+    return numbered.join(lift, place, "left").select(
         *others,
-        F.when(~F.col("_null"), F.col("_key").cast(kind)).alias(key),
-        (F.col("_before") + F.col("_i")).alias("n"),
+        _unpack(F.col("_key")).cast(rows.schema[key].dataType).alias(key),
+        (F.col("_i") + F.coalesce("_base", F.lit(0))).cast("bigint").alias("n"),
     )
 
 
+def _pack(key: Column) -> Column:
+    """The key as text that is never NULL, so a NULL key can be joined on too."""
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))
+
+
+def _unpack(packed: Column) -> Column:
+    return F.when(packed != "", F.substring(packed, F.lit(2), F.length(packed)))
+
+
 def running_count_by_window(rows: DataFrame, key: str = "key", seq: str | list[str] = "seq") -> DataFrame:
     """The same by one window per key; only for keys known to be small."""
     order = [seq] if isinstance(seq, str) else list(seq)

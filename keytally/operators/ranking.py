@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def largest(rows: DataFrame, group: str, name: str, size: str) -> DataFrame:
     """``(group, name, size)`` of the largest entry of each group.
 
-    Two hash aggregations: the first keeps one name per ``(group, size)``, which
-    leaves ``max_by`` over plain columns nothing to tie on. Comparing a struct
-    instead would sort all rows. Both combine before they shuffle.
+    The first aggregation keeps one name per ``(group, size)``, which leaves
+    ``max_by`` nothing to tie on. Both combine before they shuffle, and with a
+    numeric name both are hash aggregations, which ``max`` of a struct is not.
     """
     first_of_size = rows.groupBy(group, size).agg(F.min(name).alias(name))
     return first_of_size.groupBy(group).agg(

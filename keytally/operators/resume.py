@@ -10,9 +10,16 @@ from keytally.operators.counting import SPAN, final_count, merge_state, running_
 from keytally.operators.snapshots import snapshot_at
 
 
-def resume(snapshot: DataFrame, rows: DataFrame, key: str = "key", seq: str = "seq", span: int = SPAN) -> DataFrame:
+def resume(
+    snapshot: DataFrame,
+    rows: DataFrame,
+    key: str = "key",
+    seq: str = "seq",
+    span: int = SPAN,
+    hot: list | None = None,
+) -> DataFrame:
     """Running counts of new rows, each key starting from its value in the snapshot."""
-    return running_count(rows, key, seq, initial=snapshot, span=span)
+    return running_count(rows, key, seq, initial=snapshot, span=span, hot=hot)
 
 
 def state_after(snapshot: DataFrame, rows: DataFrame, key: str = "key") -> DataFrame:

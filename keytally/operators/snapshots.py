@@ -32,11 +32,14 @@ def last_record(snapshot: DataFrame, key: str = "key") -> DataFrame:
 
 
 def _edit_tail(snapshot: DataFrame, n: int, key: str, column: str, value: Column) -> DataFrame:
-    chosen = tail(snapshot, n, key).select(F.col(key).alias("_hit"), F.lit(True).alias("_chosen"))
+    # The mark is made from the value, so both sides need the same columns of the
+    # snapshot and share its shuffle where it is not a stored table yet.
+    mark = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    chosen = tail(snapshot, n, key).select(F.col(key).alias("_hit"), mark.alias("_mark"))
     if n <= BROADCAST_KEYS:
         chosen = F.broadcast(chosen)
     joined = snapshot.join(chosen, F.col(key).eqNullSafe(F.col("_hit")), "left")
-    new = F.when(F.col("_chosen"), value).otherwise(F.col(column))
+    new = F.when(F.col("_mark").isNotNull(), value).otherwise(F.col(column))
     return joined.withColumn(column, new.cast(snapshot.schema[column].dataType)).select(
         *snapshot.columns
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytally.functions import binary as b
@@ -35,9 +35,12 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return keyed_events(table(spark, sf, "events"))
 
 
-def _cut(events: DataFrame) -> Column:
-    """Four fifths of the way through the arrival order."""
-    return events.agg(F.expr("max(seq) * 8 div 10").alias("cut")).scalar()
+def _cut(events: DataFrame) -> int:
+    """Four fifths of the way through the arrival order.
+
+    Looked up first, so that the comparison reaches the parquet scan as a literal.
+    """
+    return events.agg(F.expr("max(seq) * 8 div 10").alias("cut")).first()["cut"]
 
 
 def _early(events: DataFrame) -> DataFrame:
@@ -96,13 +99,16 @@ def draw_words(spark, sf):
 
 
 def draw_from_vocab(spark, sf):
-    vocabulary = document_words(table(spark, sf, "documents")).select(F.col("key").alias("word"))
-    return words.draw_from(table(spark, sf, "events"), "event_id", vocabulary, SEED)
+    path = work_dir(spark, "vocabulary")
+    spoken = document_words(table(spark, sf, "documents")).select(F.col("key").alias("word"))
+    spoken.distinct().write.parquet(path)
+    return words.draw_from(table(spark, sf, "events"), "event_id", spark.read.parquet(path), SEED)
 
 
 def vocab(spark, sf):
-    drawn = counting.final_count(_draws(spark, sf), "word")
-    return words.vocabulary(spark, 3).join(drawn, "word", "left").select(
+    index = words.draw_index(F.col("event_id"), SEED, words.LETTERS**3)
+    drawn = counting.final_count(table(spark, sf, "events").select(index.alias("id")), "id")
+    return words.vocabulary(spark, 3).join(drawn, "id", "left").select(
         "id", "word", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ def combination(index: Column, length: int) -> Column:
     """The ``index``-th of the ``26**length`` combinations in lexical order."""
     letters = []
     for power in range(length - 1, -1, -1):
-        digit = F.floor(index / F.lit(LETTERS**power)) % LETTERS if power else index % LETTERS
+        digit = F.call_function("div", index, F.lit(LETTERS**power)) % LETTERS
         letters.append(F.char(digit + 97))
     return F.concat(*letters)
 
@@ -53,34 +55,28 @@ def draw_words(rows: DataFrame, row_id: str, seed: int, length: int = 3) -> Data
     return rows.select(F.col(row_id).alias("seq"), combination(index, length).alias("word"))
 
 
-def index_vocabulary(words: DataFrame, word: str = "word") -> DataFrame:
-    """Number the distinct words 0..n-1 in order of ``(bucket, word)``.
+def draw_from(rows: DataFrame, row_id: str, words: DataFrame, seed: int, word: str = "word") -> DataFrame:
+    """One word per row, drawn from any set of words; an empty set is an error.
 
-    The bucket is three hex digits of the word's MD5, so each of the 4,096
-    windows sorts its share, and the offsets are a table of 4,096 rows at most.
+    The distinct words are numbered 0..n-1 in order of ``(bucket, word)``. The
+    bucket is three hex digits of the word's MD5, so each of 4,096 windows sorts
+    its share, and where a bucket starts is a table of at most 4,096 rows.
+    ``words`` is read twice: pass a stored table if it is costly to compute.
     """
     entries = words.select(F.col(word).alias("word")).distinct().withColumn(
         "bucket", F.substring(F.md5("word"), 1, 3)
     )
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).select(
-        "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start")
+    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).orderBy("bucket").collect()
+    ends = list(accumulate(size["c"] for size in sizes))
+    if not ends:
+        raise ValueError("the vocabulary is empty")
+    starts = rows.sparkSession.createDataFrame(
+        [(size["bucket"], end - size["c"]) for size, end in zip(sizes, ends)], "bucket string, start bigint"
     )
     within = F.row_number().over(Window.partitionBy("bucket").orderBy("word"))
-    return (
-        entries.withColumn("i", within)
-        .join(F.broadcast(starts), "bucket")
-        .select((F.col("start") + F.col("i") - 1).alias("id"), "word")
-    )
-
-
-def draw_from(rows: DataFrame, row_id: str, words: DataFrame, seed: int, word: str = "word") -> DataFrame:
-    """One word per row, drawn from any set of words; an empty set is an error."""
-    indexed = index_vocabulary(words, word)
-    size = words.select(word).distinct().count()
-    if size == 0:
-        raise ValueError("the vocabulary is empty")
+    indexed = entries.withColumn("i", within).join(F.broadcast(starts), "bucket")
     draws = rows.select(
-        F.col(row_id).alias("seq"), draw_index(F.col(row_id), seed, size).alias("id")
+        F.col(row_id).alias("seq"), draw_index(F.col(row_id), seed, ends[-1]).alias("id")
     )
-    return draws.join(indexed, "id").select("seq", "word")
+    numbered = indexed.select((F.col("start") + F.col("i") - 1).alias("id"), "word")
+    return draws.join(numbered, "id").select("seq", "word")
