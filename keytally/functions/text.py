@@ -37,7 +37,7 @@ def has_suffix(path: Column, suffix: str = ".sst", is_directory: Column | None =
 
 def sanitize_hex(text: Column) -> Column:
     """Only the hex digits of ``text``, without an odd last one."""
-    digits = F.regexp_replace(text, "[^0-9a-fA-F]", "")
+    digits = F.regexp_replace(text, "[^0-9a-fA-F]+", "")
     return F.substring(digits, F.lit(1), F.length(digits) - F.length(digits) % 2)
 
 

@@ -110,25 +110,24 @@ def hex_dump(rows: DataFrame, id: str = "id", content: str = "content") -> DataF
     """``(id, offset, hex, ascii, line)``, 16 bytes a row; none for empty content."""
     starts = F.sequence(F.lit(0), F.length(content) - 1, F.lit(ROW))
     numbered = rows.filter(F.length(content) > 0).select(id, content, F.explode(starts).alias("offset"))
-    chunked = numbered.select(
-        id, "offset", F.substring(F.col(content), F.col("offset") + 1, F.lit(ROW)).alias("chunk")
+    chunk = F.substring(F.col(content), F.col("offset") + 1, F.lit(ROW))
+    cells = F.regexp_replace(F.lower(F.hex("chunk")), "(..)", "$1 ")
+    shown = numbered.select(id, "offset", chunk.alias("chunk")).select(
+        id, "offset", cells.alias("cells"), printable(F.col("chunk")).alias("ascii")
     )
-    return chunked.select(
+    return shown.select(
         id,
         "offset",
-        spaced_hex(F.col("chunk")).alias("hex"),
-        printable(F.col("chunk")).alias("ascii"),
-        dump_line(F.col("offset"), F.col("chunk")).alias("line"),
+        F.rtrim("cells").alias("hex"),
+        "ascii",
+        _dump_line(F.col("offset"), F.col("cells"), F.col("ascii")).alias("line"),
     )
 
 
-def dump_line(offset: Column, chunk: Column) -> Column:
+def _dump_line(offset: Column, cells: Column, text: Column) -> Column:
     """``00000010: 00 .. 07  08 .. 0f  |text|``, short rows filled with blanks."""
-    halves = [F.lower(F.hex(F.substring(chunk, start, 8))) for start in (1, 9)]
-    left, right = [F.rpad(F.regexp_replace(half, "(..)", "$1 "), 24, " ") for half in halves]
-    return F.concat(
-        offset_hex(offset), F.lit(": "), left, F.lit(" "), right, F.lit(" |"), printable(chunk), F.lit("|")
-    )
+    left, right = [F.rpad(F.substring(cells, start, 24), 24, " ") for start in (1, 25)]
+    return F.concat(offset_hex(offset), F.lit(": "), left, F.lit(" "), right, F.lit(" |"), text, F.lit("|"))
 
 
 def _context(rows: DataFrame, id: str, content: str, start: Column, stop: Column, whole_rows: bool, mark: str) -> DataFrame:

@@ -15,7 +15,14 @@ from keytally.operators.versions import SnapshotVersions
 from keytally.session import work_dir
 from keytally.sources import words
 from keytally.sources.files import dump_lines
-from keytally.sources.tables import document_words, keyed_events, page_bytes, table, table_stream
+from keytally.sources.tables import (
+    document_words,
+    keyed_events,
+    page_bytes,
+    table,
+    table_stream,
+    widen,
+)
 from keytally.streaming import arrivals, counts, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,12 +50,10 @@ def _cut(events: DataFrame) -> int:
     return events.agg(F.expr("max(seq) * 8 div 10").alias("cut")).first()["cut"]
 
 
-def _early(events: DataFrame) -> DataFrame:
-    return events.filter(F.col("seq") <= _cut(events))
-
-
-def _late(events: DataFrame) -> DataFrame:
-    return events.filter(F.col("seq") > _cut(events))
+def _split(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The events up to the cut, and those after it."""
+    cut = _cut(events)
+    return events.filter(F.col("seq") <= cut), events.filter(F.col("seq") > cut)
 
 
 def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,16 +174,20 @@ def edit_report(spark, sf):
 
 
 def resume_counts(spark, sf):
-    return resume.resume(_snapshot(spark, sf), _late(_events(spark, sf)))
+    early, late = _split(_events(spark, sf))
+    return resume.resume(counting.final_count(early), late)
 
 
 def resume_edited(spark, sf):
     events = _events(spark, sf)
-    return resume.snapshot_edit_resume(events, _cut(events), _late(events), snapshots.edit_last_n)
+    cut = _cut(events)
+    late = events.filter(F.col("seq") > cut)
+    return resume.snapshot_edit_resume(events, cut, late, snapshots.edit_last_n)
 
 
 def state_after_resume(spark, sf):
-    return resume.state_after(snapshots.edit_last_n(_snapshot(spark, sf)), _late(_events(spark, sf)))
+    early, late = _split(_events(spark, sf))
+    return resume.state_after(snapshots.edit_last_n(counting.final_count(early)), late)
 
 
 # Streams
@@ -216,10 +225,11 @@ def snapshot_metadata(spark, sf):
 def _two_drops(spark, sf, root):
     """Count the early events, drop the late ones into the same folder, restart."""
     events = _events(spark, sf)
-    _early(events).write.mode("append").parquet(f"{root}/in")
+    early, late = _split(events)
+    early.write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
     counts.run(counts.stream_counts(stream), f"{root}/out", f"{root}/checkpoint")
-    _late(events).write.mode("append").parquet(f"{root}/in")
+    late.write.mode("append").parquet(f"{root}/in")
     return counts.run(counts.stream_counts(stream), f"{root}/out", f"{root}/checkpoint")
 
 
@@ -236,14 +246,14 @@ def stream_snapshot_at(spark, sf):
 def _stream_resume(spark, sf, root, edit):
     """Count the early events, snapshot, edit, count the late ones from there."""
     events = _events(spark, sf)
-    _early(events).write.parquet(f"{root}/in1")
-    _late(events).write.parquet(f"{root}/in2")
-    early = spark.readStream.schema(events.schema).parquet(f"{root}/in1")
-    late = spark.readStream.schema(events.schema).parquet(f"{root}/in2")
-    counts.run(counts.stream_counts(early), f"{root}/out1", f"{root}/checkpoint1")
+    for part, path in zip(_split(events), (f"{root}/in1", f"{root}/in2")):
+        part.write.parquet(path)
+    first = spark.readStream.schema(events.schema).parquet(f"{root}/in1")
+    second = spark.readStream.schema(events.schema).parquet(f"{root}/in2")
+    counts.run(counts.stream_counts(first), f"{root}/out1", f"{root}/checkpoint1")
     versions = SnapshotVersions(spark, f"{root}/versions")
     taken = versions.write(edit(state.read_snapshot(spark, f"{root}/checkpoint1")), "events", 0)
-    return counts.resume_from_snapshot(late, taken, f"{root}/out2", f"{root}/checkpoint2")
+    return counts.resume_from_snapshot(second, taken, f"{root}/out2", f"{root}/checkpoint2")
 
 
 def stream_resume(spark, sf):
@@ -270,6 +280,19 @@ def file_arrivals(spark, sf):
     return arrivals.read_status(spark, f"{root}/status")
 
 
+def file_arrivals_edit(spark, sf):
+    """A snapshot is written as one file per event type; each arriving file is edited."""
+    root = work_dir(spark, "arrivals-edit")
+    kind = F.substring_index("key", ":", 1)
+    by_kind = _snapshot(spark, sf).withColumn("kind", kind).repartition("kind")
+    by_kind.write.partitionBy("kind").parquet(f"{root}/in")
+    action = arrivals.edit_action(f"{root}/edited")
+    arrivals.watch(
+        spark, f"{root}/in", action, f"{root}/status", f"{root}/checkpoint", "*.parquet"
+    ).awaitTermination()
+    return spark.read.parquet(f"{root}/edited").select("key", "n")
+
+
 # Files and binary contents
 
 
@@ -366,7 +389,7 @@ def extract_path(spark, sf):
 
 def sanitize_hex(spark, sf):
     digits = t.sanitize_hex(F.col("text"))
-    return table(spark, sf, "documents").select(
+    return widen(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", F.length(digits).cast("bigint").alias("digits"), F.md5(digits).alias("md5")
     )
 
@@ -457,6 +480,7 @@ def all_queries() -> dict[str, Query]:
         "stream_resume_edited": stream_resume_edited,
         "stream_state_after_resume": stream_state_after_resume,
         "file_arrivals": file_arrivals,
+        "file_arrivals_edit": file_arrivals_edit,
         "largest_file": largest_file,
         "largest_page": largest_page,
         "file_filter": file_filter,

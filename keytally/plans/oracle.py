@@ -163,6 +163,9 @@ SELECT count(*) AS total, least(count(*), 5) AS replaced FROM snap""",
         "stream_resume": _resumed("snap", "l.key"),
         "stream_resume_edited": _resumed("edited", "l.key"),
         "stream_state_after_resume": STATE_AFTER,
+        "file_arrivals_edit": f"""WITH {SNAPSHOT}
+SELECT key, CASE WHEN row_number() OVER (PARTITION BY split_part(key, ':', 1) ORDER BY key DESC) <= 5
+            THEN 0 ELSE n END AS n FROM snap""",
         "largest_file": """SELECT source, arg_max(doc_id, (n_chars, -doc_id)) AS doc_id,
   max(n_chars) AS n_chars FROM documents GROUP BY source""",
         "largest_page": """WITH f AS (

@@ -20,6 +20,18 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(path)
 
 
+def widen(rows: DataFrame) -> DataFrame:
+    """Spread rows over all cores if they come in fewer pieces than there are cores.
+
+    A file with one row group is one task, however much text is in it. Inputs of
+    many files, as on a cluster, are left as they are.
+    """
+    if rows.isStreaming:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def keyed_events(events: DataFrame) -> DataFrame:
     """``events`` as ``(seq, key)``: arrival number and counting key."""
     return events.select(
@@ -30,9 +42,11 @@ def keyed_events(events: DataFrame) -> DataFrame:
 
 def document_words(documents: DataFrame) -> DataFrame:
     """``documents`` as ``(doc_id, pos, key)``: one row per blank-separated word."""
-    return documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "key"))
+    texts = widen(documents.select("doc_id", "text"))
+    return texts.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "key"))
 
 
 def page_bytes(pages: DataFrame) -> DataFrame:
     """``pages`` as ``(page_id, content)`` with the page's UTF-8 bytes."""
-    return pages.select("page_id", F.encode("html", "UTF-8").alias("content"))
+    texts = widen(pages.select("page_id", "html"))
+    return texts.select("page_id", F.encode("html", "UTF-8").alias("content"))

@@ -5,21 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from keytally.functions.binary import STORE_SIGNATURE, signature_status
+from keytally.functions.binary import STORE_SIGNATURE, literal_bytes, signature_status
+from keytally.operators.snapshots import BROADCAST_KEYS, LAST_N
 from keytally.sources.files import BINARY_FILE, binary_files
 from keytally.streaming.counts import AVAILABLE_NOW
 
 STATUS = "path string, modificationTime timestamp, status string, message string"
+FILES_PER_TRIGGER = 1000
+# Fixed value: the first and last bytes of a parquet file.
+PARQUET = b"PAR1"
+NOT_PARQUET = "not a parquet file"
 
+# Called with the files that arrived and the number of their batch.
+Action = Callable[[DataFrame, int], DataFrame]
 
-def signature_action(signature: bytes = STORE_SIGNATURE) -> Callable[[DataFrame], DataFrame]:
+
+def signature_action(signature: bytes = STORE_SIGNATURE) -> Action:
     """Report ``ok`` or ``error`` by the closing signature, inside Spark."""
 
-    def act(files: DataFrame) -> DataFrame:
+    def act(files: DataFrame, batch_id: int) -> DataFrame:
         verdict = signature_status(F.col("content"), signature)
         return files.select(
             "path",
@@ -31,7 +39,7 @@ def signature_action(signature: bytes = STORE_SIGNATURE) -> Callable[[DataFrame]
     return act
 
 
-def python_action(handle: Callable[[str], str]) -> Callable[[DataFrame], DataFrame]:
+def python_action(handle: Callable[[str], str]) -> Action:
     """Call ``handle(path)`` for each file, on the executors; an exception makes
     that file's status ``error`` and leaves the others alone."""
 
@@ -46,7 +54,62 @@ def python_action(handle: Callable[[str], str]) -> Callable[[DataFrame], DataFra
             done = pd.DataFrame(results, columns=["status", "message"], index=batch.index)
             yield pd.concat([batch, done], axis=1)
 
-    return lambda files: files.select("path", "modificationTime").mapInPandas(each, STATUS)
+    return lambda files, batch_id: files.select("path", "modificationTime").mapInPandas(each, STATUS)
+
+
+def edit_action(
+    out_dir: str, n: int = LAST_N, value: float = 0, key: str = "key", column: str = "n"
+) -> Action:
+    """Set the values of the last ``n`` keys of each snapshot file that arrives.
+
+    The edited entries of a batch go to ``<out_dir>/batch=<id>`` with their
+    ``file``; the files stay as they are. All files of a batch are edited in one
+    job. A file that is not parquet gets the status ``error``.
+    """
+
+    def act(files: DataFrame, batch_id: int) -> DataFrame:
+        spark = files.sparkSession
+        head = F.substring("content", 1, 4) == literal_bytes(PARQUET)
+        good = head & (signature_status(F.col("content"), PARQUET) == "ok")
+        # At most as many rows as a micro-batch has files.
+        listed = files.select("path", "modificationTime", good.alias("good")).collect()
+        arrived = spark.createDataFrame(listed, "path string, modificationTime timestamp, good boolean")
+        paths = [row.path for row in listed if row.good]
+        if not paths:
+            return arrived.select("path", "modificationTime", F.lit("error").alias("status"), F.lit(NOT_PARQUET).alias("message"))
+        entries = spark.read.parquet(*paths).withColumn("file", _plain(F.col("_metadata.file_path")))
+        from_end = Window.partitionBy("file").orderBy(F.col(key).desc())
+        # The rank limit is applied before the shuffle, so no task gets a whole file.
+        last = entries.select("file", key, F.row_number().over(from_end).alias("_rank"))
+        last = last.filter(F.col("_rank") <= n).withColumnsRenamed({"file": "_file", key: "_hit"})
+        if n * len(paths) <= BROADCAST_KEYS:
+            last = F.broadcast(last)
+        same = (F.col("file") == F.col("_file")) & F.col(key).eqNullSafe(F.col("_hit"))
+        new = F.when(F.col("_rank").isNotNull(), F.lit(value)).otherwise(F.col(column))
+        edited = entries.join(last, same, "left").withColumn(
+            column, new.cast(entries.schema[column].dataType)
+        ).drop("_file", "_hit", "_rank")
+        target = f"{out_dir}/batch={batch_id}"
+        edited.write.mode("overwrite").parquet(target)
+
+        totals = spark.read.schema(edited.schema).parquet(target).groupBy("file").agg(
+            F.count(F.lit(1)).alias("total")
+        )
+        total = F.coalesce("total", F.lit(0))
+        done = F.format_string("%d entries, the last %d set", total, F.least(total, F.lit(n)))
+        return arrived.join(totals, _plain(F.col("path")) == F.col("file"), "left").select(
+            "path",
+            "modificationTime",
+            F.when(F.col("good"), F.lit("ok")).otherwise(F.lit("error")).alias("status"),
+            F.when(F.col("good"), done).otherwise(F.lit(NOT_PARQUET)).alias("message"),
+        )
+
+    return act
+
+
+def _plain(path: Column) -> Column:
+    """Local paths are written with one or three slashes, by source."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
 
 def _write_status(result: DataFrame, status_dir: str, batch_id: int) -> None:
@@ -57,7 +120,7 @@ def _write_status(result: DataFrame, status_dir: str, batch_id: int) -> None:
 def watch(
     spark: SparkSession,
     root: str,
-    action: Callable[[DataFrame], DataFrame],
+    action: Action,
     status_dir: str,
     checkpoint: str,
     glob: str = "*.sst",
@@ -70,10 +133,11 @@ def watch(
         .schema(BINARY_FILE)
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", FILES_PER_TRIGGER)
         .load(root)
     )
     return (
-        files.writeStream.foreachBatch(lambda batch, i: _write_status(action(batch), status_dir, i))
+        files.writeStream.foreachBatch(lambda batch, i: _write_status(action(batch, i), status_dir, i))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or AVAILABLE_NOW))
         .start()
@@ -87,15 +151,24 @@ def read_status(spark: SparkSession, status_dir: str) -> DataFrame:
 def poll(
     spark: SparkSession,
     root: str,
-    action: Callable[[DataFrame], DataFrame],
+    action: Action,
     status_dir: str,
     batch_id: int,
     glob: str = "*.sst",
 ) -> DataFrame:
-    """Act on the files that are new or changed since batch ``batch_id - 1``."""
-    files = binary_files(spark, root, glob)
+    """Act on the files that are new or changed since batch ``batch_id - 1``.
+
+    Only names and times are compared; contents are read for the changed files.
+    """
+    names = binary_files(spark, root, glob).select("path", "modificationTime")
     if batch_id > 0:
         done = read_status(spark, status_dir).filter(F.col("batch") < batch_id)
-        files = files.join(done.select("path", "modificationTime"), ["path", "modificationTime"], "left_anti")
-    _write_status(action(files), status_dir, batch_id)
+        names = names.join(done, ["path", "modificationTime"], "left_anti")
+    # The driver has listed these names already.
+    changed = [row.path for row in names.select("path").collect()]
+    if changed:
+        result = action(spark.read.format("binaryFile").load(changed), batch_id)
+    else:
+        result = spark.createDataFrame([], STATUS)
+    _write_status(result, status_dir, batch_id)
     return read_status(spark, status_dir).filter(F.col("batch") == batch_id)

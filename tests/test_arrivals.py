@@ -1,0 +1,95 @@
+import os
+
+from keytally.functions.binary import STORE_SIGNATURE
+from keytally.session import work_dir
+from keytally.streaming import arrivals
+
+GOOD = b"data" + STORE_SIGNATURE
+
+
+def statuses(df):
+    return {(os.path.basename(r.path), r.status) for r in df.collect()}
+
+
+def test_watch_acts_on_new_files_only(spark, tmp_path):
+    root = work_dir(spark, "test-watch")
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.sst").write_bytes(GOOD)
+    (tmp_path / "deep" / "bad.sst").write_bytes(b"no signature here")
+    (tmp_path / "other.txt").write_bytes(GOOD)
+
+    def run():
+        arrivals.watch(
+            spark, str(tmp_path), arrivals.signature_action(), f"{root}/status", f"{root}/ck"
+        ).awaitTermination()
+        return arrivals.read_status(spark, f"{root}/status")
+
+    assert statuses(run()) == {("a.sst", "ok"), ("bad.sst", "error")}
+    (tmp_path / "deep" / "c.sst").write_bytes(GOOD)
+    assert statuses(run().filter("batch = 1")) == {("c.sst", "ok")}
+
+
+def test_one_failing_file_does_not_stop_the_watch(spark, tmp_path):
+    root = work_dir(spark, "test-python-action")
+
+    def refuse(path):
+        if path.endswith("bad.sst"):
+            raise OSError("cannot read")
+        return f"seen {os.path.basename(path)}"
+
+    for name in ("a.sst", "bad.sst", "c.sst"):
+        (tmp_path / name).write_bytes(GOOD)
+    query = arrivals.watch(
+        spark, str(tmp_path), arrivals.python_action(refuse), f"{root}/status", f"{root}/ck"
+    )
+    query.awaitTermination()
+    rows = {os.path.basename(r.path): (r.status, r.message) for r in arrivals.read_status(spark, f"{root}/status").collect()}
+    assert rows == {
+        "a.sst": ("ok", "seen a.sst"), "bad.sst": ("error", "OSError: cannot read"), "c.sst": ("ok", "seen c.sst")
+    }
+
+
+def test_poll_sees_new_and_changed_files(spark, tmp_path):
+    root = work_dir(spark, "test-poll")
+    act = arrivals.signature_action()
+    (tmp_path / "a.sst").write_bytes(GOOD)
+    (tmp_path / "b.sst").write_bytes(GOOD)
+
+    def poll(batch):
+        return statuses(arrivals.poll(spark, str(tmp_path), act, f"{root}/status", batch))
+
+    assert poll(0) == {("a.sst", "ok"), ("b.sst", "ok")}
+    assert poll(1) == set()
+    (tmp_path / "a.sst").write_bytes(b"changed and no longer signed")
+    os.utime(tmp_path / "a.sst", (2_000_000_000, 2_000_000_000))
+    (tmp_path / "c.sst").write_bytes(GOOD)
+    assert poll(2) == {("a.sst", "error"), ("c.sst", "ok")}
+    # A poll that is run again replaces its own rows.
+    assert poll(2) == {("a.sst", "error"), ("c.sst", "ok")}
+    assert arrivals.read_status(spark, f"{root}/status").count() == 4
+
+
+def test_last_entries_of_each_file_are_edited(spark):
+    root = work_dir(spark, "test-edit-action")
+    state = "key string, n bigint"
+    big = {f"k{i:03d}": i + 1 for i in range(40)}
+    small = {"a": 1, None: 2, "b": 3}
+    for name, entries in (("big", big), ("small", small), ("empty", {})):
+        spark.createDataFrame(list(entries.items()), state).coalesce(1).write.parquet(f"{root}/in/{name}")
+    spark.createDataFrame([("not parquet",)], "value string").coalesce(1).write.text(f"{root}/in/text")
+    action = arrivals.edit_action(f"{root}/edited")
+    arrivals.watch(
+        spark, f"{root}/in", action, f"{root}/status", f"{root}/ck", "part-*"
+    ).awaitTermination()
+    edited = spark.read.parquet(f"{root}/edited")
+    got = {(r.file.split("/")[-2], r.key): r.n for r in edited.collect()}
+    last = sorted(big)[-5:]
+    wanted = {("big", k): 0 if k in last else n for k, n in big.items()}
+    assert got == wanted | {("small", k): 0 for k in small}
+    report = {r.path.split("/")[-2]: (r.status, r.message) for r in arrivals.read_status(spark, f"{root}/status").collect()}
+    assert report == {
+        "big": ("ok", "40 entries, the last 5 set"),
+        "small": ("ok", "3 entries, the last 3 set"),
+        "empty": ("ok", "0 entries, the last 0 set"),
+        "text": ("error", "not a parquet file"),
+    }
