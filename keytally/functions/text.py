@@ -58,7 +58,7 @@ def parse_offset(text: Column) -> Column:
     Both allow a sign, outer blanks and single underscores between digits.
     Numbers of more than 15 hex or 18 decimal digits are NULL: no file is so long.
     """
-    plain = F.regexp_replace(text, r"^\s+|\s+$", "")
+    plain = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
     grouped = ~plain.contains("__") & ~F.endswith(plain, F.lit("_"))
     decimal = grouped & plain.rlike("^[+-]?[0-9][0-9_]*$")
     hexadecimal = grouped & plain.rlike("^[+-]?(0[xX]_?)?[0-9a-fA-F][0-9a-fA-F_]*$")

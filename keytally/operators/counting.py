@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keytally.session import shuffle_partitions
+
 SPAN = 1 << 20
 HOT_ROWS = 1 << 20
 HOT_KEYS = 10_000
 WHOLE_KEY = -1
 FIRST_SPAN = -(1 << 63)
 RANGE_ROWS = 10_000
+MAX_PIECES = 100_000
 
 
 def final_count(rows: DataFrame, key: str = "key", weight: str | None = None) -> DataFrame:
@@ -120,15 +123,19 @@ def running_count_by_window(rows: DataFrame, key: str = "key", seq: str | list[s
 def expand_ranges(ranges: DataFrame, key: str = "key", piece: int = RANGE_ROWS) -> DataFrame:
     """``(key, base, cnt)`` to the rows ``(key, base+1) .. (key, base+cnt)``.
 
-    Long ranges are cut into pieces that are spread over the tasks first.
+    Long ranges are cut into pieces, at most ``MAX_PIECES`` of one range, that are
+    spread over the tasks first. The number of tasks is given, or their small
+    input would have them merged before it grows.
     """
+    size = F.greatest(F.lit(piece).cast("bigint"), F.expr(f"cnt div {MAX_PIECES}L + 1L"))
     pieces = ranges.filter("cnt > 0").select(
         key,
         (F.col("base") + F.col("cnt")).alias("last"),
-        F.explode(F.expr(f"sequence(base + 1, base + cnt, {int(piece)}L)")).alias("first"),
+        size.alias("size"),
+        F.explode(F.sequence(F.col("base") + 1, F.col("base") + F.col("cnt"), size)).alias("first"),
     )
-    spread = pieces.repartition(key, "first")
-    ends = F.least("last", F.col("first") + piece - 1)
+    spread = pieces.repartition(shuffle_partitions(ranges.sparkSession), key, "first")
+    ends = F.least("last", F.col("first") + F.col("size") - 1)
     return spread.select(key, F.explode(F.sequence("first", ends)).alias("n"))
 
 

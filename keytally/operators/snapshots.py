@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keytally.functions.binary import literal_bytes
 from keytally.operators.counting import final_count
 
 LAST_N = 5
+# Fixed value: 0.0 as eight bytes.
+ZERO_DOUBLE = bytes(8)
 BROADCAST_KEYS = 10_000
 
 
@@ -34,7 +37,7 @@ def last_record(snapshot: DataFrame, key: str = "key") -> DataFrame:
 def _edit_tail(snapshot: DataFrame, n: int, key: str, column: str, value: Column) -> DataFrame:
     # The mark is made from the value, so both sides need the same columns of the
     # snapshot and share its shuffle where it is not a stored table yet.
-    mark = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    mark = F.hash(column)
     chosen = tail(snapshot, n, key).select(F.col(key).alias("_hit"), mark.alias("_mark"))
     if n <= BROADCAST_KEYS:
         chosen = F.broadcast(chosen)
@@ -46,10 +49,14 @@ def _edit_tail(snapshot: DataFrame, n: int, key: str, column: str, value: Column
 
 
 def edit_last_n(
-    snapshot: DataFrame, n: int = LAST_N, value: float = 0, key: str = "key", column: str = "n"
+    snapshot: DataFrame, n: int = LAST_N, value: float | bytes = 0, key: str = "key", column: str = "n"
 ) -> DataFrame:
-    """Set the values of the last ``n`` keys; with fewer keys, of all of them."""
-    return _edit_tail(snapshot, n, key, column, F.lit(value))
+    """Set the values of the last ``n`` keys; with fewer keys, of all of them.
+
+    A snapshot of raw values takes bytes, such as ``ZERO_DOUBLE``.
+    """
+    new = literal_bytes(value) if isinstance(value, bytes) else F.lit(value)
+    return _edit_tail(snapshot, n, key, column, new)
 
 
 def suffix_last(

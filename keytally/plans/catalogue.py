@@ -140,6 +140,14 @@ def edit_last_n(spark, sf):
     return snapshots.edit_last_n(_snapshot(spark, sf))
 
 
+def edit_last_n_raw(spark, sf):
+    """The same on raw values: a length and a count, four bytes each."""
+    raw = F.concat(b.write_u32(F.lit(4), little=False), b.write_u32(F.col("n"), little=False))
+    snapshot = _snapshot(spark, sf).select("key", raw.alias("value"))
+    edited = snapshots.edit_last_n(snapshot, value=snapshots.ZERO_DOUBLE, column="value")
+    return edited.withColumn("value", F.hex("value"))
+
+
 def suffix_last(spark, sf):
     return snapshots.suffix_last(_snapshot(spark, sf).select("key", F.col("n").cast("string").alias("value")))
 
@@ -362,6 +370,12 @@ def hex_match_context(spark, sf):
     return bo.match_context(_with_tag_offset(spark, sf), len(TAG), id="page_id")
 
 
+def patched_context(spark, sf):
+    """Find a tag, overwrite it, and show the bytes around it afterwards."""
+    patched = bo.patch(_with_tag_offset(spark, sf), F.col("offset"), F.lit(PATCH_HEX))
+    return bo.patch_context(patched, id="page_id")
+
+
 def _with_tag_offset(spark, sf):
     return _pages(spark, sf).withColumn("offset", b.find_bytes(F.col("content"), TAG))
 
@@ -465,6 +479,7 @@ def all_queries() -> dict[str, Query]:
         "snapshot_metadata": snapshot_metadata,
         "snapshot_versions": snapshot_versions,
         "edit_last_n": edit_last_n,
+        "edit_last_n_raw": edit_last_n_raw,
         "suffix_last": suffix_last,
         "tail_n": tail_n,
         "last_record": last_record,
@@ -493,6 +508,7 @@ def all_queries() -> dict[str, Query]:
         "hex_dump": hex_dump,
         "hex_context": hex_context,
         "hex_match_context": hex_match_context,
+        "patched_context": patched_context,
         "checksum_verify": checksum_verify,
         "extract_id": extract_id,
         "extract_path": extract_path,

@@ -75,9 +75,10 @@ FROM parsed"""
 QUOTED = "CASE WHEN regexp_matches(l, '''[^'']*''') THEN regexp_extract(l, '''([^'']*)''', 1)"
 
 
-def _context(start: str, stop: str, width: str, mark: str) -> str:
+def _context(start: str, stop: str, width: str, mark: str, h: str = "h") -> str:
     return f"""WITH {BYTES},
-o AS (SELECT page_id, h, size, {_offset('<p')} AS off FROM b),
+f AS (SELECT page_id, h, size, {_offset('<p')} AS off FROM b),
+o AS (SELECT page_id, {h} AS h, size, off FROM f),
 w AS (SELECT page_id, h, off, {start} AS s, {stop} AS e FROM o),
 r AS (SELECT page_id, h, off, e, unnest(range(s, e, 16)) AS row_offset FROM w WHERE s < e),
 c AS (SELECT page_id, off, row_offset, off >= row_offset AND off < row_offset + 16 AS is_target,
@@ -142,6 +143,9 @@ UNION ALL SELECT * FROM (SELECT word, 'last' AS part FROM d ORDER BY word DESC L
         "snapshot_versions": f"""WITH {EDITED}
 SELECT key, n, 0 AS version FROM snap UNION ALL SELECT key, n, 1 AS version FROM edited""",
         "edit_last_n": f"WITH {EDITED} SELECT key, n FROM edited",
+        "edit_last_n_raw": f"""WITH {EDITED}
+SELECT key, CASE WHEN key IN (SELECT key FROM top) THEN repeat('0', 16)
+            ELSE '00000004' || lpad(to_hex(n), 8, '0') END AS value FROM snap""",
         "suffix_last": f"""WITH {SNAPSHOT}
 SELECT key, CASE WHEN key = (SELECT max(key) FROM snap) THEN n || '_modified'
             ELSE CAST(n AS VARCHAR) END AS value FROM snap""",
@@ -224,6 +228,12 @@ FROM c""",
             "CASE WHEN off >= 0 THEN greatest(0, off - 16) END", "least(size, off + 18)",
             "16", "  <-- TARGET at ",
         ),
+        "patched_context": _context(
+            "greatest(0, off - 16)", "least(size, greatest(0, off - 16) + 48)",
+            "least(16, e - row_offset)", " <-- OFFSET ",
+            "CASE WHEN off >= 0 AND off + 4 <= size "
+            "THEN substr(h, 1, 2 * off) || '05000000' || substr(h, 2 * off + 9) ELSE h END",
+        ),
         "checksum_verify": f"""WITH {BYTES},
 t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
         lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 2197175160) ELSE c // 2 END, i)) AS tab),

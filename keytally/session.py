@@ -38,3 +38,11 @@ def work_dir(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/keytally/{label}-{uuid.uuid4().hex}"
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's number, but no more than the cores of a local session."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.conf.get("spark.master", "").startswith("local"):
+        return min(wanted, spark.sparkContext.defaultParallelism)
+    return wanted

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from keytally.operators.counting import expand_ranges
+from keytally.session import shuffle_partitions
 
 STATE = "count"
 AVAILABLE_NOW = {"availableNow": True}
@@ -79,11 +80,13 @@ def start(counted: DataFrame, output: str, checkpoint: str, trigger: dict | None
     """Start writing ``counted`` as parquet, with state in ``checkpoint``.
 
     The file sink commits each micro-batch once. ``trigger`` is passed on;
-    by default all that has arrived is processed and the query ends.
+    by default all that has arrived is processed and the query ends. A new
+    checkpoint keeps the session's number of shuffle partitions for good.
     """
     spark = counted.sparkSession
-    old = {name: spark.conf.get(name, None) for name in STATE_CONF}
-    for name, value in STATE_CONF.items():
+    settings = STATE_CONF | {"spark.sql.shuffle.partitions": str(shuffle_partitions(spark))}
+    old = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
         spark.conf.set(name, value)
     try:
         return (
