@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from keytally.session import shuffle_partitions
 
-SPAN = 1 << 20
 HOT_ROWS = 1 << 20
 HOT_KEYS = 10_000
+MAX_SPANS = 10_000
 WHOLE_KEY = -1
 FIRST_SPAN = -(1 << 63)
 RANGE_ROWS = 10_000
@@ -40,9 +40,28 @@ def hot_keys(rows: DataFrame, key: str = "key", at_least: int = HOT_ROWS) -> lis
 
     A key left out by that bound has at most one ``HOT_KEYS``-th of all rows.
     """
-    counted = final_count(rows, key).filter(F.col("n") > at_least)
-    top = counted.orderBy(F.col("n").desc(), key).limit(HOT_KEYS)
-    return [row[key] for row in top.select(key).collect()]
+    return [row[key] for row in _largest_keys(final_count(rows, key), key, at_least).collect()]
+
+
+def _largest_keys(counted: DataFrame, key: str, at_least: int) -> DataFrame:
+    return counted.filter(F.col("n") > at_least).orderBy(F.col("n").desc(), key).limit(HOT_KEYS)
+
+
+def _hot_plan(
+    rows: DataFrame, key: str, first: str, hot: list | None, at_least: int, span: int | None
+) -> tuple[list, int]:
+    """The hot keys, and a stretch that cuts their arrival order into ``MAX_SPANS`` at most."""
+    ends = [F.count(F.lit(1)).alias("n"), F.min(first).alias("low"), F.max(first).alias("high")]
+    if hot is None:
+        found = _largest_keys(rows.groupBy(key).agg(*ends), key, at_least).collect()
+        hot = [row[key] for row in found]
+    elif hot and span is None:
+        found = [rows.agg(*ends).first()]
+    if not hot or span is not None:
+        return hot, span or 1
+    known = [row for row in found if row["low"] is not None]
+    width = max(r["high"] for r in known) - min(r["low"] for r in known) + 1 if known else 1
+    return hot, -(-width // MAX_SPANS)
 
 
 def running_count(
@@ -50,8 +69,9 @@ def running_count(
     key: str = "key",
     seq: str | list[str] = "seq",
     initial: DataFrame | None = None,
-    span: int = SPAN,
+    span: int | None = None,
     hot: list | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``n``: how often the key has been seen up to and with this row, on top
     of its ``initial`` state ``(key, n)`` if there is one.
@@ -63,8 +83,7 @@ def running_count(
     lifted by the count of the stretches before, a prefix sum over combined counts.
     """
     order = [seq] if isinstance(seq, str) else list(seq)
-    if hot is None:
-        hot = hot_keys(rows, key)
+    hot, span = _hot_plan(rows, key, order[0], hot, hot_rows, span)
     if not hot and initial is None:
         return running_count_by_window(rows, key, seq)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 
-from keytally.operators.counting import SPAN, final_count, merge_state, running_count
+from keytally.operators.counting import final_count, merge_state, running_count
 from keytally.operators.snapshots import snapshot_at
 
 
@@ -15,7 +15,7 @@ def resume(
     rows: DataFrame,
     key: str = "key",
     seq: str = "seq",
-    span: int = SPAN,
+    span: int | None = None,
     hot: list | None = None,
 ) -> DataFrame:
     """Running counts of new rows, each key starting from its value in the snapshot."""

@@ -28,7 +28,6 @@ from keytally.streaming import arrivals, counts, state
 Query = Callable[[SparkSession, str], DataFrame]
 
 SEED = 42
-WORD_SPAN_DOCS = 256
 TAG = b"<p"
 PATCH_HEX = "05 00:00 00"
 # Pages hold ".</p><p>", which is this value with the bytes of each half reversed.
@@ -74,7 +73,7 @@ def running_count(spark, sf):
 
 def word_running_count(spark, sf):
     rows = document_words(table(spark, sf, "documents"))
-    return counting.running_count(rows, seq=["doc_id", "pos"], span=WORD_SPAN_DOCS)
+    return counting.running_count(rows, seq=["doc_id", "pos"])
 
 
 def emitted_counts(spark, sf):

@@ -21,15 +21,15 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def widen(rows: DataFrame) -> DataFrame:
-    """Spread rows over all cores if they come in fewer pieces than there are cores.
+    """Spread the rows of a scan over all cores if it has very few splits.
 
     A file with one row group is one task, however much text is in it. Inputs of
-    many files, as on a cluster, are left as they are.
+    many splits, as on a cluster, are left as they are.
     """
     if rows.isStreaming:
         return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores / 4 else rows
 
 
 def keyed_events(events: DataFrame) -> DataFrame:

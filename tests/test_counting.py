@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from keytally.operators import counting
 from keytally.operators.checks import broken_runs, repeated_keys
 from keytally.operators.counting import (
     emitted_counts,
@@ -101,6 +102,25 @@ def test_hot_rows_are_spread(spark):
     assert max(r["count"] for r in sizes) < 2000
 
 
+@pytest.mark.parametrize("max_spans", [1, 3, 1000])
+@pytest.mark.parametrize("start", [0, -700, 10**12])
+def test_hot_keys_and_stretches_are_found(spark, monkeypatch, max_spans, start):
+    monkeypatch.setattr(counting, "MAX_SPANS", max_spans)
+    rows = [(start + seq * 7, key) for seq, key in skewed(7, 300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    state = spark.createDataFrame([("hot", 4), (None, 2)], "key string, n bigint")
+    assert collected(running_count(df, hot_rows=40)) == expected(rows)
+    from_state = running_count(df, initial=state, hot=["hot", "b"])
+    assert collected(from_state) == expected(rows, [("hot", 4), (None, 2)])
+
+
+def test_stretches_are_bounded(spark):
+    df = spark.range(50_000).select((F.col("id") * 1000).alias("seq"), F.lit("k").alias("key"))
+    hot, span = counting._hot_plan(df, "key", "seq", None, 1000, None)
+    assert hot == ["k"]
+    assert df.select(F.expr(f"seq div {span}")).distinct().count() <= counting.MAX_SPANS + 1
+
+
 @pytest.mark.parametrize("name", list(CASES))
 def test_emitted_counts(spark, name):
     rows = CASES[name]
