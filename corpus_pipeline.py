@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keytally.llm import exact, language
+from keytally.llm import exact, language, near
 from keytally.llm.tables import stored
 
 
@@ -16,9 +16,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.drop_near_copies(docs)
+
+
 STAGES = [
     ("language_id", known_languages),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
 ]
 
 #: The language model and the sketches cannot be expressed in SQL.

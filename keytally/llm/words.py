@@ -124,9 +124,9 @@ def shingles(found: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         single = np.empty(len(short), np.uint64)
         for i, r in enumerate(short):
-            value = np.uint64(counts[r])
-            for word in hashes[first[r] : first[r + 1]]:
-                value = np.multiply(value, _MULTIPLIER) + word
+            value = int(counts[r])
+            for word in hashes[first[r] : first[r + 1]].tolist():
+                value = (value * int(_MULTIPLIER) + word) & 0xFFFFFFFFFFFFFFFF
             single[i] = value
         rows = np.concatenate([rows, short])
         values = np.concatenate([values, mix(single)])
