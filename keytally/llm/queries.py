@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytally.llm import exact, language, near
+from keytally.llm import decontamination, exact, language, near
 from keytally.llm.tables import held_out
 from keytally.sources.tables import table
 
 
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_spaced_seeds": op5_spaced_seeds,
         "op6_dart_minhash": op6_dart_minhash,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_language": op10_language,
