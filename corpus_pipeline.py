@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keytally.llm import exact, language, near
+from keytally.llm import decontamination, exact, language, mixing, near
 from keytally.llm.tables import stored
 
 
@@ -20,10 +20,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near.drop_near_copies(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, mixing.target_weights(docs))
+
+
 STAGES = [
     ("language_id", known_languages),
     ("exact_dedup", exact_dedup),
     ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
 ]
 
 #: The language model and the sketches cannot be expressed in SQL.

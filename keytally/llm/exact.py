@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keytally.llm.tables import small, stored, text_or_empty
+from keytally.llm.tables import named_again, numbered, small, stored, text_or_empty
 
 #: A digest is frequent if it holds at least this share of the rows.
 SHARE = 1 / 500
@@ -98,6 +98,6 @@ def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     groups = exact_groups(docs, id, text)
     gone = stored(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), "digest").distinct(), "copies")
     gone = gone.withColumnRenamed("digest", "_digest")
-    marked = docs.withColumn("_is", digest_of(text))
-    same = marked[id].eqNullSafe(gone["_gone"]) & (marked["_is"] == gone["_digest"])
-    return marked.join(small(gone), same, "left_anti").drop("_is")
+    marked = numbered(docs).withColumn("_is", digest_of(f"_{docs.columns.index(text)}"))
+    same = F.col(f"_{docs.columns.index(id)}").eqNullSafe(F.col("_gone")) & (F.col("_is") == F.col("_digest"))
+    return marked.join(small(gone), same, "left_anti").select(*named_again(marked, docs))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keytally.llm.tables import held_out, text_or_empty
+from keytally.llm.tables import held_out, named_again, numbered, text_or_empty
 from keytally.llm.words import Chunk, chunks
 
 PER_LANG = 400
@@ -202,8 +202,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def keep_known(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """``docs`` without those in no learned language, all columns as they were."""
     model = train(docs)
-    columns = [F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)]
-    plain = docs.select(*columns)
-    text = f"_{docs.columns.index('text')}"
-    judged = predict(plain, model, text).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= accept))
-    return judged.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    judged = predict(numbered(docs), model, f"_{docs.columns.index('text')}")
+    judged = judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= accept))
+    return judged.select(*named_again(judged, docs))

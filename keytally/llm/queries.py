@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytally.llm import decontamination, exact, language, near
+from keytally.llm import decontamination, exact, language, mixing, near
 from keytally.llm.tables import held_out
 from keytally.sources.tables import table
 
 
+def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, mixing.target_weights(docs))
+    return mixed.select("doc_id", "source", "mix_pool", "mix_block", "mix_slot", "mix_at")
+
+
 def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +39,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pfair_mixing": op1_pfair_mixing,
         "op5_spaced_seeds": op5_spaced_seeds,
         "op6_dart_minhash": op6_dart_minhash,
         "op9_exact_dedup": op9_exact_dedup,

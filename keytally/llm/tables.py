@@ -34,3 +34,13 @@ def held_out(doc_id: Column) -> Column:
 
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns named ``_0``, ``_1`` and so on, so that no added name can clash."""
+    return docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+
+
+def named_again(rows: DataFrame, docs: DataFrame) -> list[Column]:
+    """The columns of ``numbered(docs)`` in ``rows``, under their own names."""
+    return [rows[f"_{i}"].alias(c) for i, c in enumerate(docs.columns)]
