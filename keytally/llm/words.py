@@ -107,6 +107,16 @@ def words(chunk: Chunk) -> Words:
     return Words(start, end, hashed, np.searchsorted(start, chunk.offsets))
 
 
+def prefix_hashes(chunk: Chunk, start: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of ``length`` bytes from each start on, lower-cased; those of words as long are the same."""
+    hashed = np.zeros(len(start), np.uint64)
+    power = np.uint64(1)
+    for k in range(length):
+        hashed += _VALUE[_CLASS[chunk.data[start + k]]] * power
+        power = np.uint64(int(power) * int(_STEP) & 0xFFFFFFFFFFFFFFFF)
+    return mix(hashed)
+
+
 def shingles(found: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """``(row, hash)`` of each run of ``width`` words.
 
