@@ -9,8 +9,9 @@ every coordinate is hit, so a signature costs about t log t darts, however long
 the text.
 
 Bands of coordinates are the keys of buckets. Within a bucket all members are
-first held against one of them; what that leaves in different components is
-then held against each other, so a large group of copies never makes all pairs.
+first held against the one with most company; what that leaves in different
+components is then held against each other, so a large group of copies never
+makes all pairs.
 Every link is verified on the exact shingle sets.
 """
 
@@ -32,8 +33,15 @@ WIDTH = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 meets in a band with 1 - (1 - 0.8**7)**40 > 0.9999.
 BANDS, ROWS = 40, 7
-#: Beyond so many pairs of different components, a bucket is joined by rare shingles.
-PAIRS = 10_000
+#: A bucket with up to so many pairs of different components lists them; up to
+#: the second number it is compared in blocks of about ``BLOCK`` by ``BLOCK``
+#: members; beyond, it is joined by rare shingles. No way loses a link.
+FEW_PAIRS, MOST_PAIRS = 45, 10_000_000
+BLOCK = 1_000
+#: Text sketched together; the darts of a text take many times its size.
+SKETCH_BYTES = 1 << 18
+#: Rows handed to Python at a time.
+BATCH_ROWS = 1_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xA0761D6478BD642F)
@@ -145,7 +153,7 @@ def sketch(text: Column, width: int = WIDTH, bands: int = BANDS, per_band: int =
     def of(texts: pa.Array) -> pa.Array:
         digests: list[bytes] = []
         keys: list[np.ndarray] = []
-        for chunk in chunks(texts):
+        for chunk in chunks(texts, SKETCH_BYTES):
             rows = chunk.high - chunk.low
             row, values, counts = shingle_sets(chunk, width)
             weights = counts.astype(np.float64) if counted else np.ones(len(row))
@@ -184,7 +192,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame
     """The pairs ``(a, b)`` whose shingle sets are similar; only their documents' texts are read again."""
     nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
     texts = docs.join(small(nodes), docs["_id"] == nodes["node"], "left_semi")
-    sets = stored(texts.select("_id", shingle_set(F.col("_text")).alias("set")), "sets")
+    sets = stored(texts.select("_id", shingle_set(F.col("_text")).alias("set")), "sets", BATCH_ROWS)
     left = pairs.join(sets.select(F.col("_id").alias("a"), F.col("set").alias("left")), "a")
     both = left.join(sets.select(F.col("_id").alias("b"), F.col("set").alias("right")), "b")
     return both.filter(jaccard("left", "right") >= similarity).select("a", "b")
@@ -197,7 +205,8 @@ def near_groups(
     similarity: float = SIMILARITY,
     bands: int = BANDS,
     per_band: int = ROWS,
-    pairs_per_bucket: int = PAIRS,
+    few_pairs: int = FEW_PAIRS,
+    most_pairs: int = MOST_PAIRS,
 ) -> DataFrame:
     """``(doc_id, class_id, class_size, kept)``, one row per row of ``docs``.
 
@@ -211,9 +220,8 @@ def near_groups(
     not read.
     """
     plain = docs.select(F.col(id).cast("bigint").alias("_id"), text_or_empty(text).alias("_text"))
-    sketches = stored(
-        plain.withColumn("_s", sketch(F.col("_text"), bands=bands, per_band=per_band)).select("_id", "_s.*"), "sketches"
-    )
+    sketches = plain.withColumn("_s", sketch(F.col("_text"), bands=bands, per_band=per_band)).select("_id", "_s.*")
+    sketches = stored(sketches, "sketches", BATCH_ROWS)
     usable = sketches.filter(F.col("_id").isNotNull() & (F.size("keys") > 0))
     same = usable.groupBy("digest").agg(F.min("_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     same = stored(same.select("digest", "a"), "same")
@@ -222,22 +230,24 @@ def near_groups(
     gone = copies.select(F.col("b").alias("_id"), "digest")
     keyed = usable.join(small(gone), ["_id", "digest"], "left_anti").select(F.col("_id").alias("node"), F.explode("keys").alias("key"))
 
-    # Each bucket's members against its smallest one.
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
-    buckets = buckets.filter("leader < last").select("key", "leader")
-    crowded = stored(keyed.join(buckets, "key").select("key", "node", "leader"), "crowded")
-    stars = stored(crowded.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    # Each bucket's members against the one that meets most others in all its buckets.
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"))
+    crowded = stored(keyed.join(buckets.filter("low < high").select("key", "n"), "key").distinct(), "crowded")
+    met = crowded.groupBy("node").agg(F.sum("n").alias("met"))
+    leaders = crowded.join(met, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("back"))).alias("most"))
+    stars = crowded.join(leaders.select("key", (-F.col("most.back")).alias("leader")), "key").filter("node <> leader")
+    stars = stored(stars.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "stars")
     links = stored(_verified(stars, plain, similarity), "links")
     placed = components(links)
 
     # What is left in different components of one bucket, against each other.
-    members = crowded.select("key", "node").distinct().join(placed, "node", "left")
+    members = crowded.select("key", "node").join(placed, "node", "left")
     members = members.select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     members = stored(members.join(mixed.select("key"), "key"), "members")
-    rest = _cross_pairs(members, plain, similarity, pairs_per_bucket)
+    rest, more = _crossing(members, plain, similarity, few_pairs, most_pairs)
     rest = stored(rest.distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    more = _verified(rest, plain, similarity)
+    more = more.unionByName(_verified(rest, plain, similarity))
 
     everything = components(links.unionByName(more).unionByName(copies.select("a", "b")))
     sizes = everything.groupBy("root").agg(F.count(F.lit(1)).alias("class_size"))
@@ -252,32 +262,100 @@ def near_groups(
     )
 
 
-def _cross_pairs(members: DataFrame, docs: DataFrame, similarity: float, limit: int) -> DataFrame:
-    """Pairs ``(a, b)`` of a bucket's members ``(key, node, root)`` with different roots.
+def _crossing(
+    members: DataFrame, docs: DataFrame, similarity: float, few_pairs: int, most_pairs: int
+) -> tuple[DataFrame, DataFrame]:
+    """Of a bucket's members ``(key, node, root)`` with different roots: pairs to verify, and links.
 
-    In a bucket with at most ``limit`` of them these are all such pairs. In a
-    larger one they are those that share one of their rarest shingles: of two
-    sets of similarity s, the first n - ceil(s * n) + 1 elements in any common
-    order have one in common, so no link is lost.
+    The pairs are those of buckets with at most ``few_pairs`` of them, and in
+    buckets with more than ``most_pairs`` those that share one of their rarest
+    shingles: of two sets of similarity s, the first n - ceil(s * n) + 1
+    elements in any common order have one in common, so no link is lost. In
+    between, blocks of members are compared at once, and only links come out.
     """
-    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    sizes = sizes.groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
-    sizes = stored(sizes, "bucket-sizes")
+    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
+        F.sum("c").alias("n"),
+        F.max(F.struct("c", "root")).alias("main"),
+        ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"),
+    )
+    sizes = stored(sizes.select("key", "n", "main.c", F.col("main.root").alias("main"), "pairs"), "bucket-sizes")
+    pairs = F.col("pairs")
+    few = _across(members.join(sizes.filter(pairs <= few_pairs).select("key"), "key"), ["key"])
+    between = sizes.filter((pairs > few_pairs) & (pairs <= most_pairs)).drop("pairs")
+    links = _block_links(members.join(between, "key"), docs, similarity)
+    many = sizes.filter(pairs > most_pairs).select("key")
+    if many.isEmpty():
+        return few, links
+    return few.unionByName(_rare_pairs(members.join(many, "key"), docs, similarity)), links
 
-    def across(rows: DataFrame, on: list[str]) -> DataFrame:
-        other = rows.select(*on, F.col("node").alias("other"), F.col("root").alias("other_root"))
-        met = rows.join(other, on).filter("root < other_root")
-        return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
-    few = across(members.join(sizes.filter(F.col("pairs") <= limit).select("key"), "key"), ["key"])
-    many = sizes.filter(F.col("pairs") > limit).select("key")
-    if many.isEmpty():
-        return few
-    large = stored(members.join(many, "key"), "large-buckets")
-    nodes = stored(large.select("node").distinct(), "large-nodes")
+def _across(rows: DataFrame, on: list[str]) -> DataFrame:
+    other = rows.select(*on, F.col("node").alias("other"), F.col("root").alias("other_root"))
+    met = rows.join(other, on).filter("root < other_root")
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+
+
+def _sets_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(node, set)`` of the nodes in a stored table."""
+    nodes = stored(rows.select("node").distinct(), "nodes")
     texts = docs.join(small(nodes), docs["_id"] == nodes["node"], "left_semi")
-    sets = texts.select(F.col("_id").alias("node"), shingle_set(F.col("_text")).alias("set"))
-    spread = large.join(sets, "node").select(
+    return stored(texts.select(F.col("_id").alias("node"), shingle_set(F.col("_text")).alias("set")), "node-sets", BATCH_ROWS)
+
+
+def _block_links(large: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Links of the members outside their bucket's main component, with any other, by blocks.
+
+    A block has about ``BLOCK`` members on either side, whatever the bucket
+    holds. Of a member's links to one component the first is enough.
+    """
+    large = stored(large, "large-buckets")
+
+    def blocks(n: Column) -> Column:
+        return F.ceil(n / BLOCK).cast("int")
+
+    outside = F.col("n") - F.col("c")
+    place = F.pmod(F.hash("node"), F.greatest(blocks(F.col("n")), F.lit(1)))
+    left = large.filter("root <> main").select(
+        "key", "node", "root", F.explode(F.sequence(F.lit(0), blocks(F.col("n")) - 1)).alias("i"),
+        F.pmod(F.hash("node"), blocks(outside)).alias("j"), F.lit(True).alias("asks"),
+    )
+    right = large.select(
+        "key", "node", "root", place.alias("i"),
+        F.explode(F.sequence(F.lit(0), blocks(outside) - 1)).alias("j"), F.lit(False).alias("asks"),
+    )
+    rows = left.unionByName(right).join(_sets_of(large, docs), "node")
+
+    def compare(block: pa.Table) -> pa.Table:
+        block = block.sort_by("node")
+        node, root, asks = (block[c].to_numpy() for c in ("node", "root", "asks"))
+        sets = block["set"].combine_chunks()
+        size = sets.value_lengths().to_numpy()
+        starts = np.cumsum(size) - size
+        _, code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        other = np.flatnonzero(~asks)
+        # The other side's codes in one row, and where each member's begin.
+        theirs = code[np.concatenate([np.arange(starts[k], starts[k] + size[k]) for k in other])] if len(other) else code[:0]
+        begins = np.cumsum(size[other]) - size[other]
+        flag = np.zeros(len(code) + 1, bool)
+        found: set[tuple[int, int]] = set()
+        for k in np.flatnonzero(asks) if len(other) else []:
+            mine = code[starts[k] : starts[k] + size[k]]
+            flag[mine] = True
+            both = np.add.reduceat(flag[theirs], begins, dtype=np.int64)
+            flag[mine] = False
+            linked = (both >= similarity * (size[k] + size[other] - both)) & (root[other] != root[k])
+            _, first = np.unique(root[other[linked]], return_index=True)
+            found |= {(min(node[k], x), max(node[k], x)) for x in node[other[linked]][first]}
+        a, b = (pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1))
+        return pa.table({"a": a, "b": b})
+
+    grouped = rows.select("key", "i", "j", "node", "root", "asks", "set").groupBy("key", "i", "j")
+    return stored(grouped.applyInArrow(compare, "a bigint, b bigint"), "block-links")
+
+
+def _rare_pairs(large: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    large = stored(large, "largest-buckets")
+    spread = large.join(_sets_of(large, docs), "node").select(
         "key", "node", "root", F.size("set").alias("n"), F.explode("set").alias("shingle")
     )
     spread = stored(spread, "large-shingles")
@@ -285,8 +363,9 @@ def _cross_pairs(members: DataFrame, docs: DataFrame, similarity: float, limit:
     rare = F.row_number().over(Window.partitionBy("key", "node").orderBy("df", "shingle"))
     # A shingle of one member comes first in its order and joins with nothing.
     ranked = spread.join(common, ["key", "shingle"], "left").withColumn("df", F.coalesce("df", F.lit(1).cast("bigint")))
+    # The small amount keeps a product that should be whole from being rounded up.
     ranked = ranked.withColumn("rank", rare).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
-    return few.unionByName(across(ranked.filter("df > 1").select("key", "shingle", "node", "root"), ["key", "shingle"]))
+    return _across(ranked.filter("df > 1").select("key", "shingle", "node", "root"), ["key", "shingle"])
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -11,11 +11,22 @@ from keytally.session import work_dir
 BROADCAST_ROWS = 1_000_000
 
 
-def stored(rows: DataFrame, label: str) -> DataFrame:
-    """``rows`` written to the shared folder and read back, so that nothing above is run again."""
+def stored(rows: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+    """``rows`` written to the shared folder and read back, so that nothing above is run again.
+
+    ``batch_rows`` bounds the rows handed to Python at a time, for functions
+    that need many times the size of their input.
+    """
     spark = rows.sparkSession
     path = work_dir(spark, label)
-    rows.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    if batch_rows:
+        spark.conf.set(setting, batch_rows)
+    try:
+        rows.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(rows.schema).parquet(path)
 
 
