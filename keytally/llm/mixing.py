@@ -25,7 +25,7 @@ from keytally.llm.tables import named_again, numbered, small, stored
 
 BLOCK_ROWS = 16
 #: Rows that one task numbers together, on average.
-CELL_ROWS = 20_000
+CELL_ROWS = 4_000
 #: Entries of the slot tables: sources still running times their weights, over all periods.
 MAX_ENTRIES = 1_000_000
 OTHER = None
