@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytally.llm import decontamination, exact, language, mixing, near, toxicity
+from keytally.llm import decontamination, exact, language, licenses, mixing, near, secrets, toxicity
 from keytally.llm.tables import held_out
 from keytally.sources.tables import table
 
@@ -18,6 +18,14 @@ def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_pool", "mix_block", "mix_slot", "mix_at")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_digest(table(spark, sf_dir, "documents"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,6 +52,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pfair_mixing": op1_pfair_mixing,
+        "op2_secrets": op2_secrets,
+        "op3_licenses": op3_licenses,
         "op4_toxicity": op4_toxicity,
         "op5_spaced_seeds": op5_spaced_seeds,
         "op6_dart_minhash": op6_dart_minhash,
