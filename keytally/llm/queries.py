@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytally.llm import decontamination, exact, language, licenses, mixing, near, secrets, toxicity
+from keytally.llm import chat, decontamination, exact, language, licenses, mixing, near, secrets, toxicity, urls
 from keytally.llm.tables import held_out
 from keytally.sources.tables import table
 
@@ -38,6 +38,15 @@ def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.filter_urls(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -57,6 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_spaced_seeds": op5_spaced_seeds,
         "op6_dart_minhash": op6_dart_minhash,
+        "op7_url_filter": op7_url_filter,
+        "op8_perspectives": op8_perspectives,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_language": op10_language,
     }
@@ -75,5 +86,77 @@ FROM d
 """
 
 
+_CHAT = r"""
+WITH rows AS (
+  SELECT conv_id, turn,
+         CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g') END AS speaker,
+         replace(coalesce(text, ''), '<|im_', '<| im_') AS said
+  FROM conversations),
+people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM rows WHERE speaker NOT IN ('system', 'tool')),
+both_ AS (
+  SELECT r.*, p.perspective,
+         CASE WHEN speaker IN ('system', 'tool') THEN '<|im_start|>' || speaker || chr(10)
+              WHEN speaker = perspective THEN '<|im_start|>assistant' || chr(10)
+              ELSE '<|im_start|>user name=' || speaker || chr(10) END AS head
+  FROM rows r JOIN people p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
+sized AS (SELECT *, length(head) + length(said) + 11 AS len FROM both_),
+placed AS (
+  SELECT *, CAST(sum(len) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, said
+                                ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e
+  FROM sized)
+SELECT conv_id, perspective, turn, speaker, head || said || '<|im_end|>' || chr(10) AS segment,
+       e - len AS start, e AS "end",
+       CASE WHEN speaker = perspective THEN e - len + length(head) END AS mask_start,
+       CASE WHEN speaker = perspective THEN e - 1 END AS mask_end
+FROM placed
+"""
+
+
+def _url_sql(order: int = urls.ORDER) -> str:
+    """The rules and the two character models, one level of the recursion per order."""
+    rules = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in rules]
+    name = "CASE " + " ".join(f"WHEN {f} THEN '{n}'" for f, n, _ in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits) + " END"
+    words = "|".join(urls.REJECTED_WORDS)
+    start = "||".join(["chr(2)"] * order)
+    levels = []
+    for k in range(order + 1):
+        below = "1 / 256.0::DOUBLE" if k == 0 else "l.{}"
+        levels.append(f"""
+s{k} AS (SELECT substr(gram, {order + 1 - k}, {k + 1}) AS s, sum(a) AS a, sum(r) AS r FROM grams GROUP BY 1),
+c{k} AS (SELECT substr(s, 1, {k}) AS c, sum(a) AS na, sum(r) AS nr,
+                count(*) FILTER (a > 0) AS ta, count(*) FILTER (r > 0) AS tr FROM s{k} GROUP BY 1),
+p{k} AS (SELECT s.s,
+           CASE WHEN na > 0 THEN (s.a::DOUBLE + ta * {below.format("pa")}) / (na::DOUBLE + ta) ELSE {below.format("pa")} END AS pa,
+           CASE WHEN nr > 0 THEN (s.r::DOUBLE + tr * {below.format("pr")}) / (nr::DOUBLE + tr) ELSE {below.format("pr")} END AS pr
+         FROM s{k} s JOIN c{k} c ON substr(s.s, 1, {k}) = c.c {f"JOIN p{k - 1} l ON substr(s.s, 2, {k}) = l.s" if k else ""})""")
+    return f"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{urls._UPPER}', '{urls._LOWER}') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+rows AS (SELECT *, regexp_replace(host || path, '[0-9]', '0', 'g') AS shape FROM parts),
+shapes AS (
+  SELECT shape, count(*) AS n, bool_or(regexp_matches(host, '{words}')) AS is_rejected,
+         substr(md5(shape), 1, 1) NOT IN ('0', '1', '2') AS learn FROM rows GROUP BY shape),
+cut AS (SELECT shape, n, is_rejected, learn, {start} || shape || chr(3) AS padded, unnest(range(1, length(shape) + 2)) AS pos FROM shapes),
+events AS (SELECT shape, substr(padded, pos, {order + 1}) AS gram,
+                  CASE WHEN learn AND NOT is_rejected THEN n ELSE 0 END AS a,
+                  CASE WHEN learn AND is_rejected THEN n ELSE 0 END AS r FROM cut),
+grams AS (SELECT gram, sum(a) AS a, sum(r) AS r FROM events GROUP BY gram),{",".join(levels)},
+scored AS (
+  SELECT shape, avg(ln(pr) - ln(pa)) AS score FROM events e JOIN p{order} p ON e.gram = p.s GROUP BY shape),
+means AS (
+  SELECT is_rejected, sum(n * score) / sum(n) AS mean, sqrt(greatest(sum(n * score * score) / sum(n) - (sum(n * score) / sum(n)) ** 2, 0)) + 1e-9 AS dev
+  FROM shapes JOIN scored USING (shape) WHERE NOT learn GROUP BY 1),
+cutoff AS (SELECT (a.mean * r.dev + r.mean * a.dev) / (a.dev + r.dev) AS t
+          FROM means a, means r WHERE NOT a.is_rejected AND r.is_rejected)
+SELECT page_id, host, path, {name} AS rule,
+       coalesce({verdict}, CASE WHEN score > coalesce((SELECT t FROM cutoff), 'infinity'::DOUBLE) THEN 'block' ELSE 'allow' END) AS verdict
+FROM rows JOIN scored USING (shape)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": _EXACT}
+    return {"op7_url_filter": _url_sql(), "op8_perspectives": _CHAT, "op9_exact_dedup": _EXACT}
