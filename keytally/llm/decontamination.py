@@ -152,14 +152,19 @@ def best_overlap(said: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int
     return low + first, low + end, int(agree[first:end].sum())
 
 
-@F.arrow_udf("struct<first: int, end: int, agreeing: int>")
-def _compared(said: pa.Array, items: pa.Array, diagonals: pa.Array) -> pa.Array:
-    found = [
-        best_overlap(a.values.to_numpy(), b.values.to_numpy(), d)
-        for a, b, d in zip(said, items, diagonals.to_pylist())
-    ]
-    columns = [pa.array([row[k] for row in found], pa.int32()) for k in range(3)]
-    return pa.StructArray.from_arrays(columns, ["first", "end", "agreeing"])
+def _compared(said: str, item: str, diagonal: str) -> Column:
+    """``best_overlap`` of two columns of words."""
+
+    @F.arrow_udf("struct<first: int, end: int, agreeing: int>")
+    def of(said: pa.Array, items: pa.Array, diagonals: pa.Array) -> pa.Array:
+        found = [
+            best_overlap(a.values.to_numpy(), b.values.to_numpy(), d)
+            for a, b, d in zip(said, items, diagonals.to_pylist())
+        ]
+        columns = [pa.array([row[k] for row in found], pa.int32()) for k in range(3)]
+        return pa.StructArray.from_arrays(columns, ["first", "end", "agreeing"])
+
+    return of.asNondeterministic()(said, item, diagonal)
 
 
 def overlaps(
@@ -186,7 +191,7 @@ def overlaps(
     lines = met.select("segment", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     pairs = lines.join(segments.select("segment", "doc_id", "start", "words"), "segment")
     pairs = pairs.join(small(items.select("item", "item_id", F.col("words").alias("item_words"))), "item")
-    judged = pairs.withColumn("o", _compared.asNondeterministic()("words", "item_words", "diagonal"))
+    judged = pairs.withColumn("o", _compared("words", "item_words", "diagonal"))
     enough = F.least(F.lit(LEAST_WORDS), F.size("item_words"))
     length = F.col("o.end") - F.col("o.first")
     judged = judged.filter((F.col("o.agreeing") >= enough) & (F.col("o.agreeing") >= SHARE * length))
