@@ -1,0 +1,75 @@
+import random
+import re
+
+from keytally.llm import licenses
+from keytally.llm.license_texts import PHRASES, TEMPLATES
+
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _words(text):
+    return _WORD.findall((text or "").translate(_LOWER))
+
+
+def test_matching_statistics_equal_brute_force():
+    rng = random.Random(2)
+    for _ in range(60):
+        texts = [[rng.randrange(3) for _ in range(rng.randrange(1, 12))] for _ in range(rng.randrange(1, 4))]
+        said = [rng.randrange(4) for _ in range(30)]
+        runs = {tuple(t[a:b]): set() for t in texts for a in range(len(t)) for b in range(a + 1, len(t) + 1)}
+        for k, t in enumerate(texts):
+            for a in range(len(t)):
+                for b in range(a + 1, len(t) + 1):
+                    runs[tuple(t[a:b])].add((k, b))
+        automaton = licenses.Automaton(texts)
+        for i, (state, length) in enumerate(automaton.matching_statistics(said)):
+            longest = max(n for n in range(i + 2) if n == 0 or tuple(said[i + 1 - n : i + 1]) in runs)
+            assert length == longest
+            if length:
+                assert automaton.ends[state] == runs[tuple(said[i + 1 - length : i + 1])]
+
+
+def test_phrases_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    odd = ["CC-BY cc by; Apache\nLICENSE", "gnu general public", "mit licenses MIT_license", "É mit license", None, ""]
+    docs = docs.unionByName(spark.createDataFrame([(-i, t) for i, t in enumerate(odd, 1)], "doc_id bigint, text string"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = licenses.licenses_digest(docs).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        w, places, labels = _words(texts[row["doc_id"]]), [], set()
+        for phrase, label in PHRASES.items():
+            p = phrase.split()
+            at = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+            places += at
+            labels |= {label} if at else set()
+        assert (row["n_words"], row["n_base"]) == (len(w), len(places))
+        assert (row["first_word"], row["last_word"]) == (min(places, default=None), max(places, default=None))
+        assert row["base_labels"] == ",".join(sorted(labels))
+        assert labels <= set(row["labels"].split(",")) and 0 <= row["score"] <= 1
+
+
+def test_edited_notices_are_covered(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for i, (label, text) in enumerate(t for t in TEMPLATES if len(_words(t[1])) > 40):
+        said = _words(text)
+        for k in range(9, len(said), 15):
+            said[k] = "qqq"  # replaced
+        said = [w for k, w in enumerate(said) if k % 23 != 20]  # left out
+        before = [f"z{rng.randrange(99)}" for _ in range(i)]
+        rows.append((i, " ".join(before + said).upper()))
+        want[i] = (label, i, len(said))
+    found = licenses.find_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    for row in found:
+        label, first, length = want[row["doc_id"]]
+        spans = {s["label"]: s for s in row["spans"]}
+        assert label in spans and spans[label]["covered"] > 0.75
+        assert abs(spans[label]["first"] - first) <= 4 and abs(spans[label]["end"] - first - length) <= 4
+
+
+def test_edges(edge_docs, no_docs):
+    rows = licenses.licenses_digest(edge_docs).collect()
+    assert len(rows) == edge_docs.count() and {r["score"] for r in rows} == {0.0}
+    assert licenses.licenses_digest(no_docs).count() == 0

@@ -1,0 +1,51 @@
+import numpy as np
+import pyarrow as pa
+from keytally.llm import toxicity
+from keytally.llm.words import chunks
+
+
+def test_features_do_not_leave_their_row():
+    one = [r for t in ("Ab cd, EF", "", "gh", "ab") for c in chunks(pa.array([t])) for r in toxicity.distinct_features(c)]
+    all_ = [r for c in chunks(pa.array(["Ab cd, EF", "", "gh", "ab"])) for r in toxicity.distinct_features(c)]
+    assert [r.tolist() for r in one] == [r.tolist() for r in all_]
+    assert [len(r) for r in all_] == [6, 0, 1, 1]  # three words, two pairs, one skip
+    assert set(all_[3]) < set(all_[0])
+
+
+def test_weights_are_sparse_and_scores_equal_their_sums():
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(10, 5_000, 30)) for _ in range(600)]
+    labels = (rng.random(600) < 0.3).astype(float)
+    rows = [np.unique(np.append(r, [3, 4] if y else [])).astype(np.int64) for r, y in zip(rows, labels)]
+    weights, bias = toxicity.ftrl(rows, labels, 5_000)
+    assert weights[3] > 0 and weights[4] > 0 and (weights == 0).mean() > 0.5
+    texts = ["bad words bad", "good words", "", "bad"]
+    chunk = next(chunks(pa.array(texts)))
+    found = toxicity.distinct_features(chunk)
+    hashes = np.unique(np.concatenate(found))[::2]
+    model = toxicity.Model(hashes, rng.normal(size=len(hashes)), -0.5)
+    filter_ = np.zeros(1 << 18, bool)
+    filter_[hashes & np.uint64(len(filter_) - 1)] = True
+    sums = [model.bias + sum(model.weights[np.searchsorted(hashes, h)] for h in f if h in set(hashes)) for f in found]
+    assert np.allclose(toxicity.scores(chunk, model, filter_), 1 / (1 + np.exp(-np.array(sums))))
+
+
+def test_held_out_rows_are_told_apart(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    labelled = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    judged = toxicity.toxicity(labelled, labels).filter("held_out").join(labels, "doc_id")
+    counts = {(r["toxic"], r["predicted"]): r["count"] for r in judged.groupBy("toxic", "predicted").count().collect()}
+    assert counts[1, 1] / (counts[1, 1] + counts.get((1, 0), 0)) > 0.8
+    assert counts.get((0, 1), 0) / (counts[0, 0] + counts.get((0, 1), 0)) < 0.01
+
+
+def test_edges(spark, edge_docs, no_docs):
+    labels = spark.createDataFrame(
+        [(1, 1, "x"), (1, None, "x"), (2, 0, "x"), (None, 1, "x"), (3, None, "x"), (99, 1, "x")],
+        "doc_id bigint, toxic int, text string",
+    )
+    rows = toxicity.toxicity(edge_docs, labels).collect()
+    assert len(rows) == edge_docs.count() and all(0 <= r["score"] <= 1 for r in rows)
+    rows = toxicity.toxicity(edge_docs, labels.limit(0)).collect()
+    assert {r["predicted"] for r in rows} == {0}
+    assert toxicity.toxicity(no_docs, labels).count() == 0
