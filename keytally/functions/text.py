@@ -47,39 +47,45 @@ def is_hex(text: Column) -> Column:
 
 
 def hex_bytes(text: Column) -> Column:
-    """Bytes of a hex string with optional blanks or colons; NULL if it is not hex."""
-    digits = F.regexp_replace(text, "[ :]", "")
+    """Bytes of a hex string with optional white space or colons; NULL if it is not hex."""
+    digits = F.regexp_replace(text, "[ \\t-\\r:]", "")
     return F.when(is_hex(digits), F.unhex(digits))
 
 
+def _offset_forms(text: Column) -> tuple[Column, Column, Column, Column]:
+    """Whether a text is a decimal or a hexadecimal number, its sign, and its bare digits."""
+    plain = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    grouped = ~plain.contains("__") & ~F.endswith(plain, F.lit("_"))
+    decimal = grouped & plain.rlike("^[+-]?[0-9][0-9_]*$")
+    hexadecimal = grouped & plain.rlike("^[+-]?(0[xX]_?)?[0-9a-fA-F][0-9a-fA-F_]*$")
+    sign = F.when(F.startswith(plain, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    return decimal, hexadecimal, sign, F.regexp_replace(plain, r"^[+-]|_", "")
+
+
 def parse_offset(text: Column) -> Column:
     """A decimal, else a hexadecimal number (``0x`` optional); NULL otherwise.
 
     Both allow a sign, outer blanks and single underscores between digits.
-    Numbers of more than 15 hex or 18 decimal digits are NULL: no file is so long.
+    ``offset_status`` tells a number beyond 64 bits from a text that is none.
     """
-    plain = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
-    grouped = ~plain.contains("__") & ~F.endswith(plain, F.lit("_"))
-    decimal = grouped & plain.rlike("^[+-]?[0-9][0-9_]*$")
-    hexadecimal = grouped & plain.rlike("^[+-]?(0[xX]_?)?[0-9a-fA-F][0-9a-fA-F_]*$")
-    sign = F.when(F.startswith(plain, F.lit("-")), F.lit(-1)).otherwise(F.lit(1))
-    digits = F.regexp_replace(plain, r"^[+-]|_", "")
-    decimal_digits = F.regexp_replace(digits, "^0+(?=.)", "")
+    decimal, hexadecimal, sign, digits = _offset_forms(text)
     hex_digits = F.regexp_replace(F.regexp_replace(digits, "^0[xX]", ""), "^0+(?=.)", "")
-    return (
-        F.when(decimal & (F.length(decimal_digits) <= 18), decimal_digits.try_cast("bigint"))
-        .when(decimal, F.lit(None).cast("bigint"))
-        .when(
-            hexadecimal & (F.length(hex_digits) <= 15),
-            F.conv(hex_digits, 16, 10).try_cast("bigint"),
-        )
-        * sign
+    return F.when(decimal, F.concat(sign, digits).try_cast("bigint")).when(
+        hexadecimal & (F.length(hex_digits) <= 16), F.concat(sign, F.conv(hex_digits, 16, 10)).try_cast("bigint")
     )
 
 
+def offset_status(text: Column) -> Column:
+    """``ok``, ``too_large`` for a number beyond 64 bits, or ``not_a_number``."""
+    decimal, hexadecimal, _, _ = _offset_forms(text)
+    number = F.coalesce(decimal | hexadecimal, F.lit(False))
+    return F.when(~number, "not_a_number").when(parse_offset(text).isNull(), "too_large").otherwise("ok")
+
+
 def render_tuple(word: Column, n: Column) -> Column:
-    """The printed form ``(word,n)``."""
-    return F.concat(F.lit("("), word, F.lit(","), n.cast("string"), F.lit(")"))
+    """The printed form ``(word,n)``; a missing word or number prints as ``null``."""
+    parts = [F.coalesce(part.cast("string"), F.lit("null")) for part in (word, n)]
+    return F.concat(F.lit("("), parts[0], F.lit(","), parts[1], F.lit(")"))
 
 
 def parse_tuple(text: Column) -> tuple[Column, Column]:

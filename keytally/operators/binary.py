@@ -14,7 +14,7 @@ from keytally.functions.binary import (
     spaced_hex,
 )
 from keytally.functions.checksum import crc32c_udf
-from keytally.functions.text import hex_bytes
+from keytally.functions.text import hex_bytes, parse_offset, sanitize_hex
 
 ROW = 16
 
@@ -27,14 +27,10 @@ def byte_search(rows: DataFrame, pattern: bytes, content: str = "content") -> Da
 def encodings_of(target: bytes) -> list[tuple[str, bytes]]:
     """The forms a value may be stored in: as it is and, for eight bytes read as
     two big-endian integers, both or either of them little-endian."""
-    forms = [("Exact match", target)]
+    forms = [("exact", target)]
     if len(target) == 8:
         high, low = target[:4], target[4:]
-        forms += [
-            ("Little-endian 32-bit integers", high[::-1] + low[::-1]),
-            (f"First value {int.from_bytes(high, 'big')} (LE)", high[::-1]),
-            (f"Second value {int.from_bytes(low, 'big')} (LE)", low[::-1]),
-        ]
+        forms += [("pair_le", high[::-1] + low[::-1]), ("first_le", high[::-1]), ("second_le", low[::-1])]
     return forms
 
 
@@ -130,14 +126,22 @@ def _dump_line(offset: Column, cells: Column, text: Column) -> Column:
     return F.concat(offset_hex(offset), F.lit(": "), left, F.lit(" "), right, F.lit(" |"), text, F.lit("|"))
 
 
-def _context(rows: DataFrame, id: str, content: str, start: Column, stop: Column, whole_rows: bool, mark: str) -> DataFrame:
-    """Rows of 16 bytes from ``start`` to ``stop``; the one with ``offset`` is marked."""
-    bounded = rows.withColumns({"_start": start.cast("int"), "_stop": stop.cast("int")})
+def _context(
+    rows: DataFrame, id: str, content: str, start: Column, stop: Column, whole_rows: bool, mark: str, extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """Rows of 16 bytes from ``start`` to ``stop``; the one with ``offset`` is marked.
+
+    Both are cut to the content before they become positions in it, so an
+    offset far outside shows nothing.
+    """
+    size = F.length(content).cast("bigint")
+    bounded = rows.withColumns({"_start": F.least(start, size).cast("int"), "_stop": F.least(stop, size).cast("int")})
     split = bounded.filter(F.col("_start") < F.col("_stop")).select(
         id,
         content,
         "offset",
         "_stop",
+        *extra,
         F.explode(F.expr(f"sequence(_start, _stop - 1, {ROW})")).alias("row_offset"),
     )
     width = F.lit(ROW) if whole_rows else F.least(F.lit(ROW), F.col("_stop") - F.col("row_offset"))
@@ -147,6 +151,7 @@ def _context(rows: DataFrame, id: str, content: str, start: Column, stop: Column
     return split.select(
         id,
         "row_offset",
+        *extra,
         text.alias("hex"),
         inside.alias("is_target"),
         F.concat(offset_hex(F.col("row_offset")), F.lit(": "), F.rpad(text, 47, " "), marker).alias("line"),
@@ -155,20 +160,68 @@ def _context(rows: DataFrame, id: str, content: str, start: Column, stop: Column
 
 def patch_context(rows: DataFrame, id: str = "id", content: str = "content", before: int = ROW) -> DataFrame:
     """The bytes around ``offset``: ``before`` bytes ahead of it, then ``before + 16``."""
-    start = F.greatest(F.lit(0), F.col("offset") - before)
-    stop = F.least(F.length(content), start + 2 * before + ROW)
+    start = F.greatest(F.lit(0).cast("bigint"), F.col("offset").cast("bigint") - before)
+    stop = start + 2 * before + ROW
     return _context(rows, id, content, start, stop, False, " <-- OFFSET ")
 
 
-def match_context(rows: DataFrame, length: int, id: str = "id", content: str = "content") -> DataFrame:
+def match_context(
+    rows: DataFrame, length: int | Column, id: str = "id", content: str = "content", extra: tuple[str, ...] = ()
+) -> DataFrame:
     """The rows around a match of ``length`` bytes at ``offset``, 16 bytes to each side.
 
-    The last row is shown whole even where it passes the window.
+    The length may be a column, as matches of different forms have different
+    ones. The last row is shown whole even where it passes the window. Columns
+    named in ``extra`` are kept.
     """
-    start = F.greatest(F.lit(0), F.col("offset") - ROW)
-    stop = F.least(F.length(content), F.col("offset") + length + ROW)
+    offset = F.col("offset").cast("bigint")
+    width = length if isinstance(length, Column) else F.lit(length)
     found = rows.filter(F.col("offset") >= 0)
-    return _context(found, id, content, start, stop, True, "  <-- TARGET at ")
+    start = F.greatest(F.lit(0).cast("bigint"), offset - ROW)
+    return _context(found, id, content, start, offset + width + ROW, True, "  <-- TARGET at ", extra)
+
+
+def encoding_contexts(rows: DataFrame, target: bytes, id: str = "id", content: str = "content") -> DataFrame:
+    """The context of every form of ``target`` that is found, by ``label``.
+
+    Contents without any form show their shortest prefix instead, labelled ``prefix``.
+    """
+    forms = encodings_of(target)
+    hits = _hits(F.col(content), forms)
+    prefix = F.array(
+        F.struct(
+            F.lit("prefix").alias("label"),
+            find_bytes(F.col(content), target[:1]).alias("offset"),
+            literal_bytes(target[:1]).alias("pattern"),
+        )
+    )
+    found = F.filter("_hits", lambda hit: hit["offset"] >= 0)
+    listed = rows.withColumn("_hits", hits).withColumn("_hits", found)
+    chosen = F.when(F.size("_hits") > 0, F.col("_hits")).otherwise(prefix if len(target) > 1 else F.col("_hits"))
+    each = listed.select(id, content, F.explode(chosen).alias("_hit")).select(
+        id, content, "_hit.label", "_hit.offset", F.length("_hit.pattern").alias("length")
+    )
+    return match_context(each, F.col("length"), id, content, ("label",))
+
+
+def patch_requests(
+    rows: DataFrame, offset_text: Column, hex_text: Column, id: str = "id", content: str = "content"
+) -> DataFrame:
+    """Patches asked for in text: the status of each, and the bytes around its place before and after.
+
+    The offset is read by ``parse_offset`` and the new bytes from the hex digits
+    of ``hex_text``. A refused patch has no context.
+    """
+    asked = rows.withColumns({"offset": parse_offset(offset_text), "_digits": sanitize_hex(hex_text)})
+    done = patch(asked.withColumn("_before", F.col(content)), F.col("offset"), F.col("_digits"), content)
+
+    def around(data: str) -> Column:
+        at = F.col("offset")
+        start = F.greatest(F.lit(0).cast("bigint"), at - ROW)
+        shown = spaced_hex(F.substring(F.col(data), (start + 1).cast("int"), F.lit(3 * ROW)))
+        return F.when(F.col("status") == "ok", shown)
+
+    return done.select(id, "offset", "status", around("_before").alias("before"), around(content).alias("after"))
 
 
 def verify_checksum(rows: DataFrame, content: str = "content") -> DataFrame:

@@ -1,8 +1,8 @@
 """Per-key running and final counts over a batch.
 
 A key may hold a third of all rows, so no step gives one task all rows of such
-a key: counts are combined before the shuffle, and a hot key is numbered in
-bounded stretches of the arrival order.
+a key: counts are combined before the shuffle, and a long key is numbered in
+stretches of the arrival order that are cut where its rows are.
 """
 
 from __future__ import annotations
@@ -10,15 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keytally.session import shuffle_partitions
-
-HOT_ROWS = 1 << 20
-HOT_KEYS = 10_000
-MAX_SPANS = 10_000
-WHOLE_KEY = -1
-FIRST_SPAN = -(1 << 63)
+#: Rows of a key that are numbered together, about.
+STRETCH_ROWS = 1 << 20
+#: Rows looked at for each cut; more of them make stretches more even.
+SAMPLED = 8
+#: Rows that a counted range is spread in, and made in.
+SPREAD_ROWS = 1_000_000
 RANGE_ROWS = 10_000
-MAX_PIECES = 100_000
 
 
 def final_count(rows: DataFrame, key: str = "key", weight: str | None = None) -> DataFrame:
@@ -35,33 +33,22 @@ def merge_state(*states: DataFrame, key: str = "key") -> DataFrame:
     return final_count(merged, key, weight="n")
 
 
-def hot_keys(rows: DataFrame, key: str = "key", at_least: int = HOT_ROWS) -> list:
-    """The keys with more than ``at_least`` rows, the largest ``HOT_KEYS`` of them.
-
-    A key left out by that bound has at most one ``HOT_KEYS``-th of all rows.
-    """
-    return [row[key] for row in _largest_keys(final_count(rows, key), key, at_least).collect()]
-
+def _arrival(order: list[str]) -> Column:
+    return F.struct(*order)
 
-def _largest_keys(counted: DataFrame, key: str, at_least: int) -> DataFrame:
-    return counted.filter(F.col("n") > at_least).orderBy(F.col("n").desc(), key).limit(HOT_KEYS)
 
+def stretch_cuts(rows: DataFrame, key: str, order: list[str], stretch_rows: int) -> DataFrame:
+    """``(key, cuts)``: where the arrival order of each long key is cut.
 
-def _hot_plan(
-    rows: DataFrame, key: str, first: str, hot: list | None, at_least: int, span: int | None
-) -> tuple[list, int]:
-    """The hot keys, and a stretch that cuts their arrival order into ``MAX_SPANS`` at most."""
-    ends = [F.count(F.lit(1)).alias("n"), F.min(first).alias("low"), F.max(first).alias("high")]
-    if hot is None:
-        found = _largest_keys(rows.groupBy(key).agg(*ends), key, at_least).collect()
-        hot = [row[key] for row in found]
-    elif hot and span is None:
-        found = [rows.agg(*ends).first()]
-    if not hot or span is not None:
-        return hot, span or 1
-    known = [row for row in found if row["low"] is not None]
-    width = max(r["high"] for r in known) - min(r["low"] for r in known) + 1 if known else 1
-    return hot, -(-width // MAX_SPANS)
+    A fixed share of the rows, chosen by their hash, tells where the rows of a
+    key are, whatever values the order has; each ``SAMPLED``-th of them is a
+    cut. Short keys have none. A key of n rows gets about n / ``stretch_rows``.
+    """
+    apart = max(1, stretch_rows // SAMPLED)
+    chosen = F.pmod(F.xxhash64(_arrival(order), F.lit(apart)), F.lit(apart)) == 0
+    sampled = rows.filter(chosen).groupBy(key).agg(F.sort_array(F.collect_list(_arrival(order))).alias("_seen"))
+    cuts = F.filter("_seen", lambda x, i: i % SAMPLED == SAMPLED - 1)
+    return sampled.filter(F.size("_seen") >= SAMPLED).select(F.col(key).alias("_cut_key"), cuts.alias("_cuts"))
 
 
 def running_count(
@@ -69,67 +56,49 @@ def running_count(
     key: str = "key",
     seq: str | list[str] = "seq",
     initial: DataFrame | None = None,
-    span: int | None = None,
-    hot: list | None = None,
-    hot_rows: int = HOT_ROWS,
+    stretch_rows: int = STRETCH_ROWS,
+    broadcast_cuts: bool = True,
 ) -> DataFrame:
-    """Add ``n``: how often the key has been seen up to and with this row, on top
-    of its ``initial`` state ``(key, n)`` if there is one.
-
-    ``seq`` names the arrival order, unique within a key; its first column is an
-    integer. Rows are shuffled once. A key's rows are numbered in one task, but
-    for those of the ``hot`` keys (looked up by a count if not given): they are
-    cut into stretches of ``span`` in the arrival order, numbered per stretch, and
-    lifted by the count of the stretches before, a prefix sum over combined counts.
+    """The columns of ``rows`` and ``n``: how often the key has been seen up to and
+    with this row, on top of its ``initial`` state ``(key, n)`` if there is one.
+
+    ``seq`` names the arrival order, unique within a key, of any type that can
+    be ordered; NULL comes first. The key is of any type that can be grouped.
+    All keys take the same way: rows are numbered per key and stretch and lifted
+    by the counts of the key's stretches before. A key has as many stretches as
+    its rows need; most have one. Rows are shuffled once. Nothing runs before
+    the result is asked for.
+
+    The cuts are broadcast: one arrival order and one key for each
+    ``stretch_rows`` rows, so some 30 MB for 10**12 rows. Beyond that have them
+    joined by a shuffle instead (``broadcast_cuts=False``), or longer stretches.
     """
     order = [seq] if isinstance(seq, str) else list(seq)
-    hot, span = _hot_plan(rows, key, order[0], hot, hot_rows, span)
-    if not hot and initial is None:
-        return running_count_by_window(rows, key, seq)
-
-    place = ["_key", "_span"]
-    is_hot = F.lit(False)
-    if hot:
-        is_hot = F.col("_key").isin(["" if k is None else f"={k}" for k in hot])
-    stretch = F.coalesce(F.expr(f"`{order[0]}` div {int(span)}L"), F.lit(FIRST_SPAN))
-    keyed = rows.withColumn("_key", _pack(F.col(key))).withColumn(
-        "_span", F.when(is_hot, stretch).otherwise(F.lit(WHOLE_KEY).cast("bigint"))
-    )
-    # A hot key's offsets start from its state; any other key's offset is its state.
-    lifts = []
-    state = None
+    place = ["_key", "_stretch"]
+    cuts = stretch_cuts(rows, key, order, stretch_rows)
+    cuts = F.broadcast(cuts) if broadcast_cuts else cuts
+    on_key = F.col(key).eqNullSafe(F.col("_cut_key"))
+    # Cuts before or at the row; a struct, so that NULL is compared as the first value.
+    stretch = F.size(F.filter("_cuts", lambda cut: cut <= _arrival(order)))
+
+    cut_rows = rows.select(key, *order).join(cuts, on_key).select(F.col(key).alias("_key"), stretch.alias("_stretch"))
+    earlier = Window.partitionBy("_key").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut_rows.groupBy(*place).agg(F.count(F.lit(1)).alias("_c"))
+    lift = totals.select(*place, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_base"))
     if initial is not None:
-        state = initial.select(_pack(F.col(key)).alias("_key"), F.col("n").alias("_base"))
-        lifts.append(state.filter(~is_hot).select("_key", F.lit(WHOLE_KEY).cast("bigint").alias("_span"), "_base"))
-    if hot:
-        earlier = Window.partitionBy("_key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-        totals = keyed.filter(is_hot).groupBy(*place).agg(F.count(F.lit(1)).alias("_c"))
-        before = totals.select(*place, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_base"))
-        if state is not None:
-            started = state.filter(is_hot).withColumnRenamed("_base", "_start")
-            before = before.join(started, "_key", "left").select(
-                *place, (F.col("_base") + F.coalesce("_start", F.lit(0))).alias("_base")
-            )
-        lifts.append(before)
-    lift = lifts[0] if len(lifts) == 1 else lifts[0].unionByName(lifts[1])
-
-    within = Window.partitionBy(*place).orderBy(*order)
-    numbered = keyed.drop(key).withColumn("_i", F.row_number().over(within))
-    others = [c for c in rows.columns if c != key]
-    return numbered.join(lift, place, "left").select(
-        *others,
-        _unpack(F.col("_key")).cast(rows.schema[key].dataType).alias(key),
-        (F.col("_i") + F.coalesce("_base", F.lit(0))).cast("bigint").alias("n"),
-    )
-
-
-def _pack(key: Column) -> Column:
-    """The key as text that is never NULL, so a NULL key can be joined on too."""
-    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))
+        state = initial.select(F.col(key).cast(rows.schema[key].dataType).alias("_key"), F.col("n").cast("bigint").alias("_base"))
+        spread = state.join(cuts, F.col("_key").eqNullSafe(F.col("_cut_key")), "left").select(
+            "_key", F.explode(F.sequence(F.lit(0), F.coalesce(F.size("_cuts"), F.lit(0)))).alias("_stretch"), "_base"
+        )
+        lift = lift.unionByName(spread).groupBy(*place).agg(F.sum("_base").alias("_base"))
+    lift = lift.withColumnsRenamed({"_key": "_lift_key", "_stretch": "_lift_stretch"})
 
-
-def _unpack(packed: Column) -> Column:
-    return F.when(packed != "", F.substring(packed, F.lit(2), F.length(packed)))
+    placed = rows.join(cuts, on_key, "left").withColumn("_stretch", F.coalesce(stretch, F.lit(0))).drop("_cuts", "_cut_key")
+    within = Window.partitionBy(key, "_stretch").orderBy(*order)
+    numbered = placed.withColumn("_i", F.row_number().over(within))
+    same = F.col(key).eqNullSafe(F.col("_lift_key")) & (F.col("_stretch") == F.col("_lift_stretch"))
+    n = (F.col("_i") + F.coalesce("_base", F.lit(0))).cast("bigint")
+    return numbered.join(lift, same, "left").select(*rows.columns, n.alias("n"))
 
 
 def running_count_by_window(rows: DataFrame, key: str = "key", seq: str | list[str] = "seq") -> DataFrame:
@@ -139,23 +108,26 @@ def running_count_by_window(rows: DataFrame, key: str = "key", seq: str | list[s
     return rows.withColumn("n", numbered.cast("bigint"))
 
 
-def expand_ranges(ranges: DataFrame, key: str = "key", piece: int = RANGE_ROWS) -> DataFrame:
+def expand_ranges(ranges: DataFrame, key: str = "key", piece: int = RANGE_ROWS, partitions: int | None = None) -> DataFrame:
     """``(key, base, cnt)`` to the rows ``(key, base+1) .. (key, base+cnt)``.
 
-    Long ranges are cut into pieces, at most ``MAX_PIECES`` of one range, that are
-    spread over the tasks first. The number of tasks is given, or their small
-    input would have them merged before it grows.
+    Ranges are cut into pieces of ``SPREAD_ROWS`` that are dealt out over
+    ``partitions`` tasks (the session's number of shuffle partitions if not
+    given; it has to be given, or the small input would have tasks merged before
+    it grows), and made in pieces of ``piece`` rows.
     """
-    size = F.greatest(F.lit(piece).cast("bigint"), F.expr(f"cnt div {MAX_PIECES}L + 1L"))
-    pieces = ranges.filter("cnt > 0").select(
-        key,
-        (F.col("base") + F.col("cnt")).alias("last"),
-        size.alias("size"),
-        F.explode(F.sequence(F.col("base") + 1, F.col("base") + F.col("cnt"), size)).alias("first"),
-    )
-    spread = pieces.repartition(shuffle_partitions(ranges.sparkSession), key, "first")
-    ends = F.least("last", F.col("first") + F.col("size") - 1)
-    return spread.select(key, F.explode(F.sequence("first", ends)).alias("n"))
+    spread_rows = max(SPREAD_ROWS, piece)
+    number = partitions or int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def cut(rows: DataFrame, size: int) -> DataFrame:
+        firsts = F.explode(F.sequence("first", "last", F.lit(size).cast("bigint")))
+        pieces = rows.select(key, "last", firsts.alias("first"))
+        return pieces.select(key, "first", F.least("last", F.col("first") + (size - 1)).alias("last"))
+
+    some = ranges.filter("cnt > 0")
+    whole = some.select(key, (F.col("base") + 1).alias("first"), (F.col("base") + F.col("cnt")).alias("last"))
+    dealt = cut(whole, spread_rows).repartition(number, key, "first")
+    return cut(dealt, piece).select(key, F.explode(F.sequence("first", "last")).alias("n"))
 
 
 def emitted_counts(rows: DataFrame, key: str = "key", initial: DataFrame | None = None) -> DataFrame:

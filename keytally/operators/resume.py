@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 
-from keytally.operators.counting import final_count, merge_state, running_count
+from keytally.operators.counting import STRETCH_ROWS, final_count, merge_state, running_count
 from keytally.operators.snapshots import snapshot_at
 
 
@@ -15,11 +15,10 @@ def resume(
     rows: DataFrame,
     key: str = "key",
     seq: str = "seq",
-    span: int | None = None,
-    hot: list | None = None,
+    stretch_rows: int = STRETCH_ROWS,
 ) -> DataFrame:
     """Running counts of new rows, each key starting from its value in the snapshot."""
-    return running_count(rows, key, seq, initial=snapshot, span=span, hot=hot)
+    return running_count(rows, key, seq, initial=snapshot, stretch_rows=stretch_rows)
 
 
 def state_after(snapshot: DataFrame, rows: DataFrame, key: str = "key") -> DataFrame:

@@ -38,7 +38,8 @@ def _edit_tail(snapshot: DataFrame, n: int, key: str, column: str, value: Column
     # The mark is made from the value, so both sides need the same columns of the
     # snapshot and share its shuffle where it is not a stored table yet.
     mark = F.hash(column)
-    chosen = tail(snapshot, n, key).select(F.col(key).alias("_hit"), mark.alias("_mark"))
+    # A key that a snapshot repeats is one hit, or the join would repeat its rows.
+    chosen = tail(snapshot, n, key).groupBy(F.col(key).alias("_hit")).agg(F.first(mark).alias("_mark"))
     if n <= BROADCAST_KEYS:
         chosen = F.broadcast(chosen)
     joined = snapshot.join(chosen, F.col(key).eqNullSafe(F.col("_hit")), "left")
@@ -51,7 +52,11 @@ def _edit_tail(snapshot: DataFrame, n: int, key: str, column: str, value: Column
 def edit_last_n(
     snapshot: DataFrame, n: int = LAST_N, value: float | bytes = 0, key: str = "key", column: str = "n"
 ) -> DataFrame:
-    """Set the values of the last ``n`` keys; with fewer keys, of all of them.
+    """Set the values of the last ``n`` entries; with fewer entries, of all of them.
+
+    A snapshot holds a key once; of a key that is repeated all entries are set.
+    The hits are broadcast if ``n`` is at most ``BROADCAST_KEYS`` and shuffled
+    otherwise, with the same result.
 
     A snapshot of raw values takes bytes, such as ``ZERO_DOUBLE``.
     """

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytally.functions import binary as b
 from keytally.functions import text as t
+from keytally.functions.checksum import crc32c_udf
 from keytally.operators import binary as bo
-from keytally.operators import counting, ranking, resume, snapshots
+from keytally.operators import counting, inspection, ranking, resume, snapshots
 from keytally.operators.versions import SnapshotVersions
 from keytally.session import work_dir
 from keytally.sources import words
-from keytally.sources.files import dump_lines
+from keytally.sources.files import binary_files, dump_lines
 from keytally.sources.tables import (
     document_words,
     keyed_events,
@@ -71,6 +73,11 @@ def running_count(spark, sf):
     return counting.running_count(_events(spark, sf))
 
 
+def running_count_split(spark, sf):
+    """The same with every key of more than some hundred rows cut into stretches."""
+    return counting.running_count(_events(spark, sf), stretch_rows=64)
+
+
 def word_running_count(spark, sf):
     rows = document_words(table(spark, sf, "documents"))
     return counting.running_count(rows, seq=["doc_id", "pos"])
@@ -105,7 +112,7 @@ def draw_words(spark, sf):
 def draw_from_vocab(spark, sf):
     path = work_dir(spark, "vocabulary")
     spoken = document_words(table(spark, sf, "documents")).select(F.col("key").alias("word"))
-    spoken.distinct().write.parquet(path)
+    words.bucketed_words(spoken).write.parquet(path)
     return words.draw_from(table(spark, sf, "events"), "event_id", spark.read.parquet(path), SEED)
 
 
@@ -197,7 +204,16 @@ def state_after_resume(spark, sf):
     return resume.state_after(snapshots.edit_last_n(counting.final_count(early)), late)
 
 
-# Streams
+# Streams: as many partitions of the state as the cluster has cores
+
+
+def _cores(spark):
+    return spark.sparkContext.defaultParallelism
+
+
+def _counted(spark, stream, out, checkpoint):
+    number = _cores(spark)
+    return counts.run(counts.stream_counts(stream, partitions=number), out, checkpoint, number)
 
 
 def collection_source(spark, sf):
@@ -205,18 +221,25 @@ def collection_source(spark, sf):
     draws = _draws(spark, sf)
     draws.write.parquet(f"{root}/in")
     stream = spark.readStream.schema(draws.schema).parquet(f"{root}/in")
-    return counts.run(stream, f"{root}/out", f"{root}/checkpoint")
+    return counts.run(stream, f"{root}/out", f"{root}/checkpoint", _cores(spark))
 
 
 def _stream_run(spark, sf, root):
     stream = keyed_events(table_stream(spark, sf, "events"))
-    return counts.run(counts.stream_counts(stream), f"{root}/out", f"{root}/checkpoint")
+    return _counted(spark, stream, f"{root}/out", f"{root}/checkpoint")
 
 
 def stream_running_count(spark, sf):
     return _stream_run(spark, sf, work_dir(spark, "stream"))
 
 
+def stream_word_running_count(spark, sf):
+    """Every word of every document through the stream: many keys, few records of each."""
+    root = work_dir(spark, "stream-words")
+    words_in = document_words(table_stream(spark, sf, "documents"))
+    return _counted(spark, words_in, f"{root}/out", f"{root}/checkpoint")
+
+
 def snapshot_scan(spark, sf):
     root = work_dir(spark, "scan")
     _stream_run(spark, sf, root)
@@ -235,9 +258,9 @@ def _two_drops(spark, sf, root):
     early, late = _split(events)
     early.write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
-    counts.run(counts.stream_counts(stream), f"{root}/out", f"{root}/checkpoint")
+    _counted(spark, stream, f"{root}/out", f"{root}/checkpoint")
     late.write.mode("append").parquet(f"{root}/in")
-    return counts.run(counts.stream_counts(stream), f"{root}/out", f"{root}/checkpoint")
+    return _counted(spark, stream, f"{root}/out", f"{root}/checkpoint")
 
 
 def stream_restart(spark, sf):
@@ -257,10 +280,10 @@ def _stream_resume(spark, sf, root, edit):
         part.write.parquet(path)
     first = spark.readStream.schema(events.schema).parquet(f"{root}/in1")
     second = spark.readStream.schema(events.schema).parquet(f"{root}/in2")
-    counts.run(counts.stream_counts(first), f"{root}/out1", f"{root}/checkpoint1")
+    _counted(spark, first, f"{root}/out1", f"{root}/checkpoint1")
     versions = SnapshotVersions(spark, f"{root}/versions")
     taken = versions.write(edit(state.read_snapshot(spark, f"{root}/checkpoint1")), "events", 0)
-    return counts.resume_from_snapshot(second, taken, f"{root}/out2", f"{root}/checkpoint2")
+    return counts.resume_from_snapshot(second, taken, f"{root}/out2", f"{root}/checkpoint2", _cores(spark))
 
 
 def stream_resume(spark, sf):
@@ -277,22 +300,29 @@ def stream_state_after_resume(spark, sf):
     return state.read_snapshot(spark, f"{root}/checkpoint2")
 
 
+def _by_kind(spark, sf):
+    """The snapshot with one file for each event type."""
+    kind = F.substring_index("key", ":", 1)
+    return _snapshot(spark, sf).withColumn("kind", kind).repartition("kind")
+
+
 def file_arrivals(spark, sf):
-    """A snapshot is written as files; each one that arrives is checked."""
+    """A snapshot is written as files, beside a broken one; each that arrives is checked."""
     root = work_dir(spark, "arrivals")
-    SnapshotVersions(spark, f"{root}/in").write(_snapshot(spark, sf), "events", 0)
+    _by_kind(spark, sf).write.partitionBy("kind").parquet(f"{root}/in/snapshot")
+    broken = _snapshot(spark, sf).limit(1).select(F.lit("broken").alias("kind"), "key")
+    broken.coalesce(1).write.partitionBy("kind").text(f"{root}/in/text")
     action = arrivals.signature_action(b"PAR1")
-    watching = arrivals.watch(spark, f"{root}/in", action, f"{root}/status", f"{root}/checkpoint", "*.parquet")
+    watching = arrivals.watch(spark, f"{root}/in", action, f"{root}/status", f"{root}/checkpoint", "part-*")
     watching.awaitTermination()
-    return arrivals.read_status(spark, f"{root}/status")
+    kind = F.regexp_extract("path", "/kind=([^/]*)/", 1).alias("kind")
+    return arrivals.read_status(spark, f"{root}/status").select(kind, "status", "message")
 
 
 def file_arrivals_edit(spark, sf):
     """A snapshot is written as one file per event type; each arriving file is edited."""
     root = work_dir(spark, "arrivals-edit")
-    kind = F.substring_index("key", ":", 1)
-    by_kind = _snapshot(spark, sf).withColumn("kind", kind).repartition("kind")
-    by_kind.write.partitionBy("kind").parquet(f"{root}/in")
+    _by_kind(spark, sf).write.partitionBy("kind").parquet(f"{root}/in")
     action = arrivals.edit_action(f"{root}/edited")
     arrivals.watch(
         spark, f"{root}/in", action, f"{root}/status", f"{root}/checkpoint", "*.parquet"
@@ -314,6 +344,26 @@ def largest_page(spark, sf):
     return ranking.largest_state_file(files, excluded="")
 
 
+def largest_version_file(spark, sf):
+    """Two versions are written, each as a large and a small file; how many entries has the largest?"""
+    root = work_dir(spark, "version-files")
+    before = _snapshot(spark, sf)
+    written = []
+    for version, entries in enumerate((before, snapshots.edit_last_n(before))):
+        for part, rows in (("all", entries), ("tail", snapshots.tail(entries))):
+            written.append(rows.withColumns({"version": F.lit(version), "part": F.lit(part)}))
+    both = reduce(DataFrame.unionByName, written)
+    both.repartition("version", "part").write.partitionBy("version", "part").parquet(root)
+    files = ranking.largest_state_file(
+        binary_files(spark, root, "*.parquet")
+        .select(F.regexp_replace("path", "/part=([a-z]+)/", "/$1-").alias("path"), "length")
+    )
+    largest = F.broadcast(files.select(F.regexp_extract("path", "[^/]*-part", 0).alias("_part"), F.regexp_extract("path", "/version=([0-9]+)/", 1).cast("int").alias("_version")))
+    entries = spark.read.parquet(root)
+    inside = (F.col("version") == F.col("_version")) & F.startswith(F.col("_part"), F.col("part"))
+    return entries.join(largest, inside).groupBy("version").agg(F.count(F.lit(1)).alias("entries"))
+
+
 def file_filter(spark, sf):
     url = F.col("url")
     wanted = t.has_suffix(url, ".html", is_directory=F.endswith(url, F.lit("/")))
@@ -331,10 +381,13 @@ def binary_scan(spark, sf):
 
 
 def signature_check(spark, sf):
-    content = F.col("content")
+    """Pages as they are, signed, and cut short, by the page number."""
+    page, content = F.col("page_id"), F.col("content")
+    signed = F.concat(content, b.literal_bytes(b.STORE_SIGNATURE))
+    stored = F.when(page % 3 == 0, signed).when(page % 3 == 1, F.substring(content, 1, 6)).otherwise(content)
     return _pages(spark, sf).select(
         "page_id",
-        b.signature_status(content).alias("store_status"),
+        b.signature_status(stored).alias("store_status"),
         b.signature_status(content, PAGE_END).alias("page_status"),
     )
 
@@ -352,11 +405,25 @@ def prefix_search(spark, sf):
     return bo.search_prefix(_pages(spark, sf), ABSENT_TARGET, id="page_id")
 
 
+def _requests(spark, sf):
+    """A patch of every kind, asked for in text: inside, up to the end, over it, past it,
+    before the start, with bad bytes, by a hexadecimal place, and with no place at all."""
+    page = F.col("page_id")
+    size = F.length("content")
+    at = [F.lit("100"), size - 4, size - 3, size, F.lit("-1"), F.lit("100"), F.concat(F.lit("0x"), F.hex(page % 64)), F.lit("zz")]
+    offset = F.element_at(F.array(*[a.cast("string") for a in at]), (page % 8 + 1).cast("int"))
+    return _pages(spark, sf).withColumns({"at": offset, "new": F.when(page % 8 == 5, "05 0G").otherwise(PATCH_HEX)})
+
+
 def byte_patch(spark, sf):
-    patched = bo.patch(_pages(spark, sf), F.col("page_id") * 100, F.lit(PATCH_HEX))
+    patched = bo.patch(_requests(spark, sf), t.parse_offset(F.col("at")), F.col("new"))
     return patched.select("page_id", "status", F.hex("original").alias("original"), F.md5("content").alias("md5"))
 
 
+def patch_requests(spark, sf):
+    return bo.patch_requests(_requests(spark, sf), F.col("at"), F.col("new"), id="page_id")
+
+
 def hex_dump(spark, sf):
     return bo.hex_dump(_pages(spark, sf), id="page_id")
 
@@ -369,6 +436,23 @@ def hex_match_context(spark, sf):
     return bo.match_context(_with_tag_offset(spark, sf), len(TAG), id="page_id")
 
 
+def encoding_contexts(spark, sf):
+    return bo.encoding_contexts(_pages(spark, sf), SWAPPED_TARGET, id="page_id")
+
+
+def last_record_offset(spark, sf):
+    """Four records are dumped from each page, some with a value that it does not hold."""
+    pages = _pages(spark, sf)
+    content = F.col("content")
+    lines = []
+    for seq in range(4):
+        value = F.hex(F.substring(content, 65 + 32 * seq, 8))
+        value = F.when(F.col("page_id") % 5 == 0, F.reverse(value)).otherwise(value)
+        lines.append(t.render_dump_line(F.hex(F.substring(content, 1 + 16 * seq, 4)), F.lit(seq), value))
+    dumped = pages.select("page_id", F.explode(F.array(*lines, F.lit("no record"))).alias("value"))
+    return inspection.last_record_offset(dumped, pages, id="page_id")
+
+
 def patched_context(spark, sf):
     """Find a tag, overwrite it, and show the bytes around it afterwards."""
     patched = bo.patch(_with_tag_offset(spark, sf), F.col("offset"), F.lit(PATCH_HEX))
@@ -380,7 +464,11 @@ def _with_tag_offset(spark, sf):
 
 
 def checksum_verify(spark, sf):
-    return bo.verify_checksum(_pages(spark, sf))
+    """Pages as they are, with a right footer, and cut short, by the page number."""
+    page, content = F.col("page_id"), F.col("content")
+    footer = F.concat(b.literal_bytes(bytes(4)), b.write_u32(crc32c_udf(content), little=True))
+    stored = F.when(page % 3 == 0, F.concat(content, footer)).when(page % 3 == 1, F.substring(content, 1, 5)).otherwise(content)
+    return bo.verify_checksum(_pages(spark, sf).withColumn("content", stored))
 
 
 # Text
@@ -428,7 +516,8 @@ def decode_u32_pair(spark, sf):
 
 def parse_offset(spark, sf):
     distinct = document_words(table(spark, sf, "documents")).select(F.col("key").alias("word")).distinct()
-    return distinct.select("word", t.parse_offset(F.col("word")).alias("offset"))
+    word = F.col("word")
+    return distinct.select("word", t.parse_offset(word).alias("offset"), t.offset_status(word).alias("status"))
 
 
 def _dump(spark, sf):
@@ -463,6 +552,7 @@ def dump_parse_quoted(spark, sf):
 def all_queries() -> dict[str, Query]:
     return {
         "running_count": running_count,
+        "running_count_split": running_count_split,
         "word_running_count": word_running_count,
         "emitted_counts": emitted_counts,
         "final_count": final_count,
@@ -488,6 +578,7 @@ def all_queries() -> dict[str, Query]:
         "resume_edited": resume_edited,
         "state_after_resume": state_after_resume,
         "stream_running_count": stream_running_count,
+        "stream_word_running_count": stream_word_running_count,
         "stream_restart": stream_restart,
         "stream_snapshot_at": stream_snapshot_at,
         "stream_resume": stream_resume,
@@ -497,6 +588,7 @@ def all_queries() -> dict[str, Query]:
         "file_arrivals_edit": file_arrivals_edit,
         "largest_file": largest_file,
         "largest_page": largest_page,
+        "largest_version_file": largest_version_file,
         "file_filter": file_filter,
         "binary_scan": binary_scan,
         "signature_check": signature_check,
@@ -504,9 +596,12 @@ def all_queries() -> dict[str, Query]:
         "byte_search_encodings": byte_search_encodings,
         "prefix_search": prefix_search,
         "byte_patch": byte_patch,
+        "patch_requests": patch_requests,
         "hex_dump": hex_dump,
         "hex_context": hex_context,
         "hex_match_context": hex_match_context,
+        "encoding_contexts": encoding_contexts,
+        "last_record_offset": last_record_offset,
         "patched_context": patched_context,
         "checksum_verify": checksum_verify,
         "extract_id": extract_id,

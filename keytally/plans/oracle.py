@@ -95,6 +95,13 @@ def _u32(start: int, little: bool) -> str:
     return f"CASE WHEN size >= {start + 4} THEN CAST('0x' || {digits} AS BIGINT) END"
 
 
+REQUESTS = """p AS (SELECT page_id, html, h, size, CASE page_id % 8
+    WHEN 0 THEN 100 WHEN 1 THEN size - 4 WHEN 2 THEN size - 3 WHEN 3 THEN size WHEN 4 THEN -1
+    WHEN 5 THEN 100 WHEN 6 THEN page_id % 64 END AS pos FROM b),
+s AS (SELECT *, CASE WHEN page_id % 8 = 5 THEN 'bad_hex'
+    WHEN pos IS NULL OR pos < 0 OR pos >= size THEN 'out_of_range' WHEN pos + 4 > size THEN 'too_long'
+    ELSE 'ok' END AS status FROM p)"""
+PATCHED = "substr(h, 1, 2 * pos) || '05000000' || substr(h, 2 * pos + 9)"
 RUNNING = f"WITH {EVENTS} SELECT key, {NUMBERED} AS n FROM ev"
 FINAL = f"WITH {EVENTS} SELECT key, count(*) AS n FROM ev GROUP BY key"
 SNAP = f"WITH {SNAPSHOT} SELECT key, n FROM snap"
@@ -113,6 +120,7 @@ FROM late l LEFT JOIN {base} s ON s.key = l.key"""
 def all_sql() -> dict[str, str]:
     return {
         "running_count": f"WITH {EVENTS} SELECT seq, key, {NUMBERED} AS n FROM ev",
+        "running_count_split": f"WITH {EVENTS} SELECT seq, key, {NUMBERED} AS n FROM ev",
         "word_running_count": f"""WITH {WORDS} SELECT doc_id, CAST(pos AS INT) AS pos, key,
   row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS n FROM words""",
         "emitted_counts": RUNNING,
@@ -162,6 +170,8 @@ SELECT count(*) AS total, least(count(*), 5) AS replaced FROM snap""",
         "resume_edited": _resumed("edited", "l.seq, l.key"),
         "state_after_resume": STATE_AFTER,
         "stream_running_count": RUNNING,
+        "stream_word_running_count": f"""WITH {WORDS}
+SELECT key, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS n FROM words""",
         "stream_restart": RUNNING,
         "stream_snapshot_at": SNAP,
         "stream_resume": _resumed("snap", "l.key"),
@@ -181,36 +191,40 @@ QUALIFY row_number() OVER (PARTITION BY folder ORDER BY length DESC, path) = 1""
 WHERE url LIKE '%.html' AND NOT url LIKE '%/'""",
         "binary_scan": f"""WITH {BYTES}
 SELECT page_id, size AS length, substr(h, 1, 32) AS head, md5(html) AS md5 FROM b""",
-        "signature_check": f"""WITH {BYTES}
+        "signature_check": f"""WITH {BYTES},
+s AS (SELECT page_id, h, size, CASE page_id % 3 WHEN 0 THEN h || 'F7CFF485B741E288' WHEN 1 THEN left(h, 12) ELSE h END AS k FROM b)
 SELECT page_id,
-  CASE WHEN size < 8 THEN 'too_small' WHEN right(h, 16) = 'F7CFF485B741E288' THEN 'ok'
+  CASE WHEN length(k) < 16 THEN 'too_small' WHEN right(k, 16) = 'F7CFF485B741E288' THEN 'ok'
        ELSE 'bad_signature' END AS store_status,
   CASE WHEN size < 8 THEN 'too_small' WHEN right(h, 16) = hex(encode('></html>')) THEN 'ok'
-       ELSE 'bad_signature' END AS page_status FROM b""",
+       ELSE 'bad_signature' END AS page_status FROM s""",
         "byte_search": f"SELECT page_id, {_offset('<p')} AS \"offset\" FROM pages",
         "byte_search_encodings": f"""SELECT page_id, label, off AS "offset", pattern FROM (
-  SELECT page_id, 'Exact match' AS label, {_offset('p/<.>p<>')} AS off,
+  SELECT page_id, 'exact' AS label, {_offset('p/<.>p<>')} AS off,
          hex(encode('p/<.>p<>')) AS pattern FROM pages
-  UNION ALL SELECT page_id, 'Little-endian 32-bit integers', {_offset('.</p><p>')},
+  UNION ALL SELECT page_id, 'pair_le', {_offset('.</p><p>')},
          hex(encode('.</p><p>')) FROM pages
-  UNION ALL SELECT page_id, 'First value ' || 1882143790 || ' (LE)', {_offset('.</p')},
+  UNION ALL SELECT page_id, 'first_le', {_offset('.</p')},
          hex(encode('.</p')) FROM pages
-  UNION ALL SELECT page_id, 'Second value ' || 1047542846 || ' (LE)', {_offset('><p>')},
+  UNION ALL SELECT page_id, 'second_le', {_offset('><p>')},
          hex(encode('><p>')) FROM pages)
 WHERE off >= 0""",
         "prefix_search": """SELECT page_id, 1 AS prefix_len,
   octet_length(encode(regexp_extract(html, '^[^À-ÿ]*'))) AS "offset"
 FROM pages WHERE regexp_matches(html, '[À-ÿ]')""",
-        "byte_patch": f"""WITH {BYTES},
-p AS (SELECT page_id, html, h, size, page_id * 100 AS pos FROM b),
-s AS (SELECT *, CASE WHEN pos >= size THEN 'out_of_range' WHEN pos + 4 > size THEN 'too_long'
-                ELSE 'ok' END AS status FROM p)
+        "byte_patch": f"""WITH {BYTES}, {REQUESTS}
 SELECT page_id, status,
   CASE WHEN status = 'ok' THEN substr(h, 2 * pos + 1, 8) END AS original,
-  CASE WHEN status = 'ok'
-    THEN md5(unhex(substr(h, 1, 2 * pos) || '05000000' || substr(h, 2 * pos + 9)))
-    ELSE md5(html) END AS md5
+  CASE WHEN status = 'ok' THEN md5(unhex({PATCHED})) ELSE md5(html) END AS md5
 FROM s""",
+        "patch_requests": f"""WITH {BYTES}, {REQUESTS},
+c AS (SELECT page_id, h, pos, 2 * greatest(0, pos - 16) + 1 AS f, CASE WHEN page_id % 8 = 5 THEN 'ok' ELSE status END AS status,
+             CASE WHEN page_id % 8 = 5 THEN '05' ELSE '05000000' END AS new FROM s)
+SELECT page_id, pos AS "offset", status,
+  CASE WHEN status = 'ok' THEN {_spaced("substr(h, f, 96)")} END AS before,
+  CASE WHEN status = 'ok'
+    THEN {_spaced("substr(substr(h, 1, 2 * pos) || new || substr(h, 2 * pos + 1 + length(new)), f, 96)")} END AS after
+FROM c""",
         "hex_dump": f"""WITH {BYTES},
 r AS (SELECT page_id, h, unnest(range(0, size, 16)) AS o FROM b),
 c AS (SELECT page_id, o, substr(h, 2 * o + 1, 32) AS c FROM r)
@@ -237,16 +251,48 @@ FROM c""",
         "checksum_verify": f"""WITH {BYTES},
 t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
         lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 2197175160) ELSE c // 2 END, i)) AS tab),
-d AS (SELECT page_id, size, h, list_transform(regexp_extract_all(left(h, greatest(0, 2 * size - 16)), '..'),
-        lambda p: CAST('0x' || p AS BIGINT)) AS data FROM b),
-c AS (SELECT page_id, size,
-        xor(list_reduce(data, lambda c, x: xor(c // 256, tab[xor(c, x) % 256 + 1]), 4294967295), 4294967295) AS computed,
-        CAST('0x' || substr(h, 2 * size - 1, 2) || substr(h, 2 * size - 3, 2)
-             || substr(h, 2 * size - 5, 2) || substr(h, 2 * size - 7, 2) AS BIGINT) AS stored
-      FROM d, t)
+k AS (SELECT page_id, h, size, CASE page_id % 3 WHEN 0 THEN h WHEN 1 THEN '' ELSE left(h, greatest(0, 2 * size - 16)) END AS body FROM b),
+d AS (SELECT page_id, size, h, list_transform(regexp_extract_all(body, '..'),
+        lambda p: CAST('0x' || p AS BIGINT)) AS data FROM k),
+c AS (SELECT page_id, size, h,
+        xor(list_reduce(data, lambda c, x: xor(c // 256, tab[xor(c, x) % 256 + 1]), 4294967295), 4294967295) AS computed
+      FROM d, t),
+v AS (SELECT page_id, CASE WHEN page_id % 3 <> 1 THEN computed END AS computed,
+        CASE page_id % 3 WHEN 0 THEN computed WHEN 2 THEN
+          CAST('0x' || substr(h, 2 * size - 1, 2) || substr(h, 2 * size - 3, 2)
+               || substr(h, 2 * size - 5, 2) || substr(h, 2 * size - 7, 2) AS BIGINT) END AS stored FROM c)
 SELECT page_id, computed, stored,
-  CASE WHEN size < 8 THEN 'too_small' WHEN computed = stored THEN 'ok' ELSE 'mismatch' END AS status
-FROM c""",
+  CASE WHEN computed IS NULL THEN 'too_small' WHEN computed = stored THEN 'ok' ELSE 'mismatch' END AS status
+FROM v""",
+        "last_record_offset": f"""WITH {BYTES},
+r AS (SELECT page_id, h, unnest(range(4)) AS seq FROM b),
+l AS (SELECT page_id, substr(h, 1 + 32 * seq, 8) AS k, CASE WHEN page_id % 5 = 0 THEN reverse(substr(h, 129 + 64 * seq, 16))
+             ELSE substr(h, 129 + 64 * seq, 16) END AS v FROM r),
+m AS (SELECT page_id, max((k, v)) AS m FROM l GROUP BY page_id),
+n AS (SELECT page_id, m[1] AS key_hex, m[2] AS value_hex FROM m),
+p AS (SELECT page_id, h, unnest(range(size - 7)) AS i FROM b),
+f AS (SELECT page_id, min(i) AS i FROM p JOIN n USING (page_id) WHERE substr(h, 2 * i + 1, 16) = value_hex GROUP BY page_id)
+SELECT n.page_id, key_hex, value_hex, coalesce(i, -1) AS "offset" FROM n LEFT JOIN f USING (page_id)""",
+        "encoding_contexts": f"""WITH {BYTES},
+e AS (SELECT page_id, html, h, size, unnest([
+    {{'label': 'exact', 'off': {_offset('p/<.>p<>')}, 'len': 8}}, {{'label': 'pair_le', 'off': {_offset('.</p><p>')}, 'len': 8}},
+    {{'label': 'first_le', 'off': {_offset('.</p')}, 'len': 4}}, {{'label': 'second_le', 'off': {_offset('><p>')}, 'len': 4}}]) AS m FROM b),
+g AS (SELECT page_id, h, size, m.label AS label, m.off AS off, m.len AS len FROM e WHERE m.off >= 0),
+a AS (SELECT * FROM g UNION ALL
+      SELECT page_id, h, size, 'prefix', {_offset('p')}, 1 FROM b WHERE page_id NOT IN (SELECT page_id FROM g)),
+w AS (SELECT *, greatest(0, off - 16) AS s, least(size, off + len + 16) AS e FROM a WHERE off >= 0),
+r AS (SELECT page_id, label, h, off, unnest(range(s, e, 16)) AS o FROM w WHERE s < e),
+x AS (SELECT page_id, label, CAST(o AS INT) AS row_offset, off, off >= o AND off < o + 16 AS is_target,
+             {_spaced("substr(h, 2 * o + 1, 32)")} AS hex FROM r)
+SELECT page_id, row_offset, label, hex, is_target, lpad(lower(to_hex(row_offset)), 8, '0') || ': ' || rpad(hex, 47, ' ')
+  || CASE WHEN is_target THEN '  <-- TARGET at ' || off ELSE '' END AS line FROM x""",
+        "largest_version_file": f"""WITH {SNAPSHOT}
+SELECT version, count(*) AS entries FROM snap, (SELECT unnest([0, 1]) AS version) GROUP BY version""",
+        "file_arrivals": f"""WITH {SNAPSHOT}
+SELECT DISTINCT split_part(key, ':', 1) AS kind, 'ok' AS status, 'ok' AS message FROM snap
+UNION ALL SELECT 'broken', 'error', 'bad_signature'""",
+        "snapshot_metadata": """SELECT 'transformWithStateInPySparkExec' AS operator, 'default' AS store, 'count' AS variables,
+  CAST(0 AS BIGINT) AS first_batch, CAST(0 AS BIGINT) AS last_batch""",
         "extract_id": """WITH l AS (
   SELECT conv_id, turn, CASE WHEN role = 'assistant'
     THEN text || chr(10) || 'Job has been submitted with JobID ' || md5(text) ELSE text END AS line
@@ -278,10 +324,16 @@ k AS (SELECT word, sign,
   regexp_full_match(s, '[+-]?[0-9]+(_[0-9]+)*') AS is_dec,
   regexp_full_match(s, '[+-]?(0[xX]_?)?[0-9a-fA-F]+(_[0-9a-fA-F]+)*') AS is_hex,
   ltrim(d, '0') AS dec, ltrim(regexp_replace(d, '^0[xX]', ''), '0') AS hx FROM g)
-SELECT word, CASE WHEN is_dec AND length(dec) <= 18 THEN sign * CAST('0' || dec AS BIGINT)
-  WHEN is_dec THEN NULL
-  WHEN is_hex AND length(hx) <= 15 THEN sign * CAST('0x0' || hx AS BIGINT) END AS "offset"
-FROM k""",
+SELECT word, status, CASE WHEN status = 'ok' THEN CAST(sign * v AS BIGINT) END AS "offset"
+FROM (
+  SELECT word, sign, v, CASE WHEN NOT (is_dec OR is_hex) THEN 'not_a_number'
+    WHEN v IS NULL OR sign * v NOT BETWEEN -9223372036854775808::HUGEINT AND 9223372036854775807::HUGEINT
+    THEN 'too_large' ELSE 'ok' END AS status
+  FROM (
+    SELECT word, sign, is_dec, is_hex,
+      CASE WHEN is_dec THEN TRY_CAST('0' || dec AS HUGEINT)
+           WHEN is_hex AND length(hx) <= 16 THEN CAST(CAST('0x0' || hx AS UBIGINT) AS HUGEINT) END AS v
+    FROM k))""",
         "dump_lines": f"WITH {DUMP} SELECT value FROM dump",
         "dump_parse": _parsed(f"{QUOTED} ELSE {_hex_digits('l')} END", _hex_digits("r")),
         "dump_parse_quoted": _parsed(f"{QUOTED} END", "trim(r)"),

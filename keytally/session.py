@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Into how many partitions scans of long texts are dealt out before they are
+#: taken apart. Not set on a cluster, where a table has splits enough.
+SCAN_PARTITIONS = "spark.keytally.scan.partitions"
+
 
 def local_session(cores: int = 8, app: str = "keytally", **conf: str) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
@@ -18,6 +22,7 @@ def local_session(cores: int = 8, app: str = "keytally", **conf: str) -> SparkSe
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(SCAN_PARTITIONS, str(cores))
     )
     for name, value in conf.items():
         builder = builder.config(name, value)
@@ -38,11 +43,3 @@ def work_dir(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/keytally/{label}-{uuid.uuid4().hex}"
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    """The session's number, but no more than the cores of a local session."""
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return min(wanted, spark.sparkContext.defaultParallelism)
-    return wanted

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keytally.session import SCAN_PARTITIONS
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,22 +23,20 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def widen(rows: DataFrame) -> DataFrame:
-    """Spread the rows of a scan over all cores if it has very few splits.
+    """Deal the rows of a scan out over as many tasks as the session asks for.
 
-    A file with one row group is one task, however much text is in it. Inputs of
-    many splits, as on a cluster, are left as they are.
+    A file with one row group is one task, however much text is in it. Without
+    the setting ``spark.keytally.scan.partitions`` the scan stays as it is.
     """
-    if rows.isStreaming:
-        return rows
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores / 4 else rows
+    wanted = rows.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return rows.repartition(int(wanted)) if wanted and not rows.isStreaming else rows
 
 
 def keyed_events(events: DataFrame) -> DataFrame:
     """``events`` as ``(seq, key)``: arrival number and counting key."""
     return events.select(
         F.col("event_id").alias("seq"),
-        F.concat_ws(":", F.col("event_type"), (F.col("user_id") % 50).cast("string")).alias("key"),
+        F.concat(F.col("event_type"), F.lit(":"), (F.col("user_id") % 50).cast("string")).alias("key"),
     )
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LETTERS = 26
+#: A vocabulary of fewer words is copied to about so many, for the join.
+SALTED_WORDS = 10_000
 
 
 def combination(index: Column, length: int) -> Column:
@@ -55,17 +57,22 @@ def draw_words(rows: DataFrame, row_id: str, seed: int, length: int = 3) -> Data
     return rows.select(F.col(row_id).alias("seq"), combination(index, length).alias("word"))
 
 
-def draw_from(rows: DataFrame, row_id: str, words: DataFrame, seed: int, word: str = "word") -> DataFrame:
-    """One word per row, drawn from any set of words; an empty set is an error.
+def bucketed_words(words: DataFrame, word: str = "word") -> DataFrame:
+    """The distinct words as ``(bucket, word)``, to be stored for ``draw_from``.
 
-    The distinct words are numbered 0..n-1 in order of ``(bucket, word)``. The
-    bucket is three hex digits of the word's MD5, so each of 4,096 windows sorts
-    its share, and where a bucket starts is a table of at most 4,096 rows.
-    ``words`` is read twice: pass a stored table if it is costly to compute.
+    The bucket is three hex digits of the word's MD5.
+    """
+    return words.select(F.substring(F.md5(word), 1, 3).alias("bucket"), F.col(word).alias("word")).distinct()
+
+
+def draw_from(rows: DataFrame, row_id: str, entries: DataFrame, seed: int) -> DataFrame:
+    """One word per row, drawn from stored ``bucketed_words``; an empty set is an error.
+
+    The words are numbered 0..n-1 in order of ``(bucket, word)``. Each of 4,096
+    windows sorts its share, and where a bucket starts is a table of at most
+    4,096 rows. Rows meet their word by its bucket and place in it, salted by
+    the row, as with few words each one is drawn by many rows.
     """
-    entries = words.select(F.col(word).alias("word")).distinct().withColumn(
-        "bucket", F.substring(F.md5("word"), 1, 3)
-    )
     sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).orderBy("bucket").collect()
     ends = list(accumulate(size["c"] for size in sizes))
     if not ends:
@@ -73,10 +80,16 @@ def draw_from(rows: DataFrame, row_id: str, words: DataFrame, seed: int, word: s
     starts = rows.sparkSession.createDataFrame(
         [(size["bucket"], end - size["c"]) for size, end in zip(sizes, ends)], "bucket string, start bigint"
     )
+    # Words so few that each is drawn often are copied, to have the rows of one spread.
+    salts = max(1, SALTED_WORDS // ends[-1])
     within = F.row_number().over(Window.partitionBy("bucket").orderBy("word"))
     indexed = entries.withColumn("i", within).join(F.broadcast(starts), "bucket")
+    numbered = indexed.select(
+        (F.col("start") + F.col("i") - 1).alias("id"), "word", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    )
     draws = rows.select(
-        F.col(row_id).alias("seq"), draw_index(F.col(row_id), seed, ends[-1]).alias("id")
+        F.col(row_id).alias("seq"),
+        draw_index(F.col(row_id), seed, ends[-1]).alias("id"),
+        F.pmod(F.hash(row_id), F.lit(salts)).alias("salt"),
     )
-    numbered = indexed.select((F.col("start") + F.col("i") - 1).alias("id"), "word")
-    return draws.join(numbered, "id").select("seq", "word")
+    return draws.join(numbered, ["id", "salt"]).select("seq", "word")

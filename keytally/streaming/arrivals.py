@@ -2,34 +2,68 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from keytally.functions.binary import STORE_SIGNATURE, literal_bytes, signature_status
-from keytally.operators.snapshots import BROADCAST_KEYS, LAST_N
+from keytally.functions.binary import STORE_SIGNATURE, signature_status
+from keytally.operators.snapshots import LAST_N
 from keytally.sources.files import BINARY_FILE, binary_files
 from keytally.streaming.counts import AVAILABLE_NOW
 
 STATUS = "path string, modificationTime timestamp, status string, message string"
+#: Files acted on together unless the caller says otherwise; the driver holds their names.
 FILES_PER_TRIGGER = 1000
-# Fixed value: the first and last bytes of a parquet file.
-PARQUET = b"PAR1"
-NOT_PARQUET = "not a parquet file"
+#: Files longer than this are reported, not read: a binary value has to fit into memory.
+MAX_LENGTH = 1 << 30
+#: Parts that a file's ranking is begun in, so that no task ranks a whole file.
+RANKED_PARTS = 64
 
-# Called with the files that arrived and the number of their batch.
+# Called with the names ``(path, modificationTime, length)`` of the files that
+# arrived, a bounded number, and the number of their batch.
 Action = Callable[[DataFrame, int], DataFrame]
 
 
-def signature_action(signature: bytes = STORE_SIGNATURE) -> Action:
-    """Report ``ok`` or ``error`` by the closing signature, inside Spark."""
+def _literal(path: str) -> str:
+    """A path that a reader takes by its letters, not as a pattern."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
 
-    def act(files: DataFrame, batch_id: int) -> DataFrame:
-        verdict = signature_status(F.col("content"), signature)
-        return files.select(
+
+def contents(names: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
+    """``(path, modificationTime, length, content)`` of the named files; no content if too long.
+
+    The names are those of one batch, so the driver may list them.
+    """
+    spark = names.sparkSession
+    rows = names.select("path", "modificationTime", "length").collect()
+    short = [_literal(row["path"]) for row in rows if row["length"] <= max_length]
+    listed = spark.createDataFrame(rows, "path string, modificationTime timestamp, length bigint")
+    if not short:
+        return listed.withColumn("content", F.lit(None).cast("binary"))
+    read = spark.read.format("binaryFile").load(short).select(F.col("path").alias("_path"), "content")
+    return listed.join(read, F.col("path") == F.col("_path"), "left").drop("_path")
+
+
+def signature_action(signature: bytes = STORE_SIGNATURE, max_length: int = MAX_LENGTH) -> Action:
+    """Report ``ok`` or ``error`` by the closing signature, inside Spark.
+
+    A file longer than ``max_length``, or one gone meanwhile, is an error.
+    """
+
+    def act(names: DataFrame, batch_id: int) -> DataFrame:
+        found = signature_status(F.col("content"), signature)
+        verdict = F.when(F.col("length") > max_length, "too_long").otherwise(F.coalesce(found, F.lit("not_found")))
+        return contents(names, max_length).select(
             "path",
             "modificationTime",
             F.when(verdict == "ok", F.lit("ok")).otherwise(F.lit("error")).alias("status"),
@@ -57,51 +91,107 @@ def python_action(handle: Callable[[str], str]) -> Action:
     return lambda files, batch_id: files.select("path", "modificationTime").mapInPandas(each, STATUS)
 
 
+def _readable(files: DataFrame, max_length: int) -> DataFrame:
+    """``(path, schema, problem)``: each file is decoded whole on the executors."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, length, content in zip(*[column.to_pylist() for column in batch.columns]):
+                schema, problem = None, None
+                try:
+                    if content is None:
+                        problem = f"{length} bytes are too many" if length > max_length else "not found"
+                    else:
+                        file = pq.ParquetFile(pa.BufferReader(content))
+                        schema = from_arrow_schema(file.schema_arrow).json()
+                        for group in range(file.num_row_groups):
+                            file.read_row_group(group)
+                except Exception as error:
+                    schema, problem = None, f"not a readable parquet file: {type(error).__name__}"
+                yield pa.record_batch([pa.array([v], pa.string()) for v in (path, schema, problem)], ["path", "schema", "problem"])
+
+    return files.select("path", "length", "content").mapInArrow(each, "path string, schema string, problem string")
+
+
+def _edited(entries: DataFrame, n: int, value: float, key: str, column: str) -> DataFrame:
+    """``entries`` with the values of each file's last ``n`` keys set.
+
+    Ranks are taken in parts of a file first, so no task sorts a whole file; a
+    key that a file repeats counts once, and all its rows are set.
+    """
+    keys = entries.select("file", key).distinct().withColumn("_part", F.pmod(F.hash(key), F.lit(RANKED_PARTS)))
+    last = keys
+    for by in (["file", "_part"], ["file"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(key).desc()))
+        last = last.withColumn("_rank", rank).filter(F.col("_rank") <= n)
+    last = last.select(F.col("file").alias("_file"), F.col(key).alias("_hit"), F.lit(True).alias("_set"))
+    same = (F.col("file") == F.col("_file")) & F.col(key).eqNullSafe(F.col("_hit"))
+    new = F.when(F.col("_set"), F.lit(value)).otherwise(F.col(column))
+    joined = entries.join(last, same, "left")
+    return joined.withColumn(column, new.cast(entries.schema[column].dataType)).select(*entries.columns)
+
+
 def edit_action(
-    out_dir: str, n: int = LAST_N, value: float = 0, key: str = "key", column: str = "n"
+    out_dir: str,
+    n: int = LAST_N,
+    value: float = 0,
+    key: str = "key",
+    column: str = "n",
+    schema: str = "key string, n bigint",
+    max_length: int = MAX_LENGTH,
 ) -> Action:
     """Set the values of the last ``n`` keys of each snapshot file that arrives.
 
     The edited entries of a batch go to ``<out_dir>/batch=<id>`` with their
-    ``file``; the files stay as they are. All files of a batch are edited in one
-    job. A file that is not parquet gets the status ``error``.
+    ``file``; the files stay as they are. Every file is decoded on its own
+    first: one that is no readable parquet, is longer than ``max_length``, lacks
+    a column of ``schema`` or has it in another type, or has a further column in
+    another type than a file before it, is an ``error`` with the reason, and the
+    others are edited. Further columns are kept; read the output with
+    ``mergeSchema``.
     """
 
-    def act(files: DataFrame, batch_id: int) -> DataFrame:
-        spark = files.sparkSession
-        head = F.substring("content", 1, 4) == literal_bytes(PARQUET)
-        good = head & (signature_status(F.col("content"), PARQUET) == "ok")
-        # At most as many rows as a micro-batch has files.
-        listed = files.select("path", "modificationTime", good.alias("good")).collect()
-        arrived = spark.createDataFrame(listed, "path string, modificationTime timestamp, good boolean")
-        paths = [row.path for row in listed if row.good]
-        if not paths:
-            return arrived.select("path", "modificationTime", F.lit("error").alias("status"), F.lit(NOT_PARQUET).alias("message"))
-        entries = spark.read.parquet(*paths).withColumn("file", _plain(F.col("_metadata.file_path")))
-        from_end = Window.partitionBy("file").orderBy(F.col(key).desc())
-        # The rank limit is applied before the shuffle, so no task gets a whole file.
-        last = entries.select("file", key, F.row_number().over(from_end).alias("_rank"))
-        last = last.filter(F.col("_rank") <= n).withColumnsRenamed({"file": "_file", key: "_hit"})
-        if n * len(paths) <= BROADCAST_KEYS:
-            last = F.broadcast(last)
-        same = (F.col("file") == F.col("_file")) & F.col(key).eqNullSafe(F.col("_hit"))
-        new = F.when(F.col("_rank").isNotNull(), F.lit(value)).otherwise(F.col(column))
-        edited = entries.join(last, same, "left").withColumn(
-            column, new.cast(entries.schema[column].dataType)
-        ).drop("_file", "_hit", "_rank")
+    def act(names: DataFrame, batch_id: int) -> DataFrame:
+        spark = names.sparkSession
+        # At most as many rows as a batch has files.
+        checked = _readable(contents(names, max_length), max_length).collect()
+        required = spark.createDataFrame([], schema).schema
+        types = {field.name: field.dataType.simpleString() for field in required}
+        groups: dict[str, list[str]] = {}
+        problems: dict[str, str] = {}
+        for row in sorted(checked, key=lambda row: row["path"]):
+            problem = row["problem"]
+            if problem is None:
+                own = {f.name: f.dataType.simpleString() for f in StructType.fromJson(json.loads(row["schema"])).fields}
+                wrong = [c for c in types if c in own and own[c] != types[c]] + [c for c in required.names if c not in own]
+                problem = f"column {wrong[0]} is {own.get(wrong[0], 'missing')}" if wrong else None
+            if problem is None:
+                types |= own
+                groups.setdefault(row["schema"], []).append(row["path"])
+            else:
+                problems[row["path"]] = problem
         target = f"{out_dir}/batch={batch_id}"
+        entries = spark.createDataFrame([], schema).withColumn("file", F.lit(None).cast("string"))
+        for paths in groups.values():
+            # Names in the metadata are encoded as in an address.
+            file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+            read = spark.read.parquet(*map(_literal, paths)).withColumn("file", _plain(file))
+            entries = entries.unionByName(read, allowMissingColumns=True)
+        edited = _edited(entries, n, value, key, column)
         edited.write.mode("overwrite").parquet(target)
 
-        totals = spark.read.schema(edited.schema).parquet(target).groupBy("file").agg(
-            F.count(F.lit(1)).alias("total")
-        )
-        total = F.coalesce("total", F.lit(0))
-        done = F.format_string("%d entries, the last %d set", total, F.least(total, F.lit(n)))
-        return arrived.join(totals, _plain(F.col("path")) == F.col("file"), "left").select(
+        written = spark.read.schema(edited.schema).parquet(target).groupBy("file")
+        totals = written.agg(F.count(F.lit(1)).alias("total"), F.count_distinct(F.struct(key)).alias("keys"))
+        rows = [(row["path"], problems.get(row["path"])) for row in checked]
+        judged = spark.createDataFrame(rows, "_path string, problem string")
+        total, keys = F.coalesce("total", F.lit(0)), F.coalesce("keys", F.lit(0))
+        done = F.format_string("%d entries, the last %d set", total, F.least(keys, F.lit(n)))
+        known = names.join(judged, F.col("path") == F.col("_path")).join(totals, _plain(F.col("path")) == F.col("file"), "left")
+        return known.select(
             "path",
             "modificationTime",
-            F.when(F.col("good"), F.lit("ok")).otherwise(F.lit("error")).alias("status"),
-            F.when(F.col("good"), done).otherwise(F.lit(NOT_PARQUET)).alias("message"),
+            F.when(F.col("problem").isNull(), F.lit("ok")).otherwise(F.lit("error")).alias("status"),
+            F.coalesce("problem", done).alias("message"),
         )
 
     return act
@@ -125,19 +215,28 @@ def watch(
     checkpoint: str,
     glob: str = "*.sst",
     trigger: dict | None = None,
+    files_per_trigger: int = FILES_PER_TRIGGER,
 ) -> StreamingQuery:
     """Act on every new file under ``root``. A file seen once is not seen again;
-    ``poll`` also notices changed files."""
+    ``poll`` also notices changed files. The stream carries names only. Spark's
+    file sources have no row for an empty file, so it is not acted on."""
     files = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+        .option("maxFilesPerTrigger", files_per_trigger)
         .load(root)
+        .select("path", "modificationTime", "length")
     )
+
+    def arrive(batch: DataFrame, number: int) -> None:
+        # The names of a batch are held, so that no step lists the folder again.
+        names = batch.sparkSession.createDataFrame(batch.collect(), batch.schema)
+        _write_status(action(names, number), status_dir, number)
+
     return (
-        files.writeStream.foreachBatch(lambda batch, i: _write_status(action(batch, i), status_dir, i))
+        files.writeStream.foreachBatch(arrive)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or AVAILABLE_NOW))
         .start()
@@ -155,20 +254,26 @@ def poll(
     status_dir: str,
     batch_id: int,
     glob: str = "*.sst",
+    files_per_action: int = FILES_PER_TRIGGER,
 ) -> DataFrame:
     """Act on the files that are new or changed since batch ``batch_id - 1``.
 
-    Only names and times are compared; contents are read for the changed files.
+    Only names and times are compared; contents are read for the changed files,
+    ``files_per_action`` at a time. An action that is called more than once in
+    a batch is given numbers of its own: ``batch_id`` times a million and on.
     """
-    names = binary_files(spark, root, glob).select("path", "modificationTime")
+    names = binary_files(spark, root, glob).select("path", "modificationTime", "length")
     if batch_id > 0:
         done = read_status(spark, status_dir).filter(F.col("batch") < batch_id)
-        names = names.join(done, ["path", "modificationTime"], "left_anti")
-    # The driver has listed these names already.
-    changed = [row.path for row in names.select("path").collect()]
-    if changed:
-        result = action(spark.read.format("binaryFile").load(changed), batch_id)
-    else:
-        result = spark.createDataFrame([], STATUS)
-    _write_status(result, status_dir, batch_id)
+        names = names.join(done.select("path", "modificationTime"), ["path", "modificationTime"], "left_anti")
+    kind = "path string, modificationTime timestamp, length bigint"
+    result = spark.createDataFrame([], STATUS)
+    parts = 0
+    rows = names.select("path", "modificationTime", "length").toLocalIterator()
+    while some := list(islice(rows, files_per_action)):
+        result = action(spark.createDataFrame(some, kind), batch_id if parts == 0 else batch_id * 1_000_000 + parts)
+        result.write.mode("append" if parts else "overwrite").parquet(f"{status_dir}/batch={batch_id}")
+        parts += 1
+    if not parts:
+        _write_status(result, status_dir, batch_id)
     return read_status(spark, status_dir).filter(F.col("batch") == batch_id)

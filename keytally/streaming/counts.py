@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from keytally.operators.counting import expand_ranges
-from keytally.session import shuffle_partitions
 
 STATE = "count"
 AVAILABLE_NOW = {"availableNow": True}
@@ -54,7 +53,9 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from counted.rename_columns(["key", "cnt"]).to_batches()
 
 
-def stream_counts(rows: DataFrame, initial: DataFrame | None = None, key: str = "key") -> DataFrame:
+def stream_counts(
+    rows: DataFrame, initial: DataFrame | None = None, key: str = "key", partitions: int | None = None
+) -> DataFrame:
     """``(key, n)`` for every record of the stream ``rows``.
 
     Records are combined per key inside each task before the shuffle, so a key
@@ -62,6 +63,7 @@ def stream_counts(rows: DataFrame, initial: DataFrame | None = None, key: str =
     each such row its range of counts, and the ranges are expanded after a
     second, equally small, shuffle that spreads them. ``initial`` is a batch
     ``(key, n)``; it is used in the first micro-batch of a new checkpoint only.
+    ``partitions`` is the number that ``start`` is given.
     """
     combined = rows.select(F.col(key).cast("string").alias("key")).mapInArrow(
         _combine, "key string, cnt bigint"
@@ -73,18 +75,23 @@ def stream_counts(rows: DataFrame, initial: DataFrame | None = None, key: str =
     ranges = combined.groupBy("key").transformWithState(
         CountProcessor(), "key string, base bigint, cnt bigint", "Append", "None", initialState=state
     )
-    return expand_ranges(ranges).withColumnRenamed("key", key)
+    return expand_ranges(ranges, partitions=partitions).withColumnRenamed("key", key)
 
 
-def start(counted: DataFrame, output: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def start(
+    counted: DataFrame, output: str, checkpoint: str, trigger: dict | None = None, partitions: int | None = None
+) -> StreamingQuery:
     """Start writing ``counted`` as parquet, with state in ``checkpoint``.
 
     The file sink commits each micro-batch once. ``trigger`` is passed on;
     by default all that has arrived is processed and the query ends. A new
-    checkpoint keeps the session's number of shuffle partitions for good.
+    checkpoint keeps ``partitions``, the session's number of shuffle partitions
+    if not given, for good.
     """
     spark = counted.sparkSession
-    settings = STATE_CONF | {"spark.sql.shuffle.partitions": str(shuffle_partitions(spark))}
+    settings = dict(STATE_CONF)
+    if partitions:
+        settings["spark.sql.shuffle.partitions"] = str(partitions)
     old = {name: spark.conf.get(name, None) for name in settings}
     for name, value in settings.items():
         spark.conf.set(name, value)
@@ -105,20 +112,22 @@ def start(counted: DataFrame, output: str, checkpoint: str, trigger: dict | None
                 spark.conf.set(name, value)
 
 
-def run(counted: DataFrame, output: str, checkpoint: str) -> DataFrame:
+def run(counted: DataFrame, output: str, checkpoint: str, partitions: int | None = None) -> DataFrame:
     """Process all that has arrived and return everything written so far.
 
     The same checkpoint continues where the last run ended; that is a restart.
     """
-    start(counted, output, checkpoint).awaitTermination()
+    start(counted, output, checkpoint, partitions=partitions).awaitTermination()
     return counted.sparkSession.read.schema(counted.schema).parquet(output)
 
 
-def resume_from_snapshot(rows: DataFrame, snapshot: DataFrame, output: str, checkpoint: str) -> DataFrame:
+def resume_from_snapshot(
+    rows: DataFrame, snapshot: DataFrame, output: str, checkpoint: str, partitions: int | None = None
+) -> DataFrame:
     """Count a new stream from a snapshot; the checkpoint must be a new one."""
     if _exists(rows.sparkSession, checkpoint):
         raise ValueError(f"{checkpoint} is in use: a snapshot only starts a new checkpoint")
-    return run(stream_counts(rows, initial=snapshot), output, checkpoint)
+    return run(stream_counts(rows, initial=snapshot, partitions=partitions), output, checkpoint, partitions)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

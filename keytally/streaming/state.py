@@ -20,5 +20,17 @@ def read_snapshot(spark: SparkSession, checkpoint: str, batch_id: int | None = N
 
 
 def snapshot_metadata(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """State stores of a checkpoint: operator, partitions, batches on hand."""
-    return spark.read.format("state-metadata").load(checkpoint)
+    """The state of a checkpoint by operator, store and variable, with its batches.
+
+    How many partitions it has depends on the cluster and is left out.
+    """
+    stores = spark.read.format("state-metadata").load(checkpoint)
+    named = F.get_json_object("operatorProperties", "$.stateVariables")
+    variables = F.from_json(named, "array<struct<stateName: string>>")
+    return stores.select(
+        F.col("operatorName").alias("operator"),
+        F.col("stateStoreName").alias("store"),
+        F.array_join(F.transform(variables, lambda v: v["stateName"]), ",").alias("variables"),
+        F.col("minBatchId").alias("first_batch"),
+        F.col("maxBatchId").alias("last_batch"),
+    ).distinct()

@@ -1,4 +1,5 @@
 import os
+from pathlib import Path
 
 from keytally.functions.binary import STORE_SIGNATURE
 from keytally.session import work_dir
@@ -91,5 +92,94 @@ def test_last_entries_of_each_file_are_edited(spark):
         "big": ("ok", "40 entries, the last 5 set"),
         "small": ("ok", "3 entries, the last 3 set"),
         "empty": ("ok", "0 entries, the last 0 set"),
-        "text": ("error", "not a parquet file"),
+        "text": ("error", "not a readable parquet file: ArrowInvalid"),
     }
+
+
+def _parquet(spark, path, rows, schema):
+    """One file with the given name, with the bytes that Spark writes."""
+    root = work_dir(spark, "one-file")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(root)
+    part = next(p for p in Path(root).iterdir() if p.name.startswith("part-"))
+    path.write_bytes(part.read_bytes())
+
+
+def _edit(spark, folder, **given):
+    root = work_dir(spark, "test-odd-files")
+    action = arrivals.edit_action(f"{root}/edited", n=2, **given)
+    arrivals.watch(spark, str(folder), action, f"{root}/status", f"{root}/ck", "*.parquet").awaitTermination()
+    rows = arrivals.read_status(spark, f"{root}/status").collect()
+    edited = spark.read.option("mergeSchema", "true").parquet(f"{root}/edited").drop("batch")
+    return {os.path.basename(r.path): (r.status, r.message) for r in rows}, edited
+
+
+STATE = "key string, n bigint"
+
+
+def test_bad_files_are_reported_and_good_ones_edited(spark, tmp_path):
+    _parquet(spark, tmp_path / "good.parquet", [("a", 1), ("b", 2), ("c", 3)], STATE)
+    whole = (tmp_path / "good.parquet").read_bytes()
+    (tmp_path / "broken.parquet").write_bytes(whole[:8] + bytes(len(whole) - 16) + whole[-8:])
+    (tmp_path / "cut.parquet").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "framed.parquet").write_bytes(b"PAR1 no table PAR1")
+    _parquet(spark, tmp_path / "foreign.parquet", [(1, 2.0)], "id int, x double")
+    _parquet(spark, tmp_path / "other type.parquet", [("a", "b")], "key string, n string")
+    _parquet(spark, tmp_path / "extra.parquet", [("a", "x", 1), ("b", "y", 2), ("c", "z", 3)], "key string, more string, n bigint")
+    _parquet(spark, tmp_path / "zz.parquet", [("a", 1, 5)], "key string, more bigint, n bigint")
+    status, edited = _edit(spark, tmp_path)
+    assert {name: s for name, (s, _) in status.items()} == {
+        "good.parquet": "ok", "extra.parquet": "ok", "broken.parquet": "error", "cut.parquet": "error", "framed.parquet": "error",
+        "foreign.parquet": "error", "other type.parquet": "error", "zz.parquet": "error",
+    }
+    assert status["good.parquet"][1] == "3 entries, the last 2 set"
+    assert status["foreign.parquet"][1] == "column key is missing"
+    assert status["other type.parquet"][1] == "column n is string"
+    assert "readable" in status["broken.parquet"][1]
+    got = sorted((os.path.basename(r.file), r.key, r.n, r.more) for r in edited.collect())
+    assert got == [
+        ("extra.parquet", "a", 1, "x"), ("extra.parquet", "b", 0, "y"), ("extra.parquet", "c", 0, "z"),
+        ("good.parquet", "a", 1, None), ("good.parquet", "b", 0, None), ("good.parquet", "c", 0, None),
+    ]
+
+
+ODD = ["a b", "a%20b", "a+b", "a[1]", "a{b,c}", "a*", "a?", "\u00e9", "a#b", "back\\slash"]
+
+
+def test_names_are_taken_by_their_letters(spark, tmp_path):
+    for i, name in enumerate(ODD):
+        _parquet(spark, tmp_path / f"{name}.parquet", [(f"k{j}", j + 1) for j in range(i + 1)], STATE)
+    status, edited = _edit(spark, tmp_path)
+    assert status == {f"{name}.parquet": ("ok", f"{i + 1} entries, the last {min(i + 1, 2)} set") for i, name in enumerate(ODD)}
+    assert edited.count() == sum(range(1, len(ODD) + 1))
+    assert edited.groupBy("file").count().count() == len(ODD)
+    root = work_dir(spark, "test-odd-poll")
+    polled = arrivals.poll(spark, str(tmp_path), arrivals.signature_action(b"PAR1"), f"{root}/status", 0, "*.parquet", 3)
+    assert statuses(polled) == {(f"{name}.parquet", "ok") for name in ODD}
+    assert polled.count() == len(ODD)
+
+
+def test_files_too_long_to_read_are_reported(spark, tmp_path):
+    _parquet(spark, tmp_path / "long.parquet", [(f"k{j}", j) for j in range(500)], STATE)
+    _parquet(spark, tmp_path / "short.parquet", [("a", 1)], STATE)
+    limit = (tmp_path / "short.parquet").stat().st_size
+    status, _ = _edit(spark, tmp_path, max_length=limit)
+    assert status["short.parquet"][0] == "ok" and status["long.parquet"][0] == "error"
+    assert "too many" in status["long.parquet"][1]
+    root = work_dir(spark, "test-long")
+    action = arrivals.signature_action(b"PAR1", max_length=limit)
+    arrivals.watch(spark, str(tmp_path), action, f"{root}/status", f"{root}/ck", "*.parquet").awaitTermination()
+    got = {(os.path.basename(r.path), r.message) for r in arrivals.read_status(spark, f"{root}/status").collect()}
+    assert got == {("long.parquet", "too_long"), ("short.parquet", "ok")}
+
+
+def test_many_last_keys_and_repeated_keys(spark, tmp_path):
+    _parquet(spark, tmp_path / "many.parquet", [(f"k{j:05d}", 1) for j in range(3_000)], STATE)
+    _parquet(spark, tmp_path / "twice.parquet", [("a", 1), ("b", 2), ("b", 3), ("c", 4)], STATE)
+    root = work_dir(spark, "test-many")
+    for n in (2, 2_000):
+        action = arrivals.edit_action(f"{root}/edited{n}", n=n)
+        arrivals.watch(spark, str(tmp_path), action, f"{root}/status{n}", f"{root}/ck{n}", "*.parquet").awaitTermination()
+        edited = spark.read.parquet(f"{root}/edited{n}")
+        assert edited.count() == 3_004
+        assert edited.filter("n = 0 and file like '%many.parquet'").count() == n
+        assert edited.filter("n = 0 and file like '%twice.parquet'").count() == (3 if n == 2 else 4)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keytally.functions.binary import STORE_SIGNATURE, find_bytes, read_u32, signature_status, write_u32
 from keytally.functions.checksum import SEGMENT, crc32c
 from keytally.operators import binary as b
+from keytally.operators import inspection
 
 SCHEMA = "id int, content binary"
 EDGES = [
@@ -44,12 +45,12 @@ def test_search_does_not_match_across_nibbles(spark):
 
 
 def python_encodings(value, target):
-    forms = [("Exact match", target)]
+    forms = [("exact", target)]
     if len(target) == 8:
         first, second = int.from_bytes(target[:4], "big"), int.from_bytes(target[4:], "big")
-        forms.append(("Little-endian 32-bit integers", first.to_bytes(4, "little") + second.to_bytes(4, "little")))
-        forms.append((f"First value {first} (LE)", first.to_bytes(4, "little")))
-        forms.append((f"Second value {second} (LE)", second.to_bytes(4, "little")))
+        forms.append(("pair_le", first.to_bytes(4, "little") + second.to_bytes(4, "little")))
+        forms.append(("first_le", first.to_bytes(4, "little")))
+        forms.append(("second_le", second.to_bytes(4, "little")))
     return [(label, value.find(p), p) for label, p in forms if value.find(p) >= 0]
 
 
@@ -133,6 +134,51 @@ def test_patch_context(spark, before):
     assert got == wanted
 
 
+def test_far_offsets_show_nothing(spark):
+    offsets = [2**40, -1, -(2**40), 5, None]
+    df = spark.createDataFrame([(i, bytes(40), o) for i, o in enumerate(offsets)], "id int, content binary, offset bigint")
+    assert {r.id for r in b.match_context(df, 4).collect()} == {3}
+    shown = b.patch_context(df).groupBy("id").count().collect()
+    assert {r["id"] for r in shown} == {1, 2, 3, 4}
+
+
+def test_contexts_of_all_forms(spark):
+    target = bytes.fromhex("0000000400000001")
+    values = [b"x" * 20 + bytes.fromhex("0400000001000000") + b"y" * 20, b"y" * 9 + b"\0" + b"y" * 9, b"none", target]
+    got = {}
+    for r in b.encoding_contexts(frame(spark, values), target).collect():
+        if r.is_target:
+            got.setdefault(r.id, set()).add((r.label, int(r.line.rsplit(" ", 1)[1])))
+    assert got == {0: {("pair_le", 20), ("first_le", 20), ("second_le", 24)}, 1: {("prefix", 9)}, 3: {("exact", 0), ("first_le", 3)}}
+
+
+def test_patches_asked_for_in_text(spark):
+    rows = [
+        (1, bytes(40), "0x10", "aa:bb"), (2, bytes(40), "39", "aabb"), (3, bytes(4), "zz", "aa"), (4, bytes(4), "1", "a-a b"),
+    ]
+    df = spark.createDataFrame(rows, "id int, content binary, at string, new string")
+    got = {r.id: (r.offset, r.status, r.before, r.after) for r in b.patch_requests(df, F.col("at"), F.col("new")).collect()}
+    zero = lambda n: " ".join(["00"] * n)
+    assert got == {
+        1: (16, "ok", zero(40), f"{zero(16)} aa bb {zero(22)}"), 2: (39, "too_long", None, None),
+        3: (None, "out_of_range", None, None), 4: (1, "ok", zero(4), "00 aa 00 00"),
+    }
+
+
+def test_last_record_offset(spark):
+    lines = [
+        (1, "'0a' seq:1 => 6162"), (1, "'0b' seq:9 => 6364"), (1, "no record"), (1, "'xy' => 00"),
+        (2, "'01' seq:1 => 99"), (3, "'01' seq:1 => "), (4, "nothing"),
+    ]
+    pages = [(1, b"abcdcd"), (2, b"abc"), (3, b"abc"), (4, b"abc"), (5, b"abc")]
+    got = inspection.last_record_offset(
+        spark.createDataFrame(lines, "id int, value string"), spark.createDataFrame(pages, "id int, content binary")
+    )
+    assert sorted(tuple(r) for r in got.collect() if r.id != 1) == [(2, "01", "99", -1), (3, "01", "", -1)]
+    one = [tuple(r) for r in got.filter("id = 1").collect()]
+    assert one == [(1, "0B", "6364", 2)]
+
+
 @pytest.mark.parametrize("length", [2, 8, 20])
 def test_match_context(spark, length):
     value = bytes(range(100))

@@ -4,16 +4,15 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from keytally.operators import counting
 from keytally.operators.checks import broken_runs, repeated_keys
 from keytally.operators.counting import (
     emitted_counts,
     expand_ranges,
     final_count,
-    hot_keys,
     merge_state,
     running_count,
     running_count_by_window,
+    stretch_cuts,
     typed_pairs,
 )
 
@@ -48,46 +47,84 @@ CASES = {
 }
 
 
+LONG_OR_SHORT = [1, 8, 40, 1 << 20]
+
+
 @pytest.mark.parametrize("name", list(CASES))
-@pytest.mark.parametrize("hot_at", [None, 3])
-def test_running_count(spark, name, hot_at):
+@pytest.mark.parametrize("stretch_rows", LONG_OR_SHORT)
+def test_running_count(spark, name, stretch_rows):
     rows = CASES[name]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    hot = None if hot_at is None else hot_keys(df, at_least=hot_at)
-    counted = running_count(df, span=7, hot=hot)
+    counted = running_count(df, stretch_rows=stretch_rows)
+    assert counted.columns == ["seq", "key", "n"]
     assert collected(counted) == expected(rows)
     assert broken_runs(counted).count() == 0
     assert dict(counted.dtypes)["n"] == "bigint"
 
 
-@pytest.mark.parametrize("seed", [2, 3, 4])
-@pytest.mark.parametrize("hot", [[], ["hot"], ["hot", None, "b", "only in state"]])
+@pytest.mark.parametrize("seed", [2, 3])
+@pytest.mark.parametrize("stretch_rows, broadcast", [(8, True), (8, False), (1 << 20, True)])
 @pytest.mark.parametrize("partitions", [1, 5])
-def test_running_count_from_state(spark, seed, hot, partitions):
+def test_running_count_from_state(spark, seed, stretch_rows, broadcast, partitions):
     rows = skewed(seed, 200)
     base = {"hot": 10, "a": 3, None: 7, "only in state": 5}
     df = spark.createDataFrame(rows, SCHEMA).repartition(partitions)
     state = spark.createDataFrame(list(base.items()), "key string, n bigint")
-    counted = running_count(df, initial=state, span=11, hot=hot)
+    counted = running_count(df, initial=state, stretch_rows=stretch_rows, broadcast_cuts=broadcast)
     assert collected(counted) == expected(rows, base.items())
     assert broken_runs(counted, initial=state).count() == 0
 
 
-def test_equals_plain_window_on_two_order_columns(spark):
+def test_columns_are_the_same_at_every_size(spark):
     df = spark.range(400).select(
-        (F.col("id") % 20).alias("doc"), F.floor(F.col("id") / 20).alias("pos"), (F.col("id") % 3).alias("key")
+        (F.col("id") % 20).alias("doc"), (F.col("id") % 3).alias("key"), F.floor(F.col("id") / 20).alias("pos"), F.lit("x").alias("v")
     )
-    split = running_count(df, seq=["doc", "pos"], span=4, hot=[0, 1])
+    state = spark.createDataFrame([(0, 0)], "key bigint, n bigint")
     plain = running_count_by_window(df, seq=["doc", "pos"])
-    assert split.schema["key"].dataType == plain.schema["key"].dataType
-    assert split.exceptAll(plain.select(split.columns)).count() == 0
-    assert split.count() == plain.count() == 400
+    for given in ({}, {"stretch_rows": 16}, {"initial": state}, {"initial": state, "stretch_rows": 16}):
+        counted = running_count(df, seq=["doc", "pos"], **given)
+        assert counted.schema.simpleString() == plain.schema.simpleString()
+        assert counted.exceptAll(plain).count() == 0 and counted.count() == 400
+
+
+KEYS = {
+    "boolean": "id % 5 < 4",
+    "double": "if(id % 5 < 4, 1.0E10, -0.5)",
+    "timestamp": "timestamp_seconds(if(id % 5 < 4, 0, id))",
+    "binary": "cast(if(id % 5 < 4, 'k', cast(id as string)) as binary)",
+    "struct<a:bigint,b:string>": "if(id % 5 < 4, named_struct('a', 1L, 'b', null), named_struct('a', id, 'b', 'x'))",
+}
+
+
+@pytest.mark.parametrize("kind", list(KEYS))
+def test_keys_of_any_type(spark, kind):
+    df = spark.range(600).selectExpr("id as seq", f"{KEYS[kind]} as key", "'after' as v")
+    assert df.schema["key"].dataType.simpleString() == kind
+    state = df.limit(1).selectExpr("key", "100L as n")
+    plain = running_count_by_window(df)
+    split = running_count(df, stretch_rows=32)
+    assert split.exceptAll(plain).count() == 0 and split.count() == 600
+    lifted = running_count(df, initial=state, stretch_rows=32)
+    assert {r["n"] - r["seq"] for r in lifted.filter("seq < 4").collect()} == {101}
+    assert lifted.count() == 600
+
+
+def _largest_stretch(df, order, stretch_rows):
+    cuts = stretch_cuts(df, "key", order, stretch_rows)
+    at = F.size(F.filter("_cuts", lambda cut: cut <= F.struct(*order)))
+    return df.join(cuts, F.col("key").eqNullSafe(F.col("_cut_key")), "left").groupBy("key", at).count().agg(F.max("count")).first()[0]
+
 
+@pytest.mark.parametrize("seq", ["id", "id * 1000", "if(id = 7, 1000000000000000000L, id)", "if(id % 2 = 0, id, id * id * id)", "pow(2.0, id % 60) + id / 1e6"])
+def test_stretches_are_cut_where_the_rows_are(spark, seq):
+    df = spark.range(20_000).selectExpr(f"{seq} as seq", "if(id % 3 > 0, 'hot', id) as key")
+    assert _largest_stretch(df, ["seq"], 1_000) < 4_000
 
-def test_hot_keys(spark):
-    df = spark.createDataFrame(skewed(5), SCHEMA)
-    assert hot_keys(df, at_least=150) == ["hot"]
-    assert hot_keys(df, at_least=10_000) == []
+
+def test_text_and_null_orders(spark):
+    rows = [(None if i == 5 else f"{i:05d}", "k" if i % 4 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "seq string, key string")
+    assert collected(running_count(df, stretch_rows=16)) == collected(running_count_by_window(df))
 
 
 def test_hot_rows_are_spread(spark):
@@ -95,32 +132,13 @@ def test_hot_rows_are_spread(spark):
     df = spark.range(4000).select(F.col("id").alias("seq"), F.lit("k").alias("key"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        counted = running_count(df, span=100, hot=["k"])
+        counted = running_count(df, stretch_rows=100)
         sizes = counted.groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert max(r["count"] for r in sizes) < 2000
 
 
-@pytest.mark.parametrize("max_spans", [1, 3, 1000])
-@pytest.mark.parametrize("start", [0, -700, 10**12])
-def test_hot_keys_and_stretches_are_found(spark, monkeypatch, max_spans, start):
-    monkeypatch.setattr(counting, "MAX_SPANS", max_spans)
-    rows = [(start + seq * 7, key) for seq, key in skewed(7, 300)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    state = spark.createDataFrame([("hot", 4), (None, 2)], "key string, n bigint")
-    assert collected(running_count(df, hot_rows=40)) == expected(rows)
-    from_state = running_count(df, initial=state, hot=["hot", "b"])
-    assert collected(from_state) == expected(rows, [("hot", 4), (None, 2)])
-
-
-def test_stretches_are_bounded(spark):
-    df = spark.range(50_000).select((F.col("id") * 1000).alias("seq"), F.lit("k").alias("key"))
-    hot, span = counting._hot_plan(df, "key", "seq", None, 1000, None)
-    assert hot == ["k"]
-    assert df.select(F.expr(f"seq div {span}")).distinct().count() <= counting.MAX_SPANS + 1
-
-
 @pytest.mark.parametrize("name", list(CASES))
 def test_emitted_counts(spark, name):
     rows = CASES[name]
@@ -141,6 +159,13 @@ def test_expand_ranges_in_pieces(spark):
     assert got == [("a", n) for n in range(4, 29)] + [("c", 10)]
 
 
+def test_long_ranges_are_cut_twice(spark, monkeypatch):
+    monkeypatch.setattr("keytally.operators.counting.SPREAD_ROWS", 50)
+    ranges = spark.createDataFrame([("a", 3, 1234), ("b", 0, 50)], "key string, base bigint, cnt bigint")
+    got = sorted((r.key, r.n) for r in expand_ranges(ranges, piece=7).collect())
+    assert got == [("a", n) for n in range(4, 1238)] + [("b", n) for n in range(1, 51)]
+
+
 def test_final_count_and_merge(spark):
     rows = skewed(6)
     half = len(rows) // 2

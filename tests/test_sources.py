@@ -42,7 +42,7 @@ def test_draws_are_uniform_and_seeded(spark):
 
 def test_draw_from_a_vocabulary(spark):
     vocabulary = spark.createDataFrame([(w,) for w in ["x", "yy", "z", "é", "x"]], "word string")
-    got = words.draw_from(spark.range(4000), "id", vocabulary, seed=1)
+    got = words.draw_from(spark.range(4000), "id", words.bucketed_words(vocabulary), seed=1)
     counts = {r.word: r["count"] for r in got.groupBy("word").count().collect()}
     assert set(counts) == {"x", "yy", "z", "é"} and sum(counts.values()) == 4000
     assert all(850 < c < 1150 for c in counts.values())
@@ -50,7 +50,7 @@ def test_draw_from_a_vocabulary(spark):
 
 def test_empty_vocabulary_is_an_error(spark):
     with pytest.raises(ValueError, match="empty"):
-        words.draw_from(spark.range(1), "id", spark.createDataFrame([], "word string"), seed=1)
+        words.draw_from(spark.range(1), "id", words.bucketed_words(spark.createDataFrame([], "word string")), seed=1)
 
 
 def test_largest_state_file(spark):

@@ -47,8 +47,8 @@ def test_counts_over_many_small_batches(spark):
     assert pairs(got) == pairs(emitted_counts(batch))
     assert broken_runs(got).count() == 0
     assert pairs(read_snapshot(spark, f"{root}/ck")) == pairs(final_count(batch))
-    stores = snapshot_metadata(spark, f"{root}/ck").collect()
-    assert stores and stores[0].maxBatchId == 3
+    stores = [tuple(r) for r in snapshot_metadata(spark, f"{root}/ck").collect()]
+    assert stores == [("transformWithStateInPySparkExec", "default", "count", 0, 3)]
 
 
 def test_restart_and_older_snapshot(spark):

@@ -31,14 +31,26 @@ def test_parse_offset(spark, text):
     assert values(spark, t.parse_offset, [text]) == [python_offset(text)]
 
 
-def test_offsets_beyond_any_file_are_null(spark):
-    assert values(spark, t.parse_offset, ["9" * 19, "f" * 16, None]) == [None, None, None]
+LARGE = [
+    "9223372036854775807", "9223372036854775808", "-9223372036854775808", "-9223372036854775809", "1000000000000000000",
+    "7fffffffffffffff", "0x1000000000000000", "0x8000000000000000", "-0x8000000000000000", "f" * 16, "-" + "f" * 16,
+    "9" * 19, "9" * 60, "e" * 40, "0" * 70 + "12", "0x" + "0" * 70 + "ff", "9_223_372_036_854_775_807", "not", "", None,
+]
+
+
+@pytest.mark.parametrize("text", LARGE)
+def test_offsets_fill_64_bits(spark, text):
+    number = None if text is None else python_offset(text)
+    fits = number is not None and -(2**63) <= number < 2**63
+    assert values(spark, t.parse_offset, [text]) == [number if fits else None]
+    status = "not_a_number" if number is None else "ok" if fits else "too_large"
+    assert values(spark, t.offset_status, [text]) == [status]
 
 
 def test_hex_text(spark):
     assert values(spark, t.sanitize_hex, ["12 34", "a-b-c", "xyz", "", "0x1f"]) == ["1234", "ab", "", "", "01"]
-    got = values(spark, t.hex_bytes, ["05 00:00 00", "", "0G", "abc", "DEADbeef", "12\n"])
-    assert [None if v is None else bytes(v) for v in got] == [b"\x05\0\0\0", b"", None, None, b"\xde\xad\xbe\xef", None]
+    got = values(spark, t.hex_bytes, ["05 00:00 00", "", "0G", "abc", "DEADbeef", "12\n", "05\t00\x0b"])
+    assert [None if v is None else bytes(v) for v in got] == [b"\x05\0\0\0", b"", None, None, b"\xde\xad\xbe\xef", b"\x12", b"\x05\0"]
     long = "ab" * 50_000
     assert len(values(spark, t.hex_bytes, [long])[0]) == 50_000
 
@@ -69,6 +81,8 @@ def test_tuple_lines(spark):
     df = spark.createDataFrame([("lln", 1), ("a,b", 20), ("", 3)], "w string, n bigint")
     lines = [r[0] for r in df.select(t.render_tuple(F.col("w"), F.col("n"))).collect()]
     assert lines == ["(lln,1)", "(a,b,20)", "(,3)"]
+    nothing = spark.createDataFrame([(None, None)], "w string, n bigint")
+    assert nothing.select(t.render_tuple(F.col("w"), F.col("n"))).first()[0] == "(null,null)"
     back = spark.createDataFrame([(s,) for s in [*lines, "stack trace", "(x,y)"]], "s string")
     assert [tuple(r) for r in back.select(*t.parse_tuple(F.col("s"))).collect()] == [
         ("lln", 1), ("a,b", 20), ("", 3), (None, None), (None, None)
