@@ -35,6 +35,8 @@ AROUND = 24
 #: hashes it lets more seeds through to the join, and the result is the same.
 MAX_BITS = 1 << 28
 _PROBES = 3
+#: Rows handed to Python at a time.
+BATCH_ROWS = 1_000
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -185,7 +187,8 @@ def overlaps(
 
     texts = docs.select(F.col(id).alias("doc_id"), text_or_empty(text).alias("_text"))
     found = texts.select("doc_id", F.explode(_segments(F.col("_text"), packed, docs)).alias("s"))
-    segments = stored(found.select(F.monotonically_increasing_id().alias("segment"), "doc_id", "s.*"), "segments")
+    found = found.select(F.monotonically_increasing_id().alias("segment"), "doc_id", "s.*")
+    segments = stored(found, "segments", BATCH_ROWS)
     hits = segments.select("segment", F.explode("hits").alias("h")).select("segment", "h.hash", "h.at")
     met = hits.join(small(tests), "hash")
     lines = met.select("segment", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()

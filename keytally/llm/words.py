@@ -1,7 +1,7 @@
 """Words of Arrow string arrays as numpy arrays: positions, rows and 64-bit hashes.
 
 A word is a maximal run of ASCII letters and digits and of bytes of any other
-character, with A-Z lower-cased. Texts are taken in chunks of about a megabyte,
+character, with A-Z lower-cased. Texts are taken in chunks of a quarter of a megabyte,
 so memory does not grow with the batch; a longer text is a chunk of its own.
 """
 
@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)  # odd, so it has an inverse modulo 2**64
 
@@ -41,7 +41,7 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 def _power(name: str, step: int, n: int) -> np.ndarray:
     if len(_powers[name]) < n:
-        steps = np.full(max(n, 2 * CHUNK_BYTES), step, np.uint64)
+        steps = np.full(max(n, CHUNK_BYTES + 1), step, np.uint64)
         steps[0] = 1
         _powers[name] = np.cumprod(steps)
     return _powers[name]
