@@ -76,12 +76,17 @@ def periods(blocks: list[int], weights: list[int]) -> list[list[dict]]:
 
 
 def target_weights(docs: DataFrame, source: str = "source", power: float = 0.5, parts: int = 1_000, most: int = 200) -> dict:
-    """Integer weights by the counts' ``power``, for the ``most`` largest sources; all others pool as ``OTHER``."""
-    counts = docs.filter(F.col(source).isNotNull()).groupBy(F.col(source).cast("string").alias("s")).count()
-    largest = counts.orderBy(F.col("count").desc(), "s").limit(most).collect()
-    scale = sum(row["count"] ** power for row in largest)
-    weights = {row["s"]: max(1, round(parts * row["count"] ** power / scale)) for row in largest}
-    return weights | {OTHER: 1}
+    """Integer weights by the counts' ``power``, for the ``most`` largest sources.
+
+    All others, and rows without a source, pool as ``OTHER`` with the weight of their count.
+    """
+    counts = docs.groupBy(F.col(source).cast("string").alias("s")).count()
+    largest = counts.filter("s is not null").orderBy(F.col("count").desc(), "s").limit(most).collect()
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
+    sizes = {row["s"]: row["count"] for row in largest}
+    sizes[OTHER] = total - sum(sizes.values())
+    scale = sum(n**power for n in sizes.values()) or 1.0
+    return {s: max(1, round(parts * n**power / scale)) for s, n in sizes.items()}
 
 
 def _hash(id: str, seed: int) -> Column:
