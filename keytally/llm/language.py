@@ -173,11 +173,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     learned, is ``und`` with score 0. The score is the best regression's value,
     moved from -1..1 to 0..1 and cut to that range. Ties go to the first name.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # A plain tuple: executors need no copy of this package to read it.
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def judge(texts: pa.Array) -> pa.Array:
-        model = shared.value
+        model = Model(*shared.value)
         names, scores = [], []
         for chunk in chunks(texts):
             values = kernel(_presence(chunk, model.column, len(model.landmarks)), model.landmarks)

@@ -156,14 +156,15 @@ def scores(chunk: Chunk, model: Model, filter_: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """The probability of ``toxic``; a text without words, NULL included, has the bias's alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # A plain tuple: executors need no copy of this package to read it.
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     empty = float(1 / (1 + np.exp(-model.bias)))
     if not len(model.hashes):
         return F.lit(empty)
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
-        model = shared.value
+        model = Model(*shared.value)
         filter_ = np.zeros(1 << 18, bool)
         filter_[model.hashes & np.uint64(len(filter_) - 1)] = True
         found = [scores(chunk, model, filter_) for chunk in chunks(texts)]
