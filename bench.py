@@ -19,6 +19,7 @@ from keytally.session import local_session  # noqa: E402
 
 HEADLINE = [
     "running_count",
+    "running_count_split",
     "word_running_count",
     "emitted_counts",
     "final_count",

@@ -62,7 +62,8 @@ def bucketed_words(words: DataFrame, word: str = "word") -> DataFrame:
 
     The bucket is three hex digits of the word's MD5.
     """
-    return words.select(F.substring(F.md5(word), 1, 3).alias("bucket"), F.col(word).alias("word")).distinct()
+    found = words.select(F.col(word).alias("word")).distinct()
+    return found.select(F.substring(F.md5("word"), 1, 3).alias("bucket"), "word")
 
 
 def draw_from(rows: DataFrame, row_id: str, entries: DataFrame, seed: int) -> DataFrame:
