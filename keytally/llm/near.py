@@ -208,14 +208,13 @@ def near_groups(
 ) -> DataFrame:
     """``(doc_id, class_id, class_size, kept)``, one row per row of ``docs``.
 
-    Two texts are linked if the Jaccard similarity of their sets of five-word
-    shingles is at least ``similarity``; a class is a connected component and
-    its id the smallest ``doc_id`` in it, which is kept. Words are lower-cased
-    runs of letters and digits; a text of fewer than five words is one shingle.
-    A text without words, NULL included, is linked to none, and so is a row
-    without an id; each such row is kept, with its own id as class. Rows that
-    repeat an id are one document: their texts share a class. Other columns are
-    not read.
+    Ids are integers. Two texts are linked if the Jaccard similarity of their sets
+    of five-word shingles is at least ``similarity``; a class is a connected
+    component and its id the smallest ``doc_id`` in it, which is kept. Words are
+    lower-cased runs of letters and digits; a text of fewer than five words is one
+    shingle. A text without words, NULL included, is linked to none, and so is a row
+    without an id; each such row is kept, with its own id as class. Rows that repeat
+    an id are one document: their texts share a class. Other columns are not read.
     """
     plain = docs.select(F.col(id).cast("bigint").alias("_id"), text_or_empty(text).alias("_text"))
     sketches = plain.withColumn("_s", sketch(F.col("_text"), bands=bands, per_band=per_band)).select("_id", "_s.*")
