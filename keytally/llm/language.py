@@ -9,6 +9,10 @@ by two matrix products: presences by landmarks, and kernel values by weights.
 
 The model is fitted on a bounded sample: at most ``per_lang`` texts of each
 language, of which ``landmarks`` are landmarks. Everything else sees whole texts.
+
+The best of K regressions is never below about 2/K - 1, so it cannot tell that a
+text is in none of the languages. That is told by the share of a text's distinct
+3-grams that some landmark has, against a cut found when the model is fitted.
 """
 
 from __future__ import annotations
@@ -29,8 +33,14 @@ PER_LANG = 400
 LANDMARKS = 32
 MAX_LANGS = 1_000
 RIDGE = 1e-3
-#: Documents below this score are in none of the learned languages.
-ACCEPT = 0.2
+#: The cut is halfway between the known share that all but this part of the labelled
+#: texts exceed, and the one that all but this part stay below if the landmarks of
+#: their own language are left out.
+CLEAN_TAIL = 0.005
+FOREIGN_TAIL = 0.05
+#: A text is rejected if one at the cut would show so small a share by chance once in
+#: twenty times: so many standard errors below, which are large in short texts only.
+ERRORS = 1.64
 UNKNOWN = "und"
 
 
@@ -69,6 +79,7 @@ class Model(NamedTuple):
     column: np.ndarray  # code -> column of the presence matrix, 0 for none
     landmarks: np.ndarray  # columns by landmarks, over the root of each landmark's number of n-grams
     weights: np.ndarray  # landmarks by languages
+    cut: float  # texts whose known share is below are in none of the languages
 
 
 def _presence(chunk: Chunk, column: np.ndarray, width: int) -> np.ndarray:
@@ -83,6 +94,63 @@ def _presence(chunk: Chunk, column: np.ndarray, width: int) -> np.ndarray:
     return present
 
 
+def known_share(chunk: Chunk, column: np.ndarray, present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row the share of the distinct 3-grams that some landmark has, and their number.
+
+    ``present`` is the chunk's ``_presence``. Shorter n-grams stand in for 3-grams
+    in a text of one or two bytes; an empty one has share 0.
+    """
+    rows = len(present)
+    row = np.repeat(np.arange(rows, dtype=np.int64), np.diff(chunk.offsets))
+    share, number = np.zeros(rows), np.zeros(rows)
+    for n, codes in enumerate(gram_codes(chunk)):
+        end = CODES if n == 2 else _STARTS[n + 1]
+        columns = column[_STARTS[n] : end]
+        some = present[:, np.sort(columns[columns > 0])].sum(1)
+        new = np.flatnonzero((column[codes] == 0) & (codes >= 0))
+        distinct = np.unique(row[new] * CODES + codes[new])
+        total = some + np.bincount(distinct // CODES, minlength=rows)
+        share = np.where(total > 0, some / np.maximum(total, 1), share)
+        number = np.where(total > 0, total, number)
+    return share, number
+
+
+def learned(share: np.ndarray, number: np.ndarray, cut: float) -> np.ndarray:
+    """Whether a share of ``number`` n-grams may be that of a text in a learned language."""
+    return share >= cut - ERRORS * np.sqrt(cut * (1 - cut) / np.maximum(number, 1))
+
+
+def cut_of(grams: list[np.ndarray], langs: list[str], chosen: list[int]) -> float:
+    """The least known share of texts in the learned languages, from the fitted texts themselves.
+
+    A text is compared with all landmarks but itself, and once more with those of the
+    other languages only, which is how a language looks that was not learned.
+    Where the two overlap, the clean texts decide.
+    """
+    having = np.zeros(CODES, np.int32)
+    by_lang: dict[str, list[int]] = {}
+    for i in chosen:
+        by_lang.setdefault(langs[i], []).append(i)
+        having[grams[i]] += 1
+    marks = set(chosen)
+    clean, foreign = [], []
+    for name in sorted(set(langs)):
+        own = np.zeros(CODES, np.int32)
+        for i in by_lang[name]:
+            own[grams[i]] += 1
+        for i in [k for k, lang in enumerate(langs) if lang == name]:
+            longest = grams[i][grams[i] >= _STARTS[2]]
+            if not len(longest):
+                continue
+            if len(chosen) > 1:
+                clean.append(np.mean(having[longest] > (i in marks)))
+            if len(by_lang) > 1:
+                foreign.append(np.mean(having[longest] > own[longest]))
+    low = float(np.quantile(clean, CLEAN_TAIL)) if clean else 0.0
+    high = float(np.quantile(foreign, 1 - FOREIGN_TAIL)) if foreign else 0.0
+    return min(low, (low + high) / 2)
+
+
 def kernel(present: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return present @ landmarks / np.sqrt(np.maximum(present.sum(1, keepdims=True), 1))
 
@@ -109,7 +177,7 @@ def fit(grams: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, r
     marks = presence(chosen)
     marks = (marks / np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))).T.copy()
     if not chosen:
-        return Model(names, column, marks, np.zeros((0, 0), np.float32))
+        return Model(names, column, marks, np.zeros((0, 0), np.float32), 0.0)
     values = np.concatenate([kernel(presence(list(range(k, min(k + 256, len(grams))))), marks) for k in range(0, len(grams), 256)])
     values = values.astype(np.float64)
     spread, basis = np.linalg.eigh(values[chosen])
@@ -122,7 +190,7 @@ def fit(grams: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, r
     size = features.shape[1]
     solved = np.linalg.solve(weighted.T @ features + ridge * np.eye(size), weighted.T @ target)
     weights = np.concatenate([root @ solved[:-1], solved[-1:]]).astype(np.float32)
-    return Model(names, column, marks, weights)
+    return Model(names, column, marks, weights, cut_of(grams, langs, chosen))
 
 
 def training_sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
@@ -167,42 +235,48 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score``; all columns of ``docs`` stay as they are.
+    """Add ``lang_pred``, ``score`` and ``learned``; all columns of ``docs`` stay as they are.
 
     A text that is NULL or has no letter, and any text if nothing could be
-    learned, is ``und`` with score 0. The score is the best regression's value,
-    moved from -1..1 to 0..1 and cut to that range. Ties go to the first name.
+    learned, is ``und`` with score 0 and not ``learned``. The score is the best
+    regression's value, moved from -1..1 to 0..1 and cut to that range; it ranks
+    the learned languages only. Ties go to the first name. ``learned`` tells whether
+    the text's 3-grams are those of the learned languages at all.
     """
     # A plain tuple: executors need no copy of this package to read it.
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, learned: boolean>")
     def judge(texts: pa.Array) -> pa.Array:
         model = Model(*shared.value)
-        names, scores = [], []
+        names, scores, kept = [], [], []
         for chunk in chunks(texts):
-            values = kernel(_presence(chunk, model.column, len(model.landmarks)), model.landmarks)
+            present = _presence(chunk, model.column, len(model.landmarks))
+            values = kernel(present, model.landmarks)
             found = values @ model.weights[:-1] + model.weights[-1]
             best = found.argmax(1)
             names += [model.langs[i] for i in best]
             scores += [float(x) for x in np.clip((1 + found[np.arange(len(best)), best]) / 2, 0, 1)]
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+            kept += learned(*known_share(chunk, model.column, present), model.cut).tolist()
+        columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(kept, pa.bool_())]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "learned"])
 
     if not model.langs:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "learned": F.lit(False)})
     judged = docs.withColumn("_judged", judge.asNondeterministic()(text_or_empty(text)))
     letters = F.rlike(text_or_empty(text), F.lit(r"\p{L}"))
     return judged.withColumns(
         {
             "lang_pred": F.when(letters, F.col("_judged.lang_pred")).otherwise(UNKNOWN),
             "score": F.when(letters, F.col("_judged.score")).otherwise(0.0),
+            "learned": letters & F.col("_judged.learned"),
         }
     ).drop("_judged")
 
 
-def keep_known(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
+def keep_known(docs: DataFrame) -> DataFrame:
     """``docs`` without those in no learned language, all columns as they were."""
     model = train(docs)
     judged = predict(numbered(docs), model, f"_{docs.columns.index('text')}")
-    judged = judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= accept))
+    judged = judged.filter("learned")
     return judged.select(*named_again(judged, docs))

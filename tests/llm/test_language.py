@@ -57,3 +57,32 @@ def test_stage_keeps_clean_documents_and_columns(spark, sf_dir):
     kept = language.keep_known(docs.unionByName(extra))
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+NOT_LEARNED = [
+    "这是一个没有学习过的语言的文本，应该被拒绝。",
+    "هذا نص باللغة العربية لا ينتمي إلى أي لغة معروفة",
+    "Это русский текст, который не относится ни к одному из изученных языков",
+    "Όλα αυτά τα κείμενα είναι γραμμένα στα ελληνικά",
+    "To jest polski tekst, którego model nigdy wcześniej nie widział ani się nie uczył",
+    "Tämä on suomenkielinen teksti, jota ei ole opittu missään vaiheessa",
+    "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQgZW5jb2RlZCB0ZXh0IHdpdGggbm8gbWVhbmluZw==",
+    "def __init__(self, x_1): self._q = getAttr(x_1); kZ9 = fooBarBaz(qux)",
+]
+
+
+def test_stage_rejects_what_was_not_learned(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = [(-10 - k, text * n, None, "s", 1) for k, text in enumerate(NOT_LEARNED) for n in (1, 20)]
+    kept = language.keep_known(docs.unionByName(spark.createDataFrame(others, docs.schema)))
+    assert kept.filter("doc_id < 0").isEmpty() and kept.count() == docs.count()
+
+
+def test_a_language_left_out_is_rejected(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for left in ("de", "es", "fr"):
+        model = language.train(docs.filter(f"lang <> '{left}'"))
+        judged = language.predict(docs, model).filter("length(text) > 100")
+        kept, all_ = judged.filter(f"lang = '{left}'").selectExpr("count_if(learned)", "count(*)").first()
+        assert all_ > 50 and kept < 0.1 * all_
+        assert judged.filter(f"lang <> '{left}' and not learned").count() < 5
