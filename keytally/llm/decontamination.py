@@ -4,7 +4,8 @@ A seed mask looks at five of up to ten neighbouring words and ignores the
 others, so an overlap is found however a few of its words were replaced. Seed
 hashes of the test items are joined with those of the documents, and around each
 hit the words are compared along the hit's diagonal: an overlap may hold
-substitutions as long as enough of its words agree.
+substitutions as long as enough of its words agree. The masks are chosen so that
+every such overlap holds a seed, wherever its substitutions are.
 
 A Bloom filter of the test hashes, of a bounded size, keeps seeds that cannot
 join from leaving the scan of the documents.
@@ -22,15 +23,16 @@ from pyspark.sql import functions as F
 from keytally.llm.tables import small, stored, text_or_empty
 from keytally.llm.words import chunks, mix, words
 
-#: With a tenth of the words replaced at random these find all but 0.2 % of the
-#: overlaps of 15 words; with a fifth, all but 2.4 %, and 0.2 % at 25 words.
-MASKS = ("11111", "1110011", "110101001", "1011000101", "1001010011")
+#: Every stretch that ``LEAST_WORDS`` and ``SHARE`` let count has a placement of one
+#: of these on agreeing words only; a search over all stretches is in the tests.
+MASKS = ("11111", "1101011", "110001011", "10100010011", "11001000011", "110111")
 #: An overlap counts from this many agreeing words on (all words of a shorter
 #: item), if they are at least this share of its words.
 LEAST_WORDS = 10
 SHARE = 0.7
-#: Words kept on either side of a hit for the comparison.
-AROUND = 24
+#: Words kept on either side of a hit for the comparison. A stretch of 30 words that
+#: counts has a half that counts, so the smallest ones around a hit fit in.
+AROUND = 32
 #: The filter has 64 bits for each test hash, but no more than 32 MB; with more
 #: hashes it lets more seeds through to the join, and the result is the same.
 MAX_BITS = 1 << 28
@@ -154,13 +156,36 @@ def best_overlap(said: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int
     return low + first, low + end, int(agree[first:end].sum())
 
 
+def longest_overlap(said: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
+    """``(first, end, agreeing)`` of the overlap along a diagonal with most agreeing words, in positions of ``said``.
+
+    Of all stretches whose agreeing words are at least ``SHARE`` of them, that is
+    3 per agreeing and -7 per other word sum to 0 or more; (0, 0, 0) if there is
+    none. It begins and ends with an agreeing word; of several the first is taken.
+    """
+    low, high = max(0, diagonal), min(len(said), len(item) + diagonal)
+    if low >= high:
+        return 0, 0, 0
+    agree = said[low:high] == item[low - diagonal : high - diagonal]
+    sums = np.concatenate([[0], np.cumsum(np.where(agree, 3, -7))])
+    count = np.concatenate([[0], np.cumsum(agree)])
+    # For each end the earliest begin with no larger sum, so with most agreeing words.
+    begins = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    agreeing = count - count[begins]
+    end = int(np.argmax(agreeing))
+    if not agreeing[end]:
+        return 0, 0, 0
+    same = np.flatnonzero(agree[begins[end] : end]) + int(begins[end])
+    return low + int(same[0]), low + int(same[-1]) + 1, int(agreeing[end])
+
+
 def _compared(said: str, item: str, diagonal: str) -> Column:
-    """``best_overlap`` of two columns of words."""
+    """``longest_overlap`` of two columns of words."""
 
     @F.arrow_udf("struct<first: int, end: int, agreeing: int>")
     def of(said: pa.Array, items: pa.Array, diagonals: pa.Array) -> pa.Array:
         found = [
-            best_overlap(a.values.to_numpy(), b.values.to_numpy(), d)
+            longest_overlap(a.values.to_numpy(), b.values.to_numpy(), d)
             for a, b, d in zip(said, items, diagonals.to_pylist())
         ]
         columns = [pa.array([row[k] for row in found], pa.int32()) for k in range(3)]
@@ -172,7 +197,7 @@ def _compared(said: str, item: str, diagonal: str) -> Column:
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """``(doc_id, item_id, first_word, end_word, agreeing)``: the best overlap of each document and item.
+    """``(doc_id, item_id, first_word, end_word, agreeing)``: the overlap of each document and item with most agreeing words.
 
     Words are lower-cased runs of letters and digits, counted from 0. An item
     of fewer than five words has no seed and is found nowhere; NULL texts have

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import brute
@@ -91,3 +92,64 @@ def test_edges(spark, edge_docs, no_docs):
     assert kept.columns == edge_docs.columns and kept.count() == 7
     assert d.contamination(no_docs, benchmark).count() == 0
     assert d.contamination(edge_docs, benchmark.filter(F.lit(False))).filter("contaminated").isEmpty()
+
+
+def _counts(agree, least=10):
+    """The most agreeing words of any stretch that the stated rule lets count, by all stretches; 0 if none."""
+    most = 0
+    for a, b in itertools.combinations(range(len(agree) + 1), 2):
+        agreeing = sum(agree[a:b])
+        if agreeing >= least and 10 * agreeing >= 7 * (b - a):
+            most = max(most, agreeing)
+    return most
+
+
+def test_longest_overlap_equals_the_stated_rule():
+    rng = np.random.default_rng(4)
+    cases = [rng.random(rng.integers(0, 30)) < rng.choice([0.5, 0.7, 0.8]) for _ in range(300)]
+    cases.append([True] * 2 + [False] + [True] * 9 + [False] + [True] * 2)
+    for agree in cases:
+        item = np.arange(len(agree))
+        said = np.concatenate([[-1] * 3, np.where(agree, item, -1)]).astype(np.int64)
+        first, end, agreeing = d.longest_overlap(said, item, 3)
+        assert agreeing == _counts(list(map(int, agree)), 1)
+        assert agreeing == int(np.sum(agree[first - 3 : end - 3])) and 10 * agreeing >= 7 * (end - first)
+
+
+def test_every_overlap_that_counts_holds_a_seed():
+    """The largest sum of 3 and -7 of a stretch without any seed, over all stretches of up to 30 words."""
+    width = max(map(len, d.MASKS))
+    state = np.arange(1 << width)
+    seed = np.zeros(len(state), bool)
+    for mask in d.MASKS:
+        seed |= (state & int(mask, 2)) == int(mask, 2)
+    none = -(10**6)
+    best = np.full((len(state), d.LEAST_WORDS + 1), none)  # by last words and number of agreeing ones
+    best[0, 0] = 0
+    half = len(state) // 2
+    for _ in range(30):
+        after = np.full_like(best, none)
+        for same, gain in ((1, 3), (0, -7)):
+            after_state = (2 * state + same) % len(state)
+            for n in range(d.LEAST_WORDS + 1):
+                value = np.where(seed[after_state] | (best[:, n] == none), none, best[:, n] + gain)
+                value = np.maximum(value[:half], value[half:])
+                to = after[:, min(n + same, d.LEAST_WORDS)]
+                to[after_state[:half]] = np.maximum(to[after_state[:half]], value)
+        best = after
+        assert best[:, d.LEAST_WORDS].max() < 0
+
+
+def test_all_placements_of_substitutions_in_the_shortest_items(spark):
+    item = [f"w{i}" for i in range(15)]
+    placed = [c for n in range(7) for c in itertools.combinations(range(15), n)][::7]
+    docs, want = {}, set()
+    for k, gone in enumerate(placed):
+        agree = [int(i not in gone) for i in range(15)]
+        docs[k] = " ".join([f"a{k}", *[w if same else f"x{i}" for i, (w, same) in enumerate(zip(item, agree))], f"b{k}"])
+        if _counts(agree):
+            want.add(k)
+    frame = spark.createDataFrame([*docs.items()], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    got = {r["doc_id"] for r in d.contamination(frame, benchmark).filter("contaminated").collect()}
+    assert 0 < len(want) < len(docs) and got == want
