@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keytally.llm.tables import small, stored, text_or_empty
+from keytally.llm.tables import named_again, numbered, small, stored, text_digest, text_or_empty
 from keytally.llm.words import chunks, mix, words
 
 #: Every stretch that ``LEAST_WORDS`` and ``SHARE`` let count has a placement of one
@@ -197,12 +197,12 @@ def _compared(said: str, item: str, diagonal: str) -> Column:
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """``(doc_id, item_id, first_word, end_word, agreeing)``: the overlap of each document and item with most agreeing words.
+    """``(doc_id, sha, item_id, first_word, end_word, agreeing)``: the overlap of each document and item with most agreeing words.
 
     Words are lower-cased runs of letters and digits, counted from 0. An item
     of fewer than five words has no seed and is found nowhere; NULL texts have
-    no words. Rows that repeat an id are one document, or one item. Other
-    columns are not read. Stored, so it can be used more than once.
+    no words. Rows that repeat an id and text, whose digest ``sha`` is, are one
+    document; items that repeat an id are one item. Other columns are not read. Stored, so it can be used more than once.
     """
     items = benchmark.select(F.col(item).alias("item_id"), _item_seeds(text_or_empty(item_text)).alias("_s"))
     items = stored(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "_s.*"), "items")
@@ -210,14 +210,14 @@ def overlaps(
     tests = stored(tests, "tests")
     packed = bloom_filter(tests)
 
-    texts = docs.select(F.col(id).alias("doc_id"), text_or_empty(text).alias("_text"))
-    found = texts.select("doc_id", F.explode(_segments(F.col("_text"), packed, docs)).alias("s"))
-    found = found.select(F.monotonically_increasing_id().alias("segment"), "doc_id", "s.*")
+    texts = docs.select(F.col(id).alias("doc_id"), text_digest(text).alias("sha"), text_or_empty(text).alias("_text"))
+    found = texts.select("doc_id", "sha", F.explode(_segments(F.col("_text"), packed, docs)).alias("s"))
+    found = found.select(F.monotonically_increasing_id().alias("segment"), "doc_id", "sha", "s.*")
     segments = stored(found, "segments", BATCH_ROWS)
     hits = segments.select("segment", F.explode("hits").alias("h")).select("segment", "h.hash", "h.at")
     met = hits.join(small(tests), "hash")
     lines = met.select("segment", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    pairs = lines.join(segments.select("segment", "doc_id", "start", "words"), "segment")
+    pairs = lines.join(segments.select("segment", "doc_id", "sha", "start", "words"), "segment")
     pairs = pairs.join(small(items.select("item", "item_id", F.col("words").alias("item_words"))), "item")
     judged = pairs.withColumn("o", _compared("words", "item_words", "diagonal"))
     enough = F.least(F.lit(LEAST_WORDS), F.size("item_words"))
@@ -225,34 +225,48 @@ def overlaps(
     judged = judged.filter((F.col("o.agreeing") >= enough) & (F.col("o.agreeing") >= SHARE * length))
     first = (F.col("start") + F.col("o.first")).cast("bigint")
     best = F.max(F.struct(F.col("o.agreeing").cast("bigint").alias("agreeing"), (-first).alias("back"), length.cast("bigint").alias("length")))
-    best = judged.groupBy("doc_id", "item_id").agg(best.alias("b"))
+    best = judged.groupBy("doc_id", "sha", "item_id").agg(best.alias("b"))
     return stored(
         best.select(
-            "doc_id", "item_id", (-F.col("b.back")).alias("first_word"),
+            "doc_id", "sha", "item_id", (-F.col("b.back")).alias("first_word"),
             (F.col("b.length") - F.col("b.back")).alias("end_word"), "b.agreeing",
         ),
         "overlaps",
     )
 
 
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``overlaps``, with those of rows without an id once more under ``sha`` NULL, for rows without id and text."""
+    found = overlaps(docs, benchmark)
+    return found.unionByName(found.filter("doc_id is null").withColumn("sha", F.lit(None).cast("binary")))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, contaminated, n_items, item_id, first_word, end_word, agreeing)`` per row of ``docs``.
 
-    The item shown is the one with the most agreeing words, by ties the smallest;
-    without any, the columns after ``n_items`` are NULL.
+    A row is told by its id, NULL included, and its text, so others under the same
+    id are not marked. A row with neither goes with any that has no id. The item
+    shown is the one with the most agreeing words, by ties the smallest; without
+    any, the columns after ``n_items`` are NULL.
     """
-    found = overlaps(docs, benchmark)
+    found = _found(docs, benchmark)
     best = F.max_by(F.struct("item_id", "first_word", "end_word", "agreeing"), F.struct("agreeing", -F.col("item_id")))
-    per_doc = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), best.alias("b"))
-    per_doc = stored(per_doc.withColumnRenamed("doc_id", "_id"), "contaminated")
-    rows = docs.select("doc_id").join(small(per_doc), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return rows.select(
+    per_doc = found.groupBy("doc_id", "sha").agg(F.count_distinct("item_id").alias("n_items"), best.alias("b"))
+    per_doc = stored(per_doc.withColumnsRenamed({"doc_id": "_id", "sha": "_sha"}), "contaminated")
+    rows = docs.select("doc_id", text_digest().alias("_is"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_is").eqNullSafe(F.col("_sha"))
+    return rows.join(small(per_doc), same, "left").select(
         "doc_id", F.col("n_items").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0).cast("bigint")).alias("n_items"), "b.*",
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that overlap a test item, all columns as they were."""
-    gone = stored(overlaps(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
-    return docs.join(small(gone), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """``docs`` without the rows that ``contamination`` marks, all columns as they were."""
+    gone = _found(docs, benchmark).select(F.col("doc_id").alias("_gone"), F.col("sha").alias("_gone_sha"))
+    gone = stored(gone.distinct(), "leaks")
+    marked = numbered(docs)
+    place, text = (f"_{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    marked = marked.withColumn("_is", text_digest(text))
+    same = F.col(place).eqNullSafe(F.col("_gone")) & F.col("_is").eqNullSafe(F.col("_gone_sha"))
+    return marked.join(small(gone), same, "left_anti").select(*named_again(marked, docs))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keytally.llm.components import components
-from keytally.llm.tables import small, stored, text_or_empty
+from keytally.llm.tables import named_again, numbered, small, stored, text_digest, text_or_empty
 from keytally.llm.words import Chunk, chunks, mix, shingles, words
 
 WIDTH = 5
@@ -365,7 +365,51 @@ def _rare_pairs(large: DataFrame, docs: DataFrame, similarity: float) -> DataFra
     return _across(ranked.filter("df > 1").select("key", "shingle", "node", "root"), ["key", "shingle"])
 
 
+def _sha(text: str) -> Column:
+    """The text's digest; NULL texts are empty."""
+    return F.coalesce(text_digest(text), F.unhex(F.sha2(F.lit("").cast("binary"), 256))).alias("_sha")
+
+
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """``(_id, text, _sha)`` of ``docs`` where an id stands for one text only.
+
+    If an id has several texts, that of the smallest digest keeps it and the
+    others get numbers no row has, beyond the largest id or else below the least.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), "text", _sha("text"))
+    several = rows.groupBy("_id").agg(F.min("_sha").alias("_first"), F.max("_sha").alias("_last"))
+    several = stored(several.filter("_id is not null and _first < _last").select("_id", "_first"), "repeated-ids")
+    others = rows.join(small(several), "_id").filter("_sha <> _first").select("_id", "_sha").distinct()
+    others = stored(others.withColumn("_at", F.monotonically_increasing_id()), "repeated-texts")
+    most = others.agg(F.max("_at")).first()[0]
+    if most is None:
+        return rows
+    low, high = rows.agg(F.min("_id"), F.max("_id")).first()
+    if high + most + 1 < 1 << 63:
+        number = F.col("_at") + F.lit(high + 1)
+    elif low - most - 1 >= -(1 << 63):
+        number = F.lit(low - 1) - F.col("_at")
+    else:
+        raise ValueError("ids at both ends of bigint, and some have several texts")
+    own = others.select("_id", "_sha", number.alias("_own"))
+    rows = rows.join(small(own), ["_id", "_sha"], "left")
+    return rows.select("_id", "text", "_sha", F.coalesce("_own", "_id").alias("_own"))
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class of near duplicates, all columns as they were."""
-    gone = stored(near_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "near")
-    return docs.join(small(gone), docs["doc_id"] == gone["_gone"], "left_anti")
+    """``docs`` with one document of each class of near duplicates, all columns as they were.
+
+    Different texts under one id are documents of their own here.
+    """
+    apart = _told_apart(docs)
+    if "_own" not in apart.columns:
+        apart = apart.withColumn("_own", F.col("_id"))
+    gone = near_groups(apart, id="_own").filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = stored(gone, "near")
+    keys = apart.join(small(gone), apart["_own"] == gone["_gone"], "left_semi").select(F.col("_id").alias("_gone"), "_sha")
+    keys = stored(keys.distinct(), "near-rows").withColumnRenamed("_sha", "_gone_sha")
+    marked = numbered(docs)
+    place, text = (f"_{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    marked = marked.select("*", _sha(text))
+    same = (F.col(place) == F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha"))
+    return marked.join(small(keys), same, "left_anti").select(*named_again(marked, docs))

@@ -47,6 +47,11 @@ def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def text_digest(text: str = "text") -> Column:
+    """SHA-256 of the text as it is; NULL for NULL. With the id it tells rows apart that share an id."""
+    return F.unhex(F.sha2(F.col(text).cast("string").cast("binary"), 256))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with columns named ``_0``, ``_1`` and so on, so that no added name can clash."""
     return docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])

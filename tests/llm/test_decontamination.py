@@ -153,3 +153,14 @@ def test_all_placements_of_substitutions_in_the_shortest_items(spark):
     benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
     got = {r["doc_id"] for r in d.contamination(frame, benchmark).filter("contaminated").collect()}
     assert 0 < len(want) < len(docs) and got == want
+
+
+def test_clean_rows_of_the_same_id_stay(spark):
+    item = " ".join(f"t{i}" for i in range(15))
+    rows = [(None, f"leak {item}"), (None, "clean words without an id"), (None, ""), (1, f"{item} leak"), (1, "clean words"), (1, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    kept = {(r["doc_id"], r["text"]) for r in d.drop_contaminated(docs, benchmark).collect()}
+    assert kept == {row for row in rows if item not in (row[1] or "")}
+    marked = d.contamination(docs, benchmark)
+    assert marked.count() == len(rows) and marked.filter("contaminated").count() == 2
