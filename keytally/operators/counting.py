@@ -2,18 +2,20 @@
 
 A key may hold a third of all rows, so no step gives one task all rows of such
 a key: counts are combined before the shuffle, and a long key is numbered in
-stretches of the arrival order that are cut where its rows are.
+stretches of the arrival order, one for each range partition that it reaches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a key that are numbered together, about.
+from keytally.session import stored
+
+#: A key of more rows is numbered in stretches; rows of a stretch, about.
 STRETCH_ROWS = 1 << 20
-#: Rows looked at for each cut; more of them make stretches more even.
-SAMPLED = 8
+#: Long keys that are broadcast; more of them are joined by a shuffle, with the same result.
+BROADCAST_KEYS = 100_000
 #: Rows that a counted range is spread in, and made in.
 SPREAD_ROWS = 1_000_000
 RANGE_ROWS = 10_000
@@ -33,22 +35,29 @@ def merge_state(*states: DataFrame, key: str = "key") -> DataFrame:
     return final_count(merged, key, weight="n")
 
 
-def _arrival(order: list[str]) -> Column:
-    return F.struct(*order)
+def _lifted(rows: DataFrame, lifts: DataFrame | None, place: list[str], order: list[str]) -> DataFrame:
+    """``rows`` and ``n``, their place in their group plus the group's ``_base``.
+
+    A base is one more row of its group that comes first and weighs what it
+    holds, so it goes along with the shuffle of the rows and nothing is joined.
+    """
+    weighed = rows.withColumns({"_is_row": F.lit(1), "_weight": F.lit(1).cast("bigint")})
+    if lifts is not None:
+        bases = lifts.select(*place, F.lit(0).alias("_is_row"), F.col("_base").alias("_weight"))
+        weighed = weighed.unionByName(bases, allowMissingColumns=True)
+    upto = Window.partitionBy(*place).orderBy("_is_row", *order).rowsBetween(Window.unboundedPreceding, 0)
+    return weighed.withColumn("n", F.sum("_weight").over(upto)).filter("_is_row = 1").drop("_is_row", "_weight")
 
 
-def stretch_cuts(rows: DataFrame, key: str, order: list[str], stretch_rows: int) -> DataFrame:
-    """``(key, cuts)``: where the arrival order of each long key is cut.
+def long_keys(rows: DataFrame, key: str, stretch_rows: int) -> tuple[DataFrame, int, int]:
+    """A stored table ``(_long)`` of the keys with more than ``stretch_rows`` rows, their number and rows.
 
-    A fixed share of the rows, chosen by their hash, tells where the rows of a
-    key are, whatever values the order has; each ``SAMPLED``-th of them is a
-    cut. Short keys have none. A key of n rows gets about n / ``stretch_rows``.
+    There are at most (all rows) / ``stretch_rows`` of them.
     """
-    apart = max(1, stretch_rows // SAMPLED)
-    chosen = F.pmod(F.xxhash64(_arrival(order), F.lit(apart)), F.lit(apart)) == 0
-    sampled = rows.filter(chosen).groupBy(key).agg(F.sort_array(F.collect_list(_arrival(order))).alias("_seen"))
-    cuts = F.filter("_seen", lambda x, i: i % SAMPLED == SAMPLED - 1)
-    return sampled.filter(F.size("_seen") >= SAMPLED).select(F.col(key).alias("_cut_key"), cuts.alias("_cuts"))
+    found = final_count(rows, key).filter(F.col("n") > stretch_rows).select(F.col(key).alias("_long"), "n")
+    found = stored(found, "long-keys")
+    number, size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return found.select("_long"), number, size
 
 
 def running_count(
@@ -57,48 +66,56 @@ def running_count(
     seq: str | list[str] = "seq",
     initial: DataFrame | None = None,
     stretch_rows: int = STRETCH_ROWS,
-    broadcast_cuts: bool = True,
 ) -> DataFrame:
     """The columns of ``rows`` and ``n``: how often the key has been seen up to and
     with this row, on top of its ``initial`` state ``(key, n)`` if there is one.
 
     ``seq`` names the arrival order, unique within a key, of any type that can
     be ordered; NULL comes first. The key is of any type that can be grouped.
-    All keys take the same way: rows are numbered per key and stretch and lifted
-    by the counts of the key's stretches before. A key has as many stretches as
-    its rows need; most have one. Rows are shuffled once. Nothing runs before
-    the result is asked for.
-
-    The cuts are broadcast: one arrival order and one key for each
-    ``stretch_rows`` rows, so some 30 MB for 10**12 rows. Beyond that have them
-    joined by a shuffle instead (``broadcast_cuts=False``), or longer stretches.
+
+    Keys of at most ``stretch_rows`` rows are numbered by one shuffle on the key.
+    Rows of longer keys are range-partitioned by key and arrival and stored; a
+    partition holds one stretch of each of its keys, and is numbered per key and
+    stretch, lifted by a prefix sum over the stretches' counts. No row is held
+    against a list of cuts, so a row costs the same whatever the number of
+    stretches, and nothing is broadcast but a counted list of long keys. The
+    counts by key are taken, and the long keys' rows stored, when this is
+    called; the rest runs when the result is asked for. ``rows`` are read for
+    each of these, so they have to be the same each time.
     """
     order = [seq] if isinstance(seq, str) else list(seq)
-    place = ["_key", "_stretch"]
-    cuts = stretch_cuts(rows, key, order, stretch_rows)
-    cuts = F.broadcast(cuts) if broadcast_cuts else cuts
-    on_key = F.col(key).eqNullSafe(F.col("_cut_key"))
-    # Cuts before or at the row; a struct, so that NULL is compared as the first value.
-    stretch = F.size(F.filter("_cuts", lambda cut: cut <= _arrival(order)))
-
-    cut_rows = rows.select(key, *order).join(cuts, on_key).select(F.col(key).alias("_key"), stretch.alias("_stretch"))
-    earlier = Window.partitionBy("_key").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut_rows.groupBy(*place).agg(F.count(F.lit(1)).alias("_c"))
-    lift = totals.select(*place, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_base"))
+    state = None
     if initial is not None:
-        state = initial.select(F.col(key).cast(rows.schema[key].dataType).alias("_key"), F.col("n").cast("bigint").alias("_base"))
-        spread = state.join(cuts, F.col("_key").eqNullSafe(F.col("_cut_key")), "left").select(
-            "_key", F.explode(F.sequence(F.lit(0), F.coalesce(F.size("_cuts"), F.lit(0)))).alias("_stretch"), "_base"
-        )
-        lift = lift.unionByName(spread).groupBy(*place).agg(F.sum("_base").alias("_base"))
-    lift = lift.withColumnsRenamed({"_key": "_lift_key", "_stretch": "_lift_stretch"})
-
-    placed = rows.join(cuts, on_key, "left").withColumn("_stretch", F.coalesce(stretch, F.lit(0))).drop("_cuts", "_cut_key")
-    within = Window.partitionBy(key, "_stretch").orderBy(*order)
-    numbered = placed.withColumn("_i", F.row_number().over(within))
-    same = F.col(key).eqNullSafe(F.col("_lift_key")) & (F.col("_stretch") == F.col("_lift_stretch"))
-    n = (F.col("_i") + F.coalesce("_base", F.lit(0))).cast("bigint")
-    return numbered.join(lift, same, "left").select(*rows.columns, n.alias("n"))
+        state = initial.select(F.col(key).cast(rows.schema[key].dataType).alias(key), F.col("n").cast("bigint").alias("_base"))
+    keys, number, size = long_keys(rows, key, stretch_rows)
+    if not number:
+        return _lifted(rows, state, [key], order)
+    keys = F.broadcast(keys) if number <= BROADCAST_KEYS else keys
+    is_long = F.col(key).eqNullSafe(F.col("_long"))
+    rest, held = rows.join(keys, is_long, "left_anti"), None
+    if state is not None:
+        state, held = state.join(keys, is_long, "left_anti"), state.join(keys, is_long, "left_semi")
+    short = _lifted(rest, state, [key], order)
+    return short.unionByName(_count_long(rows.join(keys, is_long, "left_semi"), size, key, order, held))
+
+
+def in_stretches(rows: DataFrame, size: int, key: str, order: list[str]) -> DataFrame:
+    """``size`` rows stored by ranges of key and arrival, with the number of their range, ``_stretch``."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(max(parts, -(-size // STRETCH_ROWS)), key, *order)
+    # The bounds are sampled anew each time, so the stretches hold only once they are stored.
+    return stored(dealt.withColumn("_stretch", F.spark_partition_id()), "stretches")
+
+
+def _count_long(rows: DataFrame, size: int, key: str, order: list[str], state: DataFrame | None) -> DataFrame:
+    placed = in_stretches(rows, size, key, order)
+    sums = placed.groupBy(key, "_stretch").agg(F.count(F.lit(1)).alias("_c"))
+    if state is not None:
+        sums = sums.unionByName(state.select(key, F.lit(-1).alias("_stretch"), F.col("_base").alias("_c")))
+    # A key has a row here for each stretch, so never more than there are partitions.
+    earlier = Window.partitionBy(key).orderBy("_stretch").rangeBetween(Window.unboundedPreceding, -1)
+    lifts = sums.withColumn("_base", F.sum("_c").over(earlier)).filter("_stretch >= 0 and _base > 0")
+    return _lifted(placed, lifts, [key, "_stretch"], order).drop("_stretch")
 
 
 def running_count_by_window(rows: DataFrame, key: str = "key", seq: str | list[str] = "seq") -> DataFrame:

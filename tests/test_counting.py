@@ -9,10 +9,10 @@ from keytally.operators.counting import (
     emitted_counts,
     expand_ranges,
     final_count,
+    in_stretches,
     merge_state,
     running_count,
     running_count_by_window,
-    stretch_cuts,
     typed_pairs,
 )
 
@@ -63,14 +63,15 @@ def test_running_count(spark, name, stretch_rows):
 
 
 @pytest.mark.parametrize("seed", [2, 3])
-@pytest.mark.parametrize("stretch_rows, broadcast", [(8, True), (8, False), (1 << 20, True)])
+@pytest.mark.parametrize("stretch_rows, most", [(8, 100), (8, 0), (1 << 20, 100)])
 @pytest.mark.parametrize("partitions", [1, 5])
-def test_running_count_from_state(spark, seed, stretch_rows, broadcast, partitions):
+def test_running_count_from_state(spark, monkeypatch, seed, stretch_rows, most, partitions):
+    monkeypatch.setattr("keytally.operators.counting.BROADCAST_KEYS", most)
     rows = skewed(seed, 200)
     base = {"hot": 10, "a": 3, None: 7, "only in state": 5}
     df = spark.createDataFrame(rows, SCHEMA).repartition(partitions)
     state = spark.createDataFrame(list(base.items()), "key string, n bigint")
-    counted = running_count(df, initial=state, stretch_rows=stretch_rows, broadcast_cuts=broadcast)
+    counted = running_count(df, initial=state, stretch_rows=stretch_rows)
     assert collected(counted) == expected(rows, base.items())
     assert broken_runs(counted, initial=state).count() == 0
 
@@ -109,16 +110,27 @@ def test_keys_of_any_type(spark, kind):
     assert lifted.count() == 600
 
 
-def _largest_stretch(df, order, stretch_rows):
-    cuts = stretch_cuts(df, "key", order, stretch_rows)
-    at = F.size(F.filter("_cuts", lambda cut: cut <= F.struct(*order)))
-    return df.join(cuts, F.col("key").eqNullSafe(F.col("_cut_key")), "left").groupBy("key", at).count().agg(F.max("count")).first()[0]
-
-
 @pytest.mark.parametrize("seq", ["id", "id * 1000", "if(id = 7, 1000000000000000000L, id)", "if(id % 2 = 0, id, id * id * id)", "pow(2.0, id % 20) + id / 1e6"])
 def test_stretches_are_cut_where_the_rows_are(spark, seq):
     df = spark.range(20_000).selectExpr(f"{seq} as seq", "if(id % 3 > 0, 'hot', cast(id as string)) as key")
-    assert _largest_stretch(df, ["seq"], 1_000) < 4_000
+    sizes = [r["count"] for r in in_stretches(df, 20_000, "key", ["seq"]).groupBy("_stretch").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / 8
+
+
+def test_a_row_costs_the_same_in_many_stretches(spark):
+    """Nothing is held against a list of cuts: no join or array in the plan of a long key's rows."""
+    df = spark.range(4_000).select(F.col("id").alias("seq"), F.lit("k").alias("key"))
+    plan = running_count(df, stretch_rows=8)._jdf.queryExecution().optimizedPlan().toString()
+    long_side = plan[plan.rindex("Union") :]
+    assert "Join" not in long_side and "lambda" not in plan
+
+
+def test_repeated_state_of_a_key_adds_up(spark):
+    df = spark.createDataFrame([(i, "k") for i in range(20)] + [(20, "one")], SCHEMA)
+    state = spark.createDataFrame([("k", 5), ("k", 6), ("one", 1), ("one", 2)], "key string, n bigint")
+    for stretch_rows in (4, 1 << 20):
+        got = {(r.key, r.n) for r in running_count(df, initial=state, stretch_rows=stretch_rows).collect()}
+        assert got == {("k", n) for n in range(12, 32)} | {("one", 4)}
 
 
 def test_text_and_null_orders(spark):
