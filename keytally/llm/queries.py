@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytally.llm import chat, decontamination, exact, language, licenses, mixing, near, repair, secrets, toxicity, urls
+from keytally.llm import chat, decontamination, exact, fingerprints, language, licenses, mixing, near, repair, secrets, toxicity, urls
 from keytally.llm.tables import held_out
 from keytally.sources.tables import table
 
@@ -62,6 +62,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pfair_mixing": op1_pfair_mixing,
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": op9_exact_dedup,
         "op10_language": op10_language,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_fingerprints": op13_fingerprints,
     }
 
 
