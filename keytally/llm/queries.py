@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytally.llm import chat, decontamination, exact, fingerprints, language, licenses, mixing, near, repair, secrets, toxicity, urls
+from keytally.llm import chat, decontamination, exact, fingerprints, language, licenses, mixing, near, repair, secrets, spelling, toxicity, urls
 from keytally.llm.tables import held_out
 from keytally.sources.tables import table
 
@@ -58,6 +58,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_perspectives": op8_perspectives,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_language": op10_language,
+        "op11_spelling": op11_spelling,
         "op12_conversation_repair": op12_conversation_repair,
         "op13_fingerprints": op13_fingerprints,
     }
