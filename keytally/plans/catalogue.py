@@ -25,7 +25,7 @@ from keytally.sources.tables import (
     table_stream,
     widen,
 )
-from keytally.streaming import arrivals, counts, state
+from keytally.streaming import arrivals, counts, state, totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -237,7 +237,46 @@ def stream_word_running_count(spark, sf):
     """Every word of every document through the stream: many keys, few records of each."""
     root = work_dir(spark, "stream-words")
     words_in = document_words(table_stream(spark, sf, "documents"))
-    return _counted(spark, words_in, f"{root}/out", f"{root}/checkpoint")
+    return totals.run_totals(words_in, f"{root}/out", f"{root}/checkpoint", partitions=_cores(spark))
+
+
+def _split_documents(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    cut = docs.agg(F.expr("max(doc_id) * 8 div 10").alias("cut")).first()["cut"]
+    return docs.filter(F.col("doc_id") <= cut), docs.filter(F.col("doc_id") > cut)
+
+
+def _two_word_drops(spark, sf, root):
+    """The words of the first documents, then those of the others on the same checkpoint."""
+    for docs in _split_documents(spark, sf):
+        docs.write.mode("append").parquet(f"{root}/in")
+        stream = document_words(spark.readStream.schema(docs.schema).parquet(f"{root}/in"))
+        counted = totals.run_totals(stream, f"{root}/out", f"{root}/checkpoint", partitions=_cores(spark))
+    return counted
+
+
+def stream_word_snapshot_at(spark, sf):
+    root = work_dir(spark, "word-snapshot")
+    _two_word_drops(spark, sf, root)
+    return totals.read_totals(spark, f"{root}/checkpoint", batch_id=0)
+
+
+def stream_word_changes(spark, sf):
+    """What the second drop changed, read from the state's changes alone."""
+    root = work_dir(spark, "word-changes")
+    _two_word_drops(spark, sf, root)
+    return totals.changed_totals(spark, f"{root}/checkpoint", 0, 1)
+
+
+def stream_word_resume_edited(spark, sf):
+    """Count the first documents' words, snapshot, edit, count the other documents' from there."""
+    root = work_dir(spark, "word-resume")
+    for name, docs in zip(("1", "2"), _split_documents(spark, sf)):
+        docs.write.parquet(f"{root}/in{name}")
+        stream = document_words(spark.readStream.schema(docs.schema).parquet(f"{root}/in{name}"))
+        edited = snapshots.edit_last_n(totals.read_totals(spark, f"{root}/checkpoint1")) if name == "2" else None
+        counted = totals.run_totals(stream, f"{root}/out{name}", f"{root}/checkpoint{name}", edited, partitions=_cores(spark))
+    return counted
 
 
 def snapshot_scan(spark, sf):
@@ -579,6 +618,9 @@ def all_queries() -> dict[str, Query]:
         "state_after_resume": state_after_resume,
         "stream_running_count": stream_running_count,
         "stream_word_running_count": stream_word_running_count,
+        "stream_word_snapshot_at": stream_word_snapshot_at,
+        "stream_word_changes": stream_word_changes,
+        "stream_word_resume_edited": stream_word_resume_edited,
         "stream_restart": stream_restart,
         "stream_snapshot_at": stream_snapshot_at,
         "stream_resume": stream_resume,

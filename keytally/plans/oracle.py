@@ -16,6 +16,10 @@ WORDS = """words AS (
   SELECT doc_id, unnest(string_split(text, ' ')) AS key,
          unnest(range(len(string_split(text, ' ')))) AS pos
   FROM documents)"""
+WORD_DROPS = f"""{WORDS},
+cut AS (SELECT max(doc_id) * 8 // 10 AS c FROM documents),
+early AS (SELECT key, count(*) AS n FROM words WHERE doc_id <= (SELECT c FROM cut) GROUP BY key),
+late AS (SELECT key, count(*) AS n FROM words WHERE doc_id > (SELECT c FROM cut) GROUP BY key)"""
 DRAWS = """idx AS (
   SELECT event_id AS seq,
          CAST('0x' || substr(md5(event_id || ':42'), 1, 15) AS BIGINT) AS h FROM events),
@@ -172,6 +176,15 @@ SELECT count(*) AS total, least(count(*), 5) AS replaced FROM snap""",
         "stream_running_count": RUNNING,
         "stream_word_running_count": f"""WITH {WORDS}
 SELECT key, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS n FROM words""",
+        "stream_word_snapshot_at": f"WITH {WORD_DROPS} SELECT key, n FROM early",
+        "stream_word_changes": f"""WITH {WORD_DROPS}
+          SELECT late.key, early.n AS n_before, coalesce(early.n, 0) + late.n AS n_after
+          FROM late LEFT JOIN early ON late.key = early.key""",
+        "stream_word_resume_edited": f"""WITH {WORD_DROPS},
+          top AS (SELECT key FROM early ORDER BY key DESC LIMIT 5),
+          edited AS (SELECT key, CASE WHEN key IN (SELECT key FROM top) THEN 0 ELSE n END AS n FROM early)
+          SELECT late.key, coalesce(edited.n, 0) + unnest(range(1, late.n + 1)) AS n
+          FROM late LEFT JOIN edited ON late.key = edited.key""",
         "stream_restart": RUNNING,
         "stream_snapshot_at": SNAP,
         "stream_resume": _resumed("snap", "l.key"),

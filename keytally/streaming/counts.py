@@ -4,6 +4,7 @@ read as a snapshot, and started from one."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -78,6 +79,25 @@ def stream_counts(
     return expand_ranges(ranges, partitions=partitions).withColumnRenamed("key", key)
 
 
+@contextmanager
+def state_settings(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """The session's settings while a query with state is started."""
+    settings = dict(STATE_CONF)
+    if partitions:
+        settings["spark.sql.shuffle.partitions"] = str(partitions)
+    old = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in old.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def start(
     counted: DataFrame, output: str, checkpoint: str, trigger: dict | None = None, partitions: int | None = None
 ) -> StreamingQuery:
@@ -88,14 +108,7 @@ def start(
     checkpoint keeps ``partitions``, the session's number of shuffle partitions
     if not given, for good.
     """
-    spark = counted.sparkSession
-    settings = dict(STATE_CONF)
-    if partitions:
-        settings["spark.sql.shuffle.partitions"] = str(partitions)
-    old = {name: spark.conf.get(name, None) for name in settings}
-    for name, value in settings.items():
-        spark.conf.set(name, value)
-    try:
+    with state_settings(counted.sparkSession, partitions):
         return (
             counted.writeStream.format("parquet")
             .outputMode("append")
@@ -104,12 +117,6 @@ def start(
             .trigger(**(trigger or AVAILABLE_NOW))
             .start()
         )
-    finally:
-        for name, value in old.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
 
 
 def run(counted: DataFrame, output: str, checkpoint: str, partitions: int | None = None) -> DataFrame:
@@ -125,11 +132,11 @@ def resume_from_snapshot(
     rows: DataFrame, snapshot: DataFrame, output: str, checkpoint: str, partitions: int | None = None
 ) -> DataFrame:
     """Count a new stream from a snapshot; the checkpoint must be a new one."""
-    if _exists(rows.sparkSession, checkpoint):
+    if path_exists(rows.sparkSession, checkpoint):
         raise ValueError(f"{checkpoint} is in use: a snapshot only starts a new checkpoint")
     return run(stream_counts(rows, initial=snapshot, partitions=partitions), output, checkpoint, partitions)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
