@@ -60,5 +60,6 @@ def printable(chunk: Column) -> Column:
 
 
 def offset_hex(offset: Column) -> Column:
-    """Eight lower-case hex digits; a binary value is shorter than 2**31 bytes."""
-    return F.lpad(F.lower(F.hex(offset)), 8, "0")
+    """Eight lower-case hex digits, or as many as it takes."""
+    digits = F.lower(F.hex(offset))
+    return F.lpad(digits, F.greatest(F.lit(8), F.length(digits)), F.lit("0"))

@@ -7,6 +7,8 @@ Both are table look-ups on whole arrays, so no byte is visited in Python.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -83,6 +85,55 @@ def crc32c(data: bytes) -> int:
     return int(register[0]) ^ ONES
 
 
+@cache
+def _append_maps() -> list[np.ndarray]:
+    """Maps that append 1, 2, 4, ... 2**62 zero bytes to a register."""
+    byte = np.arange(256, dtype=np.uint32)
+    single = TABLE[-1]
+    maps = [np.array([single, *[byte << np.uint32(8 * (i - 1)) for i in (1, 2, 3)]])]
+    for _ in range(62):
+        maps.append(np.array([_advance(maps[-1], row) for row in maps[-1]]))
+    return maps
+
+
+def append_zeros(registers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each register after ``counts`` zero bytes, by the binary digits of the counts."""
+    moved = registers.astype(np.uint32)
+    for k, shift in enumerate(_append_maps()):
+        chosen = (counts >> k) & 1 == 1
+        if chosen.any():
+            moved[chosen] = _advance(shift, moved[chosen])
+        elif not (counts >> k).any():
+            break
+    return moved
+
+
+def register_of(data: bytes) -> int:
+    """What the bytes leave in an empty register."""
+    if not data:
+        return 0
+    message = np.frombuffer(data, dtype=np.uint8)
+    first = len(message) % SEGMENT or SEGMENT
+    register = _segment(message[:first])
+    for at in range(first, len(message), SEGMENT):
+        register = _advance(SHIFTS[-1], register) ^ _segment(message[at:at + SEGMENT])
+    return int(register[0])
+
+
+@F.pandas_udf(LongType())
+def crc32c_part_udf(content: pd.Series, after: pd.Series) -> pd.Series:
+    """What a range of a message adds to its register, ``after`` bytes before its end."""
+    registers = np.array([register_of(data) for data in content], np.uint32)
+    return pd.Series(append_zeros(registers, after.to_numpy(np.int64)).astype(np.int64))
+
+
+@F.pandas_udf(LongType())
+def crc32c_start_udf(length: pd.Series) -> pd.Series:
+    """What the ones that a register starts with become over a message of ``length`` bytes."""
+    counts = length.to_numpy(np.int64)
+    return pd.Series(append_zeros(np.full(len(counts), ONES, np.uint32), counts).astype(np.int64))
+
+
 @F.pandas_udf(LongType())
 def crc32c_udf(content: pd.Series) -> pd.Series:
     return content.map(crc32c, na_action="ignore").astype("Int64")

@@ -102,11 +102,17 @@ def patch(rows: DataFrame, offset: Column, new_hex: Column, content: str = "cont
     ).drop("_at", "_new")
 
 
-def hex_dump(rows: DataFrame, id: str = "id", content: str = "content") -> DataFrame:
-    """``(id, offset, hex, ascii, line)``, 16 bytes a row; none for empty content."""
+def hex_dump(rows: DataFrame, id: str = "id", content: str = "content", base: str | None = None) -> DataFrame:
+    """``(id, offset, hex, ascii, line)``, 16 bytes a row; none for empty content.
+
+    ``base`` names the place of a content in a longer one, that offsets start at.
+    """
     starts = F.sequence(F.lit(0), F.length(content) - 1, F.lit(ROW))
-    numbered = rows.filter(F.length(content) > 0).select(id, content, F.explode(starts).alias("offset"))
-    chunk = F.substring(F.col(content), F.col("offset") + 1, F.lit(ROW))
+    kept = [F.col(base).alias("_base")] if base else []
+    numbered = rows.filter(F.length(content) > 0).select(id, content, *kept, F.explode(starts).alias("_row"))
+    chunk = F.substring(F.col(content), F.col("_row") + 1, F.lit(ROW))
+    offset = F.col("_row") + F.col("_base") if base else F.col("_row")
+    numbered = numbered.withColumn("offset", offset)
     cells = F.regexp_replace(F.lower(F.hex("chunk")), "(..)", "$1 ")
     shown = numbered.select(id, "offset", chunk.alias("chunk")).select(
         id, "offset", cells.alias("cells"), printable(F.col("chunk")).alias("ascii")

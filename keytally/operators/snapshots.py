@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from keytally.functions.binary import literal_bytes
+from keytally.functions.doubles import double_bytes
 from keytally.operators.counting import final_count
 
 LAST_N = 5
@@ -58,9 +60,15 @@ def edit_last_n(
     The hits are broadcast if ``n`` is at most ``BROADCAST_KEYS`` and shuffled
     otherwise, with the same result.
 
-    A snapshot of raw values takes bytes, such as ``ZERO_DOUBLE``.
+    A snapshot of raw values takes bytes, such as ``ZERO_DOUBLE``, or a number,
+    which is stored as the eight bytes of a double.
     """
-    new = literal_bytes(value) if isinstance(value, bytes) else F.lit(value)
+    if isinstance(value, bytes):
+        new = literal_bytes(value)
+    elif snapshot.schema[column].dataType == BinaryType():
+        new = double_bytes(F.lit(float(value)))
+    else:
+        new = F.lit(value)
     return _edit_tail(snapshot, n, key, column, new)
 
 
