@@ -19,13 +19,16 @@ from pyspark.sql.types import StructType
 from keytally.functions.binary import STORE_SIGNATURE, signature_status
 from keytally.operators.snapshots import LAST_N
 from keytally.sources.files import BINARY_FILE, binary_files
-from keytally.streaming.counts import AVAILABLE_NOW
+from keytally.sources.listing import LISTED, listing_stream, store_of
+from keytally.streaming.counts import AVAILABLE_NOW, state_settings
 
 STATUS = "path string, modificationTime timestamp, status string, message string"
 #: Files acted on together unless the caller says otherwise; the driver holds their names.
 FILES_PER_TRIGGER = 1000
-#: Files longer than this are reported, not read: a binary value has to fit into memory.
-MAX_LENGTH = 1 << 30
+#: The default: no file is read as one value, so none is too long.
+ANY_LENGTH = (1 << 63) - 1
+#: How often an action may be called in a batch.
+MOST_PARTS = 1_000_000
 #: Parts that a file's ranking is begun in, so that no task ranks a whole file.
 RANKED_PARTS = 64
 
@@ -39,31 +42,37 @@ def _literal(path: str) -> str:
     return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
 
 
-def contents(names: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
-    """``(path, modificationTime, length, content)`` of the named files; no content if too long.
+def _tails(names: DataFrame, size: int) -> DataFrame:
+    """``names`` and ``tail``, each file's last ``size`` bytes; NULL for a file that is gone."""
 
-    The names are those of one batch, so the driver may list them.
-    """
-    spark = names.sparkSession
-    rows = names.select("path", "modificationTime", "length").collect()
-    short = [_literal(row["path"]) for row in rows if row["length"] <= max_length]
-    listed = spark.createDataFrame(rows, "path string, modificationTime timestamp, length bigint")
-    if not short:
-        return listed.withColumn("content", F.lit(None).cast("binary"))
-    read = spark.read.format("binaryFile").load(short).select(F.col("path").alias("_path"), "content")
-    return listed.join(read, F.col("path") == F.col("_path"), "left").drop("_path")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tails = []
+            for path in batch["path"].to_pylist():
+                store, inside, _ = store_of(path)
+                try:
+                    with store.open_input_file(inside) as file:
+                        file.seek(max(file.size() - size, 0))
+                        tails.append(file.read(size))
+                except FileNotFoundError:
+                    tails.append(None)
+            yield batch.append_column("tail", pa.array(tails, pa.binary()))
+
+    number = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return names.select("path", "modificationTime", "length").repartition(number, "path").mapInArrow(each, f"{LISTED}, tail binary")
 
 
-def signature_action(signature: bytes = STORE_SIGNATURE, max_length: int = MAX_LENGTH) -> Action:
-    """Report ``ok`` or ``error`` by the closing signature, inside Spark.
+def signature_action(signature: bytes = STORE_SIGNATURE, max_length: int = ANY_LENGTH) -> Action:
+    """Report ``ok`` or ``error`` by the closing signature; only the last bytes of a file are read.
 
     A file longer than ``max_length``, or one gone meanwhile, is an error.
     """
 
     def act(names: DataFrame, batch_id: int) -> DataFrame:
-        found = signature_status(F.col("content"), signature)
-        verdict = F.when(F.col("length") > max_length, "too_long").otherwise(F.coalesce(found, F.lit("not_found")))
-        return contents(names, max_length).select(
+        found = signature_status(F.col("tail"), signature)
+        found = F.when(F.col("tail").isNull(), "not_found").otherwise(found)
+        verdict = F.when(F.col("length") > max_length, "too_long").otherwise(found)
+        return _tails(names, len(signature)).select(
             "path",
             "modificationTime",
             F.when(verdict == "ok", F.lit("ok")).otherwise(F.lit("error")).alias("status"),
@@ -92,25 +101,36 @@ def python_action(handle: Callable[[str], str]) -> Action:
 
 
 def _readable(files: DataFrame, max_length: int) -> DataFrame:
-    """``(path, schema, problem)``: each file is decoded whole on the executors."""
+    """``(path, schema, problem)``: each file is opened on the executors and decoded in pieces.
+
+    A task reads the footer and then one row group after the other, so a file
+    of any length takes the memory of one.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, length, content in zip(*[column.to_pylist() for column in batch.columns]):
+            for path, length in zip(*[column.to_pylist() for column in batch.columns]):
                 schema, problem = None, None
                 try:
-                    if content is None:
-                        problem = f"{length} bytes are too many" if length > max_length else "not found"
+                    if length > max_length:
+                        problem = f"{length} bytes are too many"
                     else:
-                        file = pq.ParquetFile(pa.BufferReader(content))
-                        schema = from_arrow_schema(file.schema_arrow).json()
-                        for group in range(file.num_row_groups):
-                            file.read_row_group(group)
+                        store, inside, _ = store_of(path)
+                        with store.open_input_file(inside) as opened:
+                            file = pq.ParquetFile(opened)
+                            schema = from_arrow_schema(file.schema_arrow).json()
+                            for rows in file.iter_batches():
+                                del rows
+                except FileNotFoundError:
+                    problem = "not found"
                 except Exception as error:
                     schema, problem = None, f"not a readable parquet file: {type(error).__name__}"
                 yield pa.record_batch([pa.array([v], pa.string()) for v in (path, schema, problem)], ["path", "schema", "problem"])
 
-    return files.select("path", "length", "content").mapInArrow(each, "path string, schema string, problem string")
+    # One file is one row: without a number Spark would put all names in one task.
+    number = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.select("path", "length").repartition(number, "path")
+    return dealt.mapInArrow(each, "path string, schema string, problem string")
 
 
 def _edited(entries: DataFrame, n: int, value: float, key: str, column: str) -> DataFrame:
@@ -138,7 +158,7 @@ def edit_action(
     key: str = "key",
     column: str = "n",
     schema: str = "key string, n bigint",
-    max_length: int = MAX_LENGTH,
+    max_length: int = ANY_LENGTH,
 ) -> Action:
     """Set the values of the last ``n`` keys of each snapshot file that arrives.
 
@@ -154,7 +174,7 @@ def edit_action(
     def act(names: DataFrame, batch_id: int) -> DataFrame:
         spark = names.sparkSession
         # At most as many rows as a batch has files.
-        checked = _readable(contents(names, max_length), max_length).collect()
+        checked = _readable(names, max_length).collect()
         required = spark.createDataFrame([], schema).schema
         types = {field.name: field.dataType.simpleString() for field in required}
         groups: dict[str, list[str]] = {}
@@ -218,8 +238,8 @@ def watch(
     files_per_trigger: int = FILES_PER_TRIGGER,
 ) -> StreamingQuery:
     """Act on every new file under ``root``. A file seen once is not seen again;
-    ``poll`` also notices changed files. The stream carries names only. Spark's
-    file sources have no row for an empty file, so it is not acted on."""
+    ``follow`` also notices changed and empty files. The stream carries names
+    only."""
     files = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
@@ -243,6 +263,46 @@ def watch(
     )
 
 
+def follow(
+    spark: SparkSession,
+    root: str,
+    action: Action,
+    status_dir: str,
+    checkpoint: str,
+    glob: str = "*.sst",
+    trigger: dict | None = None,
+    files_per_action: int = FILES_PER_TRIGGER,
+    partitions: int | None = None,
+) -> StreamingQuery:
+    """Act on every file under ``root`` that is new or has changed, empty ones among them.
+
+    Each micro-batch lists what is there; the state knows the path, time and
+    length of what was seen, so no history is read again. A file counts as
+    changed if its time or length has; one written twice between two listings is
+    seen as the later. The action is called with at most ``files_per_action``
+    files and a number that no other call has; what a micro-batch that failed has
+    done is done again. By default one listing is made; give ``trigger`` an
+    interval to go on.
+    """
+    files = listing_stream(spark, root, glob).dropDuplicates(["path", "modificationTime", "length"])
+
+    def arrive(batch: DataFrame, number: int) -> None:
+        rows = batch.select("path", "modificationTime", "length").toLocalIterator()
+        results, parts = f"{status_dir}/batch={number}", 0
+        while (some := list(islice(rows, files_per_action))) or not parts:
+            done = action(spark.createDataFrame(some, LISTED), number * MOST_PARTS + parts) if some else spark.createDataFrame([], STATUS)
+            done.write.mode("append" if parts else "overwrite").parquet(results)
+            parts += 1
+
+    with state_settings(spark, partitions):
+        return (
+            files.writeStream.foreachBatch(arrive)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or AVAILABLE_NOW))
+            .start()
+        )
+
+
 def read_status(spark: SparkSession, status_dir: str) -> DataFrame:
     return spark.read.schema(f"{STATUS}, batch int").parquet(status_dir)
 
@@ -260,7 +320,7 @@ def poll(
 
     Only names and times are compared; contents are read for the changed files,
     ``files_per_action`` at a time. An action that is called more than once in
-    a batch is given numbers of its own: ``batch_id`` times a million and on.
+    a batch is given numbers of its own, below zero.
     """
     names = binary_files(spark, root, glob).select("path", "modificationTime", "length")
     if batch_id > 0:
@@ -271,7 +331,7 @@ def poll(
     parts = 0
     rows = names.select("path", "modificationTime", "length").toLocalIterator()
     while some := list(islice(rows, files_per_action)):
-        result = action(spark.createDataFrame(some, kind), batch_id if parts == 0 else batch_id * 1_000_000 + parts)
+        result = action(spark.createDataFrame(some, kind), batch_id if parts == 0 else -(batch_id * MOST_PARTS + parts))
         result.write.mode("append" if parts else "overwrite").parquet(f"{status_dir}/batch={batch_id}")
         parts += 1
     if not parts:

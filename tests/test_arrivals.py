@@ -3,6 +3,7 @@ from pathlib import Path
 
 from keytally.functions.binary import STORE_SIGNATURE
 from keytally.session import work_dir
+from keytally.sources import listing
 from keytally.streaming import arrivals
 
 GOOD = b"data" + STORE_SIGNATURE
@@ -183,3 +184,80 @@ def test_many_last_keys_and_repeated_keys(spark, tmp_path):
         assert edited.count() == 3_004
         assert edited.filter("n = 0 and file like '%many.parquet'").count() == n
         assert edited.filter("n = 0 and file like '%twice.parquet'").count() == (3 if n == 2 else 4)
+
+
+def test_follow_sees_created_changed_and_empty_files(spark, tmp_path):
+    root = work_dir(spark, "test-follow")
+    calls = []
+
+    def act(names, number):
+        calls.append((number, sorted(os.path.basename(r["path"]) for r in names.collect())))
+        return arrivals.signature_action()(names, number)
+
+    def run(**given):
+        folder = str(tmp_path / "in")
+        arrivals.follow(spark, folder, act, f"{root}/status", f"{root}/ck", partitions=2, **given).awaitTermination()
+        return arrivals.read_status(spark, f"{root}/status")
+
+    assert run().count() == 0 and calls == []  # no such folder yet
+    (tmp_path / "in" / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "in" / "a b+%20.sst").write_bytes(GOOD)
+    (tmp_path / "in" / "deep" / "empty.sst").write_bytes(b"")
+    (tmp_path / "in" / "deep" / "er" / "bad.sst").write_bytes(b"no signature here")
+    (tmp_path / "in" / "other.txt").write_bytes(GOOD)
+    (tmp_path / "in" / "_hidden.sst").write_bytes(GOOD)
+    assert statuses(run().filter("batch = 1")) == {("a b+%20.sst", "ok"), ("empty.sst", "error"), ("bad.sst", "error")}
+    assert run().filter("batch = 2").count() == 0  # nothing has changed
+    (tmp_path / "in" / "deep" / "empty.sst").write_bytes(GOOD)
+    (tmp_path / "in" / "deep" / "er" / "bad.sst").write_bytes(b"x" * 9 + GOOD)
+    for i in range(5):
+        (tmp_path / "in" / f"new{i}.sst").write_bytes(GOOD)
+    changed = run(files_per_action=3).filter("batch = 3")
+    assert statuses(changed) == {(n, "ok") for n in ("empty.sst", "bad.sst", *(f"new{i}.sst" for i in range(5)))}
+    assert changed.count() == 7 and [len(names) for _, names in calls] == [3, 3, 3, 1]
+    assert len({number for number, _ in calls}) == 4
+
+
+def test_follow_goes_on_after_a_failed_batch(spark, tmp_path):
+    root = work_dir(spark, "test-follow-again")
+    (tmp_path / "a.sst").write_bytes(GOOD)
+
+    def fail(names, number):
+        raise OSError("store is away")
+
+    for act in (fail, arrivals.signature_action()):
+        query = arrivals.follow(spark, str(tmp_path), act, f"{root}/status", f"{root}/ck", partitions=2)
+        if act is fail:
+            try:
+                query.awaitTermination()
+                raise AssertionError("the batch has to fail")
+            except Exception as problem:
+                assert "store is away" in str(problem)
+        else:
+            query.awaitTermination()
+    assert statuses(arrivals.read_status(spark, f"{root}/status")) == {("a.sst", "ok")}
+
+
+def test_polls_number_their_calls_apart(spark, tmp_path):
+    root, numbers = work_dir(spark, "test-poll-numbers"), []
+
+    def act(names, number):
+        numbers.append(number)
+        return arrivals.signature_action()(names, number)
+
+    for batch in (0, 1, 1_000_001):
+        for i in range(3):
+            (tmp_path / f"{batch}-{i}.sst").write_bytes(GOOD)
+        arrivals.poll(spark, str(tmp_path), act, f"{root}/status", batch, files_per_action=1)
+    assert len(numbers) == len(set(numbers)) == 9
+
+
+def test_a_long_file_is_judged_by_its_last_bytes(spark, tmp_path):
+    """A file beyond one binary value; its blocks before the end are never written."""
+    with open(tmp_path / "long.sst", "wb") as file:
+        file.truncate(3 << 30)
+        file.seek(0, os.SEEK_END)
+        file.write(GOOD)
+    names = listing.list_files(spark, str(tmp_path))
+    row = arrivals.signature_action()(names, 0).first()
+    assert (row["status"], row["message"]) == ("ok", "ok") and names.first()["length"] == (3 << 30) + len(GOOD)

@@ -65,7 +65,7 @@ def test_versions_are_never_replaced(spark):
     snapshot = spark.createDataFrame([(k, 1) for k in ALL_KEYS], STATE)
     stored = versions.write(snapshot, "state", 0)
     versions.write(s.edit_last_n(stored), "state", 1)
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+    with pytest.raises(FileExistsError, match="there already"):
         versions.write(snapshot, "state", 1)
     assert as_dict(versions.read("state", 0)) == as_dict(snapshot)
     assert sum(as_dict(versions.read("state", 1)).values()) == 1
@@ -74,6 +74,39 @@ def test_versions_are_never_replaced(spark):
     assert all(r.k == sorted(r.k, key=lambda k: k.encode()) for r in in_files.collect())
 
 
+def test_a_failed_write_can_be_repeated_and_is_never_seen(spark):
+    root = work_dir(spark, "test-failed-versions")
+    versions = SnapshotVersions(spark, root)
+    snapshot = spark.createDataFrame([(k, 1) for k in ALL_KEYS], STATE)
+    versions.write(snapshot, "state", 0)
+    broken = snapshot.withColumn("n", F.when(F.col("key") < "a", F.col("n")).otherwise(F.raise_error(F.lit("lost")).cast("bigint")))
+    with pytest.raises(Exception, match="lost"):
+        versions.write(broken, "state", 1)
+    # All is written, but the writer is lost before it commits.
+    commit, versions._commit = versions._commit, lambda *given: (_ for _ in ()).throw(RuntimeError("gone"))
+    with pytest.raises(RuntimeError, match="gone"):
+        versions.write(snapshot, "state", 1)
+    versions._commit = commit
+    reader = SnapshotVersions(spark, root)
+    assert reader.versions("state") == [0] and {r.version for r in reader.read_all("state").collect()} == {0}
+    with pytest.raises(FileNotFoundError):
+        reader.read("state", 1)
+    left = reader.abandoned("state")
+    assert len(left) in (1, 2)
+    assert as_dict(versions.write(s.edit_last_n(snapshot), "state", 1)) == as_dict(s.edit_last_n(snapshot))
+    assert reader.versions("state") == [0, 1] and reader.abandoned("state") == left
+    assert reader.read_all("state").groupBy("version").count().collect() == reader.read_all("state").groupBy("version").count().collect()
+    assert sum(r["count"] for r in reader.read_all("state").groupBy("version").count().collect()) == 2 * len(ALL_KEYS)
+
+
+def test_no_version_yet(spark):
+    versions = SnapshotVersions(spark, work_dir(spark, "test-no-versions"))
+    assert versions.versions("state") == [] and versions.abandoned("state") == []
+    for read in (lambda: versions.read("state", 0), lambda: versions.read_all("state")):
+        with pytest.raises(FileNotFoundError):
+            read()
+
+
 def test_resume(spark):
     state = spark.createDataFrame([("old", 4), ("both", 2)], STATE)
     rows = spark.createDataFrame([(10, "both"), (11, "new"), (12, "both")], "seq bigint, key string")
