@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from keytally.functions import binary as b
 from keytally.functions import text as t
 from keytally.functions.checksum import crc32c_udf
+from keytally.functions.doubles import bytes_double, double_bytes
 from keytally.operators import binary as bo
-from keytally.operators import counting, inspection, ranking, resume, snapshots
+from keytally.operators import counting, inspection, ranges, ranking, resume, snapshots
 from keytally.operators.versions import SnapshotVersions
 from keytally.session import work_dir
 from keytally.sources import words
@@ -37,6 +38,10 @@ SWAPPED_TARGET = b"p/<.>p<>"
 # No page holds this value; its first byte starts a letter such as "é".
 ABSENT_TARGET = b"\xc3\x00\x01\x02"
 PAGE_END = b"></html>"
+RAW_DOUBLE = -0.1
+#: Short ranges, so that small tables have borders too.
+RANGE_BYTES = 4096
+RANGE_PATTERNS = {"border": b"</html>\n<", "tag": b"</p>", "absent": ABSENT_TARGET}
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,6 +151,22 @@ def edit_last_n(spark, sf):
     return snapshots.edit_last_n(_snapshot(spark, sf))
 
 
+def edit_last_n_double(spark, sf):
+    """The same on counts stored as doubles, the last set to a negative fraction."""
+    raw = _snapshot(spark, sf).select("key", double_bytes(F.col("n")).alias("value"))
+    edited = snapshots.edit_last_n(raw, value=RAW_DOUBLE, column="value")
+    return edited.select("key", F.hex("value").alias("value"), bytes_double(F.col("value")).alias("n"))
+
+
+def double_roundtrip(spark, sf):
+    """Prices, their negatives and their inverses as bytes and back."""
+    price = F.col("l_extendedprice").cast("double")
+    x = F.when(F.col("l_linenumber") % 3 == 0, -price).when(F.col("l_linenumber") % 3 == 1, 1 / price).otherwise(price)
+    made = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"))
+    stored = double_bytes(F.col("x"))
+    return made.select("l_orderkey", "l_linenumber", F.hex(stored).alias("bytes"), (bytes_double(stored) == F.col("x")).alias("same"))
+
+
 def edit_last_n_raw(spark, sf):
     """The same on raw values: a length and a count, four bytes each."""
     raw = F.concat(b.write_u32(F.lit(4), little=False), b.write_u32(F.col("n"), little=False))
@@ -286,9 +307,17 @@ def snapshot_scan(spark, sf):
 
 
 def snapshot_metadata(spark, sf):
+    """Of a run with one micro-batch for each event type, with the entries of its last one."""
     root = work_dir(spark, "metadata")
-    _stream_run(spark, sf, root)
-    return state.snapshot_metadata(spark, f"{root}/checkpoint")
+    events = keyed_events(table(spark, sf, "events"))
+    kinds = events.select(F.substring_index("key", ":", 1).alias("kind")).distinct().orderBy("kind").collect()
+    for row in kinds:
+        events.filter(F.startswith("key", F.lit(f"{row['kind']}:"))).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        _counted(spark, stream, f"{root}/out", f"{root}/checkpoint")
+    found = state.snapshot_metadata(spark, f"{root}/checkpoint").drop("operator")
+    entries = state.read_snapshot(spark, f"{root}/checkpoint").count()
+    return found.withColumn("entries", F.lit(entries).cast("bigint"))
 
 
 def _two_drops(spark, sf, root):
@@ -358,6 +387,21 @@ def file_arrivals(spark, sf):
     return arrivals.read_status(spark, f"{root}/status").select(kind, "status", "message")
 
 
+def file_changes(spark, sf):
+    """Two snapshots arrive one after the other, and an empty file; each file is reported once, by the listing that saw it."""
+    root = work_dir(spark, "changes")
+    before = _by_kind(spark, sf)
+    empty = spark.createDataFrame([], "value string").coalesce(1)
+    for number, drop in enumerate(("early", "late")):
+        rows = before if number == 0 else snapshots.edit_last_n(before).repartition("kind")
+        rows.write.partitionBy("kind").parquet(f"{root}/in/{drop}")
+        empty.write.mode("overwrite").text(f"{root}/in/{drop}/kind=empty")
+        action = arrivals.signature_action(b"PAR1")
+        arrivals.follow(spark, f"{root}/in", action, f"{root}/status", f"{root}/checkpoint", "part-*", partitions=_cores(spark)).awaitTermination()
+    place = [F.regexp_extract("path", f"/in/([a-z]*)/kind=([^/]*)/", i) for i in (1, 2)]
+    return arrivals.read_status(spark, f"{root}/status").select(place[0].alias("drop"), place[1].alias("kind"), "batch", "status", "message")
+
+
 def file_arrivals_edit(spark, sf):
     """A snapshot is written as one file per event type; each arriving file is edited."""
     root = work_dir(spark, "arrivals-edit")
@@ -419,6 +463,51 @@ def binary_scan(spark, sf):
     )
 
 
+# Files by byte ranges: pages one after another in text files of a hundred each
+
+
+def _page_files(spark, sf):
+    """A folder with a file for each hundred pages, in order of their number."""
+    root = work_dir(spark, "page-files")
+    pages = table(spark, sf, "pages").select(F.expr("page_id div 100").alias("part"), "page_id", "html")
+    ordered = pages.repartition("part").sortWithinPartitions("part", "page_id")
+    ordered.select("part", "html").write.partitionBy("part").text(root)
+    return root
+
+
+def _part():
+    return F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("bigint").alias("part")
+
+
+def file_range_search(spark, sf):
+    """What ends a page and begins the next, the last byte of a tag, and a value that no page holds, across range borders."""
+    root = _page_files(spark, sf)
+    found = []
+    for label, pattern in RANGE_PATTERNS.items():
+        offsets = ranges.search_files(spark, root, pattern, "part-*", RANGE_BYTES)
+        found.append(offsets.select(_part(), F.lit(label).alias("label"), "offset"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def file_range_search_encodings(spark, sf):
+    found = ranges.search_files_encodings(spark, _page_files(spark, sf), SWAPPED_TARGET, "part-*", RANGE_BYTES)
+    return found.select(_part(), "label", "offset")
+
+
+def file_range_dump(spark, sf):
+    dumped = ranges.dump_files(spark, _page_files(spark, sf), "part-*", RANGE_BYTES)
+    return dumped.select(_part(), "offset", "hex", "ascii", "line")
+
+
+def file_range_checksum(spark, sf):
+    """Checksums by ranges beside those of whole values."""
+    root = _page_files(spark, sf)
+    by_ranges = ranges.checksum_files(spark, root, "part-*", RANGE_BYTES).select(_part(), "length", "computed")
+    whole = binary_files(spark, root, "part-*").select(_part().alias("_part"), crc32c_udf("content").alias("whole"))
+    both = by_ranges.join(whole, F.col("part") == F.col("_part"))
+    return both.select("part", "length", (F.col("computed") == F.col("whole")).alias("same"))
+
+
 def signature_check(spark, sf):
     """Pages as they are, signed, and cut short, by the page number."""
     page, content = F.col("page_id"), F.col("content")
@@ -608,6 +697,8 @@ def all_queries() -> dict[str, Query]:
         "snapshot_versions": snapshot_versions,
         "edit_last_n": edit_last_n,
         "edit_last_n_raw": edit_last_n_raw,
+        "edit_last_n_double": edit_last_n_double,
+        "double_roundtrip": double_roundtrip,
         "suffix_last": suffix_last,
         "tail_n": tail_n,
         "last_record": last_record,
@@ -628,6 +719,7 @@ def all_queries() -> dict[str, Query]:
         "stream_state_after_resume": stream_state_after_resume,
         "file_arrivals": file_arrivals,
         "file_arrivals_edit": file_arrivals_edit,
+        "file_changes": file_changes,
         "largest_file": largest_file,
         "largest_page": largest_page,
         "largest_version_file": largest_version_file,
@@ -637,6 +729,10 @@ def all_queries() -> dict[str, Query]:
         "byte_search": byte_search,
         "byte_search_encodings": byte_search_encodings,
         "prefix_search": prefix_search,
+        "file_range_search": file_range_search,
+        "file_range_search_encodings": file_range_search_encodings,
+        "file_range_dump": file_range_dump,
+        "file_range_checksum": file_range_checksum,
         "byte_patch": byte_patch,
         "patch_requests": patch_requests,
         "hex_dump": hex_dump,

@@ -28,6 +28,8 @@ draws AS (
               || chr(CAST(97 + i % 26 AS INT)) AS word
   FROM (SELECT seq, h % 17576 AS i FROM idx))"""
 BYTES = "b AS (SELECT page_id, html, hex(encode(html)) AS h, octet_length(encode(html)) AS size FROM pages)"
+PAGE_FILES = """files AS (SELECT page_id // 100 AS part, string_agg(html || chr(10), '' ORDER BY page_id) AS html
+  FROM pages GROUP BY page_id // 100)"""
 DUMP = f"""{EVENTS},
 st AS (SELECT hex(encode(key)) AS k, count(*) AS n FROM ev GROUP BY key),
 val AS (SELECT k, n, '00000004' || lpad(to_hex(n), 8, '0') AS v FROM st),
@@ -45,6 +47,13 @@ def _hex_digits(text: str) -> str:
     return f"substr({digits}, 1, length({digits}) - length({digits}) % 2)"
 
 
+def _double_hex(number: str) -> str:
+    """The bits of a double as sixteen hex digits."""
+    bits = f"CAST(CAST({number} AS BIT) AS VARCHAR)"
+    return f"""array_to_string(list_transform(range(0, 16), lambda i: upper(to_hex(CAST(
+      list_sum(list_transform(range(0, 4), lambda k: CAST(substr({bits}, 4 * i + k + 1, 1) AS INT) * (8 >> CAST(k AS INT)))) AS BIGINT)))), '')"""
+
+
 def _spaced(digits: str) -> str:
     return f"rtrim(regexp_replace(lower({digits}), '(..)', '\\1 ', 'g'))"
 
@@ -304,8 +313,36 @@ SELECT version, count(*) AS entries FROM snap, (SELECT unnest([0, 1]) AS version
         "file_arrivals": f"""WITH {SNAPSHOT}
 SELECT DISTINCT split_part(key, ':', 1) AS kind, 'ok' AS status, 'ok' AS message FROM snap
 UNION ALL SELECT 'broken', 'error', 'bad_signature'""",
-        "snapshot_metadata": """SELECT 'transformWithStateInPySparkExec' AS operator, 'default' AS store, 'count' AS variables,
-  CAST(0 AS BIGINT) AS first_batch, CAST(0 AS BIGINT) AS last_batch""",
+        "snapshot_metadata": f"""WITH {EVENTS} SELECT 'default' AS store, 'count' AS variables, CAST(0 AS BIGINT) AS first_batch,
+  CAST(count(DISTINCT split_part(key, ':', 1)) - 1 AS BIGINT) AS last_batch, count(DISTINCT key) AS entries FROM ev""",
+        "file_changes": f"""WITH {SNAPSHOT},
+kinds AS (SELECT DISTINCT split_part(key, ':', 1) AS kind FROM snap UNION ALL SELECT 'empty'),
+drops AS (SELECT unnest(['early', 'late']) AS "drop", unnest([0, 1]) AS batch)
+SELECT "drop", kind, CAST(batch AS INT) AS batch, CASE WHEN kind = 'empty' THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN kind = 'empty' THEN 'too_small' ELSE 'ok' END AS message FROM kinds, drops""",
+        "edit_last_n_double": f"""WITH {EDITED},
+vals AS (SELECT key, CASE WHEN key IN (SELECT key FROM top) THEN -0.1::DOUBLE ELSE n::DOUBLE END AS n FROM edited)
+SELECT key, {_double_hex('n')} AS value, n FROM vals""",
+        "double_roundtrip": f"""WITH x AS (
+  SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN -l_extendedprice::DOUBLE
+    WHEN 1 THEN 1 / l_extendedprice::DOUBLE ELSE l_extendedprice::DOUBLE END AS x FROM lineitem)
+SELECT l_orderkey, l_linenumber, {_double_hex('x')} AS bytes, x = x AS same FROM x""",
+        "file_range_search": f"""WITH {PAGE_FILES}
+SELECT part, 'border' AS label, CAST({_offset('</html>" || chr(10) || "<').replace('"', "'")} AS BIGINT) AS "offset" FROM files
+UNION ALL SELECT part, 'tag', CAST({_offset('</p>')} AS BIGINT) FROM files
+UNION ALL SELECT part, 'absent', CAST(-1 AS BIGINT) FROM files""",
+        "file_range_search_encodings": f"""WITH {PAGE_FILES}, e AS (SELECT part, unnest([
+    {{'label': 'exact', 'off': {_offset('p/<.>p<>')}}}, {{'label': 'pair_le', 'off': {_offset('.</p><p>')}}},
+    {{'label': 'first_le', 'off': {_offset('.</p')}}}, {{'label': 'second_le', 'off': {_offset('><p>')}}}]) AS m FROM files)
+SELECT part, m.label AS label, CAST(m.off AS BIGINT) AS "offset" FROM e WHERE m.off >= 0""",
+        "file_range_dump": f"""WITH {PAGE_FILES}, b AS (SELECT part, hex(encode(html)) AS h FROM files),
+r AS (SELECT part, unnest(range(0, length(h) // 2, 16)) AS o, h FROM b),
+c AS (SELECT part, o, substr(h, 2 * o + 1, 32) AS d FROM r),
+t AS (SELECT part, o, {_spaced('d')} AS hex, regexp_replace(lower(d), '(..)', '\\1 ', 'g') AS cells, {_ascii('d')} AS ascii FROM c)
+SELECT part, CAST(o AS BIGINT) AS "offset", hex, ascii, lpad(lower(to_hex(o)), 8, '0') || ': '
+  || rpad(substr(cells, 1, 24), 24, ' ') || ' ' || rpad(substr(cells, 25, 24), 24, ' ') || ' |' || ascii || '|' AS line FROM t""",
+        "file_range_checksum": f"""WITH {PAGE_FILES}
+SELECT part, CAST(octet_length(encode(html)) AS BIGINT) AS length, html = html AS same FROM files""",
         "extract_id": """WITH l AS (
   SELECT conv_id, turn, CASE WHEN role = 'assistant'
     THEN text || chr(10) || 'Job has been submitted with JobID ' || md5(text) ELSE text END AS line
