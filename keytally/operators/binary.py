@@ -17,6 +17,7 @@ from keytally.functions.checksum import crc32c_udf
 from keytally.functions.text import hex_bytes, parse_offset, sanitize_hex
 
 ROW = 16
+PATCH_MARK, MATCH_MARK = " <== patch at ", "  <== match at "
 
 
 def byte_search(rows: DataFrame, pattern: bytes, content: str = "content") -> DataFrame:
@@ -133,10 +134,13 @@ def _dump_line(offset: Column, cells: Column, text: Column) -> Column:
 
 
 def _context(
-    rows: DataFrame, id: str, content: str, start: Column, stop: Column, whole_rows: bool, mark: str, extra: tuple[str, ...] = ()
+    rows: DataFrame, id: str, content: str, start: Column, stop: Column, whole_rows: bool, mark: str, extra: tuple[str, ...] = (), base: str | None = None
 ) -> DataFrame:
     """Rows of 16 bytes from ``start`` to ``stop``; the one with ``offset`` is marked.
 
+    ``base`` names the place of a content in a longer one; all are counted from
+    the content's start, and shown from that of the longer one.
+
     Both are cut to the content before they become positions in it, so an
     offset far outside shows nothing.
     """
@@ -148,19 +152,21 @@ def _context(
         "offset",
         "_stop",
         *extra,
+        *([base] if base else []),
         F.explode(F.expr(f"sequence(_start, _stop - 1, {ROW})")).alias("row_offset"),
     )
     width = F.lit(ROW) if whole_rows else F.least(F.lit(ROW), F.col("_stop") - F.col("row_offset"))
     inside = (F.col("offset") >= F.col("row_offset")) & (F.col("offset") < F.col("row_offset") + ROW)
     text = spaced_hex(F.substring(F.col(content), F.col("row_offset") + 1, width))
-    marker = F.when(inside, F.concat(F.lit(mark), F.col("offset").cast("string"))).otherwise(F.lit(""))
+    shown, place = [F.col(c) + F.col(base) if base else F.col(c) for c in ("row_offset", "offset")]
+    marker = F.when(inside, F.concat(F.lit(mark), place.cast("string"))).otherwise(F.lit(""))
     return split.select(
         id,
-        "row_offset",
+        shown.alias("row_offset"),
         *extra,
         text.alias("hex"),
         inside.alias("is_target"),
-        F.concat(offset_hex(F.col("row_offset")), F.lit(": "), F.rpad(text, 47, " "), marker).alias("line"),
+        F.concat(offset_hex(shown), F.lit(": "), F.rpad(text, 47, " "), marker).alias("line"),
     )
 
 
@@ -168,11 +174,11 @@ def patch_context(rows: DataFrame, id: str = "id", content: str = "content", bef
     """The bytes around ``offset``: ``before`` bytes ahead of it, then ``before + 16``."""
     start = F.greatest(F.lit(0).cast("bigint"), F.col("offset").cast("bigint") - before)
     stop = start + 2 * before + ROW
-    return _context(rows, id, content, start, stop, False, " <-- OFFSET ")
+    return _context(rows, id, content, start, stop, False, PATCH_MARK)
 
 
 def match_context(
-    rows: DataFrame, length: int | Column, id: str = "id", content: str = "content", extra: tuple[str, ...] = ()
+    rows: DataFrame, length: int | Column, id: str = "id", content: str = "content", extra: tuple[str, ...] = (), base: str | None = None
 ) -> DataFrame:
     """The rows around a match of ``length`` bytes at ``offset``, 16 bytes to each side.
 
@@ -184,7 +190,7 @@ def match_context(
     width = length if isinstance(length, Column) else F.lit(length)
     found = rows.filter(F.col("offset") >= 0)
     start = F.greatest(F.lit(0).cast("bigint"), offset - ROW)
-    return _context(found, id, content, start, offset + width + ROW, True, "  <-- TARGET at ", extra)
+    return _context(found, id, content, start, offset + width + ROW, True, MATCH_MARK, extra, base)
 
 
 def encoding_contexts(rows: DataFrame, target: bytes, id: str = "id", content: str = "content") -> DataFrame:

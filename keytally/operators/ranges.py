@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytally.functions.binary import find_bytes, read_u32
+from keytally.functions.binary import find_bytes, literal_bytes, read_u32
 from keytally.functions.checksum import ONES, crc32c_part_udf, crc32c_start_udf
-from keytally.operators.binary import ROW, encodings_of, hex_dump
-from keytally.sources.ranges import RANGE_BYTES, file_ranges
+from keytally.operators.binary import ROW, encodings_of, hex_dump, match_context
+from keytally.sources.ranges import RANGE_BYTES, file_ranges, read_windows
 
 FOOTER = 8
 
@@ -33,6 +35,30 @@ def search_files_encodings(spark: SparkSession, root: str, target: bytes, glob:
     return firsts.select("path", F.inline(hits)).filter("offset >= 0")
 
 
+def context_files(spark: SparkSession, root: str, pattern: bytes, glob: str = "*", size: int = RANGE_BYTES) -> DataFrame:
+    """``(path, row_offset, hex, is_target, line)``: the rows around each file's first match.
+
+    Only the window around a match is read again, however long the file is.
+    """
+    ranges = file_ranges(spark, root, glob, size, overlap=max(len(pattern) - 1, 0))
+    firsts = ranges.groupBy("path", "length").agg(_first(find_bytes(F.col("content"), pattern)).alias("offset")).filter("offset >= 0")
+    start = F.greatest(F.col("offset") - ROW, F.lit(0).cast("bigint"))
+    # As far as the last row goes, which is shown whole.
+    rows = F.ceil((F.col("offset") + len(pattern) + ROW - start) / ROW)
+    windows = firsts.select("path", (F.col("offset") - start).alias("offset"), start.alias("start"), F.least(start + rows * ROW, F.col("length")).alias("stop"))
+    return match_context(read_windows(windows), len(pattern), id="path", base="start")
+
+
+def search_prefix_files(spark: SparkSession, root: str, target: bytes, glob: str = "*", size: int = RANGE_BYTES) -> DataFrame:
+    """``(path, prefix_len, offset)`` of files without any form of ``target``: the shortest prefix found, which is one byte."""
+    forms = encodings_of(target)
+    ranges = file_ranges(spark, root, glob, size, overlap=max(len(target) - 1, 0))
+    held = reduce(lambda x, y: x | y, [F.contains("content", literal_bytes(form)) for _, form in forms])
+    firsts = ranges.groupBy("path").agg(F.bool_or(held).alias("held"), _first(find_bytes(F.col("content"), target[:1])).alias("offset"))
+    shorter = firsts.filter(~F.col("held") & (F.col("offset") >= 0) & F.lit(len(target) > 1))
+    return shorter.select("path", F.lit(1).alias("prefix_len"), "offset")
+
+
 def dump_files(spark: SparkSession, root: str, glob: str = "*", size: int = RANGE_BYTES) -> DataFrame:
     """``(path, offset, hex, ascii, line)``, 16 bytes a row; none for an empty file."""
     if size % ROW:

@@ -494,6 +494,16 @@ def file_range_search_encodings(spark, sf):
     return found.select(_part(), "label", "offset")
 
 
+def file_range_context(spark, sf):
+    around = ranges.context_files(spark, _page_files(spark, sf), RANGE_PATTERNS["tag"], "part-*", RANGE_BYTES)
+    return around.select(_part(), "row_offset", "hex", "is_target", "line")
+
+
+def file_range_prefix(spark, sf):
+    found = ranges.search_prefix_files(spark, _page_files(spark, sf), ABSENT_TARGET, "part-*", RANGE_BYTES)
+    return found.select(_part(), "prefix_len", "offset")
+
+
 def file_range_dump(spark, sf):
     dumped = ranges.dump_files(spark, _page_files(spark, sf), "part-*", RANGE_BYTES)
     return dumped.select(_part(), "offset", "hex", "ascii", "line")
@@ -731,6 +741,8 @@ def all_queries() -> dict[str, Query]:
         "prefix_search": prefix_search,
         "file_range_search": file_range_search,
         "file_range_search_encodings": file_range_search_encodings,
+        "file_range_context": file_range_context,
+        "file_range_prefix": file_range_prefix,
         "file_range_dump": file_range_dump,
         "file_range_checksum": file_range_checksum,
         "byte_patch": byte_patch,

@@ -258,15 +258,15 @@ SELECT page_id, CAST(o AS INT) AS "offset", {_spaced('c')} AS hex, {_ascii('c')}
 FROM c""",
         "hex_context": _context(
             "greatest(0, off - 16)", "least(size, greatest(0, off - 16) + 48)",
-            "least(16, e - row_offset)", " <-- OFFSET ",
+            "least(16, e - row_offset)", " <== patch at ",
         ),
         "hex_match_context": _context(
             "CASE WHEN off >= 0 THEN greatest(0, off - 16) END", "least(size, off + 18)",
-            "16", "  <-- TARGET at ",
+            "16", "  <== match at ",
         ),
         "patched_context": _context(
             "greatest(0, off - 16)", "least(size, greatest(0, off - 16) + 48)",
-            "least(16, e - row_offset)", " <-- OFFSET ",
+            "least(16, e - row_offset)", " <== patch at ",
             "CASE WHEN off >= 0 AND off + 4 <= size "
             "THEN substr(h, 1, 2 * off) || '05000000' || substr(h, 2 * off + 9) ELSE h END",
         ),
@@ -307,7 +307,7 @@ r AS (SELECT page_id, label, h, off, unnest(range(s, e, 16)) AS o FROM w WHERE s
 x AS (SELECT page_id, label, CAST(o AS INT) AS row_offset, off, off >= o AND off < o + 16 AS is_target,
              {_spaced("substr(h, 2 * o + 1, 32)")} AS hex FROM r)
 SELECT page_id, row_offset, label, hex, is_target, lpad(lower(to_hex(row_offset)), 8, '0') || ': ' || rpad(hex, 47, ' ')
-  || CASE WHEN is_target THEN '  <-- TARGET at ' || off ELSE '' END AS line FROM x""",
+  || CASE WHEN is_target THEN '  <== match at ' || off ELSE '' END AS line FROM x""",
         "largest_version_file": f"""WITH {SNAPSHOT}
 SELECT version, count(*) AS entries FROM snap, (SELECT unnest([0, 1]) AS version) GROUP BY version""",
         "file_arrivals": f"""WITH {SNAPSHOT}
@@ -335,9 +335,15 @@ UNION ALL SELECT part, 'absent', CAST(-1 AS BIGINT) FROM files""",
     {{'label': 'exact', 'off': {_offset('p/<.>p<>')}}}, {{'label': 'pair_le', 'off': {_offset('.</p><p>')}}},
     {{'label': 'first_le', 'off': {_offset('.</p')}}}, {{'label': 'second_le', 'off': {_offset('><p>')}}}]) AS m FROM files)
 SELECT part, m.label AS label, CAST(m.off AS BIGINT) AS "offset" FROM e WHERE m.off >= 0""",
+        "file_range_context": f"""SELECT page_id AS part, CAST(row_offset AS BIGINT) AS row_offset, hex, is_target, line FROM ({
+            _context("CASE WHEN off >= 0 THEN greatest(0, off - 16) END", "least(size, off + 20)", "16", "  <== match at ")
+            .replace(BYTES, PAGE_FILES + ", b AS (SELECT part AS page_id, html, hex(encode(html)) AS h, octet_length(encode(html)) AS size FROM files)")
+            .replace(_offset("<p"), _offset("</p>"))})""",
+        "file_range_prefix": f"""WITH {PAGE_FILES} SELECT part, 1 AS prefix_len,
+  CAST(octet_length(encode(regexp_extract(html, '^[^À-ÿ]*', 0, 's'))) AS BIGINT) AS "offset"
+FROM files WHERE regexp_matches(html, '[À-ÿ]')""",
         "file_range_dump": f"""WITH {PAGE_FILES}, b AS (SELECT part, hex(encode(html)) AS h FROM files),
-r AS (SELECT part, unnest(range(0, length(h) // 2, 16)) AS o, h FROM b),
-c AS (SELECT part, o, substr(h, 2 * o + 1, 32) AS d FROM r),
+c AS (SELECT part, unnest(range(0, length(h) // 2, 16)) AS o, unnest(regexp_extract_all(h, '.{{1,32}}')) AS d FROM b),
 t AS (SELECT part, o, {_spaced('d')} AS hex, regexp_replace(lower(d), '(..)', '\\1 ', 'g') AS cells, {_ascii('d')} AS ascii FROM c)
 SELECT part, CAST(o AS BIGINT) AS "offset", hex, ascii, lpad(lower(to_hex(o)), 8, '0') || ': '
   || rpad(substr(cells, 1, 24), 24, ' ') || ' ' || rpad(substr(cells, 25, 24), 24, ' ') || ' |' || ascii || '|' AS line FROM t""",

@@ -129,7 +129,7 @@ def test_patch_context(spark, before):
         data = value[start:start + 2 * before + 16]
         for i in range(0, len(data), 16):
             hit = start + i <= o < start + i + 16
-            mark = f" <-- OFFSET {o}" if hit else ""
+            mark = f" <== patch at {o}" if hit else ""
             wanted[o, start + i] = (hit, f"{start + i:08x}: {data[i:i + 16].hex(' ').ljust(47)}{mark}")
     assert got == wanted
 
@@ -188,7 +188,7 @@ def test_match_context(spark, length):
     wanted = {}
     for o in offsets[1:]:
         for i in range(max(0, o - 16), min(100, o + length + 16), 16):
-            mark = f" <-- TARGET at {o}" if i <= o < i + 16 else ""
+            mark = f" <== match at {o}" if i <= o < i + 16 else ""
             line = f"{i:08x}: {value[i:i + 16].hex(' ').ljust(47)} {mark}"
             wanted[o, i] = (bool(mark), line)
     trimmed = {k: (hit, line.rstrip()) for k, (hit, line) in got.items()}

@@ -100,3 +100,17 @@ def test_offsets_beyond_eight_digits(spark):
     rows = spark.createDataFrame([(1, bytearray(b"abc"), 0x1_2345_6780)], "id int, content binary, start bigint")
     found = bo.hex_dump(rows, base="start").first()
     assert found["offset"] == 0x1_2345_6780 and found["line"].startswith("123456780: 61 62 63")
+
+
+@pytest.mark.parametrize("size", [1, 16, 40, 1 << 20])
+def test_contexts_and_prefixes_equal_whole_values(spark, folder, size):
+    contents = binary_files(spark, folder, "*.bin")
+    for pattern in (PATTERN, b"\x80", b"bbb"):
+        whole = bo.match_context(bo.byte_search(contents.withColumn("kept", F.col("content")), pattern).withColumnRenamed("kept", "content"), len(pattern), id="path")
+        got = r.context_files(spark, folder, pattern, "*.bin", size)
+        assert got.columns == whole.columns
+        assert sorted(tuple(x) for x in got.collect()) == sorted(tuple(x) for x in whole.collect())
+    for target in (b"\xe9\x01\x02\x03\x04\x05\x06\x07", PATTERN, b"a"):
+        whole = bo.search_prefix(contents, target, id="path")
+        got = r.search_prefix_files(spark, folder, target, "*.bin", size)
+        assert {tuple(x) for x in got.collect()} == {tuple(x) for x in whole.collect()}
