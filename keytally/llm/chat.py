@@ -22,15 +22,26 @@ STRETCH = 512
 
 def _rows(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     said = F.replace(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
-    speaker = F.regexp_replace(F.coalesce(F.col(role).cast("string"), F.lit("")), "[^A-Za-z0-9_-]", "_")
     return turns.select(
-        F.col(conv).alias("conv_id"),
-        F.col(turn).alias("turn"),
-        F.when(speaker == "", UNNAMED).otherwise(speaker).alias("speaker"),
-        said.alias("said"),
+        F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), said.alias("said")
     )
 
 
+def speaker_names(rows: DataFrame) -> DataFrame:
+    """``(of, said_by, speaker)``: a name to show for each role of each conversation, no two alike.
+
+    Other characters than letters, digits, ``-`` and ``_`` become ``_``, and no
+    name becomes ``unknown``. Of roles that come out alike in a conversation the
+    second in order, NULL first, is followed by ``#2``, the next by ``#3``.
+    """
+    roles = rows.select(F.col("conv_id").alias("of"), F.col("role").alias("said_by")).distinct()
+    cleaned = F.regexp_replace(F.coalesce("said_by", F.lit("")), "[^A-Za-z0-9_-]", "_")
+    plain = roles.withColumn("plain", F.when(cleaned == "", UNNAMED).otherwise(cleaned))
+    number = F.row_number().over(Window.partitionBy("of", "plain").orderBy(F.col("said_by").asc_nulls_first()))
+    named = F.when(F.col("number") > 1, F.concat("plain", F.lit("#"), F.col("number").cast("string"))).otherwise(F.col("plain"))
+    return plain.withColumn("number", number).select("of", "said_by", named.alias("speaker"))
+
+
 def _head() -> Column:
     speaker = F.col("speaker")
     return (
@@ -47,15 +58,17 @@ def perspectives(
 
     ``start`` and ``end`` are the segment's code points in the rendered
     dialogue, ``mask_start`` and ``mask_end`` those to be learned from, NULL
-    unless the speaker is the perspective. Speakers are the roles, with other
-    characters than letters, digits, ``-`` and ``_`` as ``_``; a NULL or empty
-    role is ``unknown``. NULL texts are empty, and control marks in a text are
+    unless the speaker is the perspective. Speakers are told apart by their roles
+    as they are given, NULL and an empty role too, and shown by the names of
+    ``speaker_names``. NULL texts are empty, and control marks in a text are
     broken up. Turns come in order of ``turn``, NULL first, then speaker and
     text; equal rows follow each other. Rows of a NULL ``conv_id`` are one
     conversation. A conversation without participants has no rows; other
     columns are not read.
     """
-    rows = _rows(turns, conv, turn, role, text)
+    plain = _rows(turns, conv, turn, role, text)
+    same = F.col("conv_id").eqNullSafe(F.col("of")) & F.col("role").eqNullSafe(F.col("said_by"))
+    rows = plain.join(speaker_names(plain), same).drop("of", "said_by", "role")
     people = rows.filter(~F.col("speaker").isin(*NOT_SPEAKERS)).select(
         F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")
     )

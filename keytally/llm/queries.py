@@ -102,11 +102,17 @@ FROM d
 
 
 _CHAT = r"""
-WITH rows AS (
-  SELECT conv_id, turn,
-         CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g') END AS speaker,
-         replace(coalesce(text, ''), '<|im_', '<| im_') AS said
+WITH said AS (
+  SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|im_', '<| im_') AS said,
+         coalesce(nullif(regexp_replace(coalesce(role, ''), '[^A-Za-z0-9_-]', '_', 'g'), ''), 'unknown') AS plain
   FROM conversations),
+names AS (
+  SELECT conv_id, role, plain || CASE WHEN k > 1 THEN '#' || k ELSE '' END AS speaker
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, plain ORDER BY role NULLS FIRST) AS k
+        FROM (SELECT DISTINCT conv_id, role, plain FROM said))),
+rows AS (
+  SELECT s.conv_id, turn, speaker, said FROM said s JOIN names n
+  ON s.conv_id IS NOT DISTINCT FROM n.conv_id AND s.role IS NOT DISTINCT FROM n.role),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM rows WHERE speaker NOT IN ('system', 'tool')),
 both_ AS (
   SELECT r.*, p.perspective,
