@@ -10,6 +10,7 @@ left out, put in or replaced.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from typing import NamedTuple
 
 import numpy as np
@@ -116,14 +117,8 @@ def matches(automaton: Automaton, symbols: list[int], offset: int = 0, least: in
     return found
 
 
-def best_chain(found: list[Match], gap: int = MAX_GAP) -> tuple[int, int, int]:
-    """``(covered, first, end)`` of the chain of one template's matches that covers most of its words.
-
-    A match may follow one that begins earlier in both orders and ends at most
-    ``gap`` words before it; words in both count once. A match that is out of
-    reach of all later ones is left behind, so the work grows with the text.
-    """
-    found = sorted(found, key=lambda m: (m.at, m.start))
+def _best_chains(found: list[Match], gap: int) -> list[tuple[int, int, int]]:
+    """``(covered, first, end)`` of the best chain that ends in each match, given in order of the text."""
     best: list[tuple[int, int, int]] = []
     reach = 0
     for i, m in enumerate(found):
@@ -138,7 +133,34 @@ def best_chain(found: list[Match], gap: int = MAX_GAP) -> tuple[int, int, int]:
                 if new > score:
                     score, first = new, best[k][1]
         best.append((score, first, m.at + m.length))
-    return max(best, key=lambda b: (b[0], -b[1]), default=(0, 0, 0))
+    return best
+
+
+def chains(found: list[Match], gap: int = MAX_GAP) -> list[tuple[int, int, int]]:
+    """``(covered, first, end)`` of chains of one template's matches that do not overlap in the text.
+
+    A match may follow one that begins earlier in both orders and ends at most
+    ``gap`` words before it; words in both count once. Where the template begins
+    again in the text, so does a chain. The chain that covers most words is taken
+    first, and so on, and once more from the matches beside those taken. A match
+    that is out of reach of all later ones is left behind, so the work grows with
+    the text.
+    """
+    found = sorted(found, key=lambda m: (m.at, m.start))
+    taken: list[tuple[int, int, int]] = []
+    places: list[tuple[int, int]] = []  # firsts and ends of those taken, in order
+
+    def is_free(first: int, end: int) -> bool:
+        at = bisect_left(places, (end,))
+        return at == 0 or places[at - 1][1] <= first
+
+    while found:
+        for chain in sorted(_best_chains(found, gap), key=lambda b: (-b[0], b[1], b[2])):
+            if is_free(chain[1], chain[2]):
+                taken.append(chain)
+                insort(places, chain[1:])
+        found = [m for m in found if is_free(m.at, m.at + m.length)]
+    return taken
 
 
 class Span(NamedTuple):
@@ -183,18 +205,37 @@ class Scanner:
         return out
 
     def spans(self, found: list[Match]) -> list[Span]:
-        """Covered templates, the best wording of each label."""
+        """Every covered template, but none inside a span of its label that covers more words."""
         by_template: dict[int, list[Match]] = {}
         for m in found:
             by_template.setdefault(m.template, []).append(m)
-        best: dict[str, Span] = {}
+        by_label: dict[str, list[tuple[int, Span]]] = {}
         for template, own in by_template.items():
-            covered, first, end = best_chain(own)
-            share = min(covered / self.lengths[template], 1.0)
-            label = self.labels[template]
-            if label not in best or share > best[label].covered:
-                best[label] = Span(label, first, end, share)
-        return sorted(best.values(), key=lambda s: s.label)
+            size, label = self.lengths[template], self.labels[template]
+            for covered, first, end in chains(own):
+                by_label.setdefault(label, []).append((covered, Span(label, first, end, min(covered / size, 1.0))))
+        return [span for own in by_label.values() for span in _outermost(own)]
+
+
+def _outermost(own: list[tuple[int, Span]]) -> list[Span]:
+    """The spans that no span which covers more words holds; of equal ones the better covered.
+
+    Short of ``COVERED`` a span hides none, and only the best such one is of use,
+    for the score.
+    """
+    whole = [(covered, s) for covered, s in own if s.covered >= COVERED]
+    if not whole:
+        return [max((s for _, s in own), key=lambda s: s.covered)]
+    kept: list[Span] = []
+    held: list[tuple[int, int]] = []  # firsts and ends, both growing, as none holds another
+    for _, s in sorted(whole, key=lambda x: (-x[0], -x[1].covered, x[1].first, x[1].end)):
+        at = bisect_right(held, (s.first, float("inf")))
+        if at == 0 or held[at - 1][1] < s.end:
+            kept.append(s)
+            while at < len(held) and held[at][1] <= s.end:
+                held.pop(at)
+            held.insert(at, (s.first, s.end))
+    return sorted(kept, key=lambda s: (s.first, s.end))
 
 
 _SCHEMA = """struct<n_words: bigint, n_base: bigint, first_word: bigint, last_word: bigint, base_labels: array<string>,

@@ -64,7 +64,7 @@ def test_edited_notices_are_covered(spark):
     found = licenses.find_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     for row in found:
         label, first, length = want[row["doc_id"]]
-        spans = {s["label"]: s for s in row["spans"]}
+        spans = {s["label"]: s for s in sorted(row["spans"], key=lambda s: s["end"] - s["first"])}
         assert label in spans and spans[label]["covered"] > 0.75
         assert abs(spans[label]["first"] - first) <= 4 and abs(spans[label]["end"] - first - length) <= 4
 
@@ -73,3 +73,59 @@ def test_edges(edge_docs, no_docs):
     rows = licenses.licenses_digest(edge_docs).collect()
     assert len(rows) == edge_docs.count() and {r["score"] for r in rows} == {0.0}
     assert licenses.licenses_digest(no_docs).count() == 0
+
+
+def test_every_notice_has_a_span(spark):
+    whole = max((t for label, t in TEMPLATES if label == "mit"), key=len)
+    size = len(_words(whole))
+    texts = [f"{whole} {whole}", f"Released under the MIT License. {'x ' * 60} {whole}", f"{whole} {'y ' * 90} {whole} z {whole}", "no notice"]
+    rows = licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    spans = {r["doc_id"]: [(s["first"], s["end"]) for s in r["spans"] if s["label"] == "mit" and s["end"] - s["first"] > size // 2] for r in rows}
+    starts = {0: [0, size], 1: [65], 2: [0, size + 90, 2 * size + 91], 3: []}
+    for doc, wanted in starts.items():
+        assert len(spans[doc]) == len(wanted)
+        assert all(abs(a - w) <= 3 and abs(b - w - size) <= 3 for (a, b), w in zip(spans[doc], wanted))
+    (line,) = [s for r in rows if r["doc_id"] == 1 for s in r["spans"] if s["end"] <= 5]
+    assert line["label"] == "mit" and all(r["score"] == 1.0 for r in rows if r["doc_id"] < 3)
+
+
+def _brute_chain(found, gap):
+    """The most words that any chain covers, by all chains."""
+    best = 0
+
+    def follow(last, covered):
+        nonlocal best
+        best = max(best, covered)
+        for m in found:
+            between, inside = m.at - (last.at + last.length), m.start - (last.start + last.length)
+            if last.at < m.at and last.start < m.start and between <= gap and inside <= gap:
+                follow(m, covered + m.length - max(0, -between, -inside))
+
+    for m in found:
+        follow(m, m.length)
+    return best
+
+
+def test_chains_equal_brute_force():
+    rng = random.Random(9)
+    for _ in range(300):
+        found = list({licenses.Match(0, rng.randrange(20), rng.randrange(40), rng.randrange(1, 6)) for _ in range(rng.randrange(1, 10))})
+        got = licenses.chains(found, 6)
+        assert got[0][0] == _brute_chain(found, 6)
+        spots = sorted((first, end) for _, first, end in got)
+        assert all(a[1] <= b[0] for a, b in zip(spots, spots[1:]))
+        # What was left out overlaps a chain that is at least as good.
+        assert all(any(m.at < end and first < m.at + m.length for _, first, end in got) for m in found)
+    assert licenses.chains([]) == []
+
+
+def test_spans_inside_better_ones_go():
+    def span(first, end, covered=1.0):
+        return licenses.Span("x", first, end, covered)
+
+    rng = random.Random(10)
+    for _ in range(300):
+        own = [(end - first, span(first, end, rng.choice([0.8, 0.9, 1.0]))) for first, end in [sorted(rng.sample(range(30), 2)) for _ in range(rng.randrange(1, 9))]]
+        ranked = sorted(own, key=lambda x: (-x[0], -x[1].covered, x[1].first, x[1].end))
+        wanted = [s for i, (_, s) in enumerate(ranked) if not any(t.first <= s.first and s.end <= t.end for _, t in ranked[:i])]
+        assert sorted(licenses._outermost(own)) == sorted(wanted)
