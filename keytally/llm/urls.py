@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from keytally.llm.tables import small, stored
 
 ORDER = 5
+#: Characters of a shape whose contexts are cut from one row.
+PIECE = 1024
 #: Hosts with one of these words are the examples of rejected URLs; all others are accepted ones.
 REJECTED_WORDS = ("spam", "pills", "casino", "viagra", "porn", "xxx", "betting", "payday")
 
@@ -61,15 +63,25 @@ def shape_of(host: Column, path: Column) -> Column:
     return F.regexp_replace(F.concat(host, path), "[0-9]", "0")
 
 
+def _grams(shapes: DataFrame, order: int, *kept: str) -> DataFrame:
+    """``kept`` and ``gram``, one row for each character of a shape and its end.
+
+    A shape is cut into pieces first, so that no row of a long one carries all of it.
+    """
+    padded = F.concat(F.lit(_START * order), F.col("shape"), F.lit(_END))
+    starts = F.sequence(F.lit(1), F.length("shape") + 1, F.lit(PIECE))
+    pieces = F.transform(starts, lambda at: F.substring(padded, at, F.lit(PIECE + order)))
+    cut = shapes.select(*kept, F.explode(pieces).alias("piece"))
+    each = cut.select(*kept, "piece", F.explode(F.sequence(F.lit(1), F.length("piece") - order)).alias("at"))
+    return each.select(*kept, F.substring("piece", F.col("at"), F.lit(order + 1)).alias("gram"))
+
+
 def log_ratios(shapes: DataFrame, order: int = ORDER) -> DataFrame:
     """``(gram, ratio)``: of each context and character, log P(rejected) - log P(accepted).
 
     ``shapes`` is a stored table ``(shape, accepted, rejected)`` with counts to learn from.
     """
-    padded = F.concat(F.lit(_START * order), F.col("shape"), F.lit(_END))
-    at = F.explode(F.sequence(F.lit(1), F.length("shape") + 1))
-    cut = shapes.select("accepted", "rejected", padded.alias("padded"), at.alias("at"))
-    grams = cut.select("accepted", "rejected", F.substring("padded", F.col("at"), F.lit(order + 1)).alias("gram"))
+    grams = _grams(shapes, order, "accepted", "rejected")
     grams = stored(grams.groupBy("gram").agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")), "grams")
     lower = None
     for k in range(order + 1):
@@ -96,11 +108,9 @@ def log_ratios(shapes: DataFrame, order: int = ORDER) -> DataFrame:
 
 def score_shapes(shapes: DataFrame, ratios: DataFrame, order: int = ORDER) -> DataFrame:
     """``(shape, score)``: the mean log ratio of a shape's characters and its end."""
-    padded = F.concat(F.lit(_START * order), F.col("shape"), F.lit(_END))
-    at = F.explode(F.sequence(F.lit(1), F.length("shape") + 1))
-    cut = shapes.select("shape", padded.alias("padded"), at.alias("at"))
-    grams = cut.select("shape", F.substring("padded", F.col("at"), F.lit(order + 1)).alias("gram"))
-    return grams.join(small(ratios), "gram").groupBy("shape").agg(F.avg("ratio").alias("score"))
+    keyed = shapes.select("shape", F.unhex(F.sha2(F.col("shape").cast("binary"), 256)).alias("_digest"))
+    scores = _grams(keyed, order, "_digest").join(small(ratios), "gram").groupBy("_digest").agg(F.avg("ratio").alias("score"))
+    return keyed.join(scores, "_digest").select("shape", "score")
 
 
 def threshold(scored: DataFrame) -> float:

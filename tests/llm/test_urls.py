@@ -44,6 +44,7 @@ def _model(texts: list[str], order: int):
 
 def test_scores_equal_brute_force(spark, monkeypatch):
     order = 2
+    monkeypatch.setattr(urls, "PIECE", 3)
     accepted, rejected = ["abc/d", "abd", "acb/"], ["xab", "xx/y"]
     shapes = [(t, 1, 0) for t in accepted] + [(t, 0, 1) for t in rejected] + [("new", 0, 0), ("", 0, 0)]
     frame = spark.createDataFrame(shapes, "shape string, accepted bigint, rejected bigint")
@@ -60,3 +61,13 @@ def test_the_threshold_lies_between(spark):
     assert -1 < urls.threshold(frame) < 2.1
     assert urls.threshold(frame.filter("not is_rejected")) == math.inf
     assert urls.filter_urls(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
+
+
+def test_a_url_of_a_megabyte(spark):
+    """Its characters are cut out in pieces; whole, they would be as many rows of a megabyte."""
+    long = "".join(chr(97 + i * i % 23) for i in range(1_000_000))
+    rows = [(i, f"http://host{i}.org/{'ab' * (i % 7)}") for i in range(40)] + [(99, f"http://long.org/{long}"), (100, "http://spam.org/x")]
+    got = {r["page_id"]: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
+    assert len(got) == 42 and len(got[99]["path"]) == 1_000_001 and got[99]["score"] is not None
+    pieces = urls._grams(spark.createDataFrame([("x" * 5_000,), ("",)], "shape string"), 5, "shape")
+    assert sorted(r["count"] for r in pieces.groupBy("shape").count().collect()) == [1, 5_001]
