@@ -32,11 +32,14 @@ HEADLINE = [
     "resume_edited",
     "stream_running_count",
     "stream_resume_edited",
+    "stream_word_running_count",
     "largest_file",
     "byte_search",
     "byte_search_encodings",
     "byte_patch",
     "hex_dump",
+    "file_range_search",
+    "file_range_checksum",
     "checksum_verify",
     "sanitize_hex",
     "parse_offset",
