@@ -5,7 +5,8 @@ others, so an overlap is found however a few of its words were replaced. Seed
 hashes of the test items are joined with those of the documents, and around each
 hit the words are compared along the hit's diagonal: an overlap may hold
 substitutions as long as enough of its words agree. The masks are chosen so that
-every such overlap holds a seed, wherever its substitutions are.
+every such overlap holds a seed, wherever its substitutions are. Items with too few
+words for a mask are looked up as exact runs of words.
 
 A Bloom filter of the test hashes, of a bounded size, keeps seeds that cannot
 join from leaving the scan of the documents.
@@ -29,6 +30,8 @@ MASKS = ("11111", "1101011", "110001011", "10100010011", "11001000011", "110111"
 #: An overlap counts from this many agreeing words on (all words of a shorter
 #: item), if they are at least this share of its words.
 LEAST_WORDS = 10
+#: Words a mask looks at; shorter items are looked up whole.
+SEED_WORDS = 5
 SHARE = 0.7
 #: Words kept on either side of a hit for the comparison. A stretch of 30 words that
 #: counts has a half that counts, so the smallest ones around a hit fit in.
@@ -139,21 +142,67 @@ def _segments(text: Column, packed: np.ndarray, docs: DataFrame) -> Column:
     return of.asNondeterministic()(F.lower(text))
 
 
-def best_overlap(said: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """``(first, end, agreeing)`` of the best overlap along a diagonal, in positions of ``said``.
+def _runs(hashes: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(position, hash)`` of each run of ``length`` words inside one row."""
+    whole = max(len(hashes) - length + 1, 0)
+    rolled = np.full(whole, length, np.uint64)
+    for k in range(length):
+        rolled = rolled * _SALT + hashes[k : k + whole]
+    at = np.flatnonzero(row[:whole] == row[length - 1 : length - 1 + whole])
+    return at, mix(rolled[at])
 
-    An agreeing word counts 3 and another one -7, so that in the best stretch,
-    by Kadane's rule, agreeing words outweigh at ``SHARE``; (0, 0, 0) if there is none.
+
+def _item_runs(said: Column) -> Column:
+    """``_runs``'s hash of a whole item, from its words."""
+
+    @F.arrow_udf("bigint")
+    def of(items: pa.Array) -> pa.Array:
+        found = []
+        for item in items:
+            hashes = item.values.to_numpy().view(np.uint64)
+            found.append(int(_runs(hashes, np.zeros(len(hashes), np.int64), len(hashes))[1].view(np.int64)[0]))
+        return pa.array(found, pa.int64())
+
+    return of.asNondeterministic()(said)
+
+
+def _short_runs(text: Column, packed: np.ndarray, lengths: list[int], docs: DataFrame) -> Column:
+    """The distinct runs of ``lengths`` words that pass the filter, each with its first place."""
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    kind = pa.list_(pa.struct([("run", pa.list_(pa.int64())), ("at", pa.int32())]))
+
+    @F.arrow_udf("array<struct<run: array<bigint>, at: int>>")
+    def of(texts: pa.Array) -> pa.Array:
+        out: list[list] = []
+        for chunk in chunks(texts):
+            w = words(chunk)
+            row = w.row
+            per_row: list[dict] = [{} for _ in range(chunk.high - chunk.low)]
+            for length in lengths:
+                at, hashed = _runs(w.hash, row, length)
+                for i in at[np.sort(_passes(shared.value, hashed))].tolist():
+                    run = tuple(w.hash[i : i + length].view(np.int64).tolist())
+                    per_row[row[i]].setdefault(run, i - int(w.first[row[i]]))
+            out += [[{"run": run, "at": i} for run, i in found.items()] for found in per_row]
+        return pa.array(out, kind)
+
+    return of.asNondeterministic()(F.lower(text))
+
+
+def _short_items(texts: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """``(doc_id, sha, item_id, first, length, agreeing)`` of items too short for a seed; None without such items.
+
+    They are found where all their words stand one after the other.
     """
-    low, high = max(0, diagonal), min(len(said), len(item) + diagonal)
-    if low >= high:
-        return 0, 0, 0
-    agree = said[low:high] == item[low - diagonal : high - diagonal]
-    sums = np.concatenate([[0], np.cumsum(np.where(agree, 3, -7))])
-    least = np.minimum.accumulate(sums[:-1])
-    end = int(np.argmax(sums[1:] - least)) + 1
-    first = int(np.argmax(sums[:end] == least[end - 1]))
-    return low + first, low + end, int(agree[first:end].sum())
+    short = items.filter(F.size("words").between(1, SEED_WORDS - 1)).select("item_id", "words")
+    lengths = sorted(row[0] for row in short.select(F.size("words")).distinct().collect())
+    if not lengths:
+        return None
+    packed = bloom_filter(stored(short.select(_item_runs(F.col("words")).alias("hash")), "runs"))
+    found = texts.select("doc_id", "sha", F.explode(_short_runs(F.col("_text"), packed, lengths, docs)).alias("r"))
+    met = stored(found.select("doc_id", "sha", "r.*"), "runs", BATCH_ROWS).join(small(short), F.col("run") == F.col("words"))
+    n = F.size("run").cast("bigint")
+    return met.select("doc_id", "sha", "item_id", F.col("at").cast("bigint").alias("first"), n.alias("length"), n.alias("agreeing"))
 
 
 def longest_overlap(said: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
@@ -200,8 +249,9 @@ def overlaps(
     """``(doc_id, sha, item_id, first_word, end_word, agreeing)``: the overlap of each document and item with most agreeing words.
 
     Words are lower-cased runs of letters and digits, counted from 0. An item
-    of fewer than five words has no seed and is found nowhere; NULL texts have
-    no words. Rows that repeat an id and text, whose digest ``sha`` is, are one
+    of fewer than five words has no seed; it is found where all its words stand
+    one after the other, so one of a single word is in every text that has the word.
+    NULL texts have no words, and an item without words is found nowhere. Rows that repeat an id and text, whose digest ``sha`` is, are one
     document; items that repeat an id are one item. Other columns are not read. Stored, so it can be used more than once.
     """
     items = benchmark.select(F.col(item).alias("item_id"), _item_seeds(text_or_empty(item_text)).alias("_s"))
@@ -224,8 +274,14 @@ def overlaps(
     length = F.col("o.end") - F.col("o.first")
     judged = judged.filter((F.col("o.agreeing") >= enough) & (F.col("o.agreeing") >= SHARE * length))
     first = (F.col("start") + F.col("o.first")).cast("bigint")
-    best = F.max(F.struct(F.col("o.agreeing").cast("bigint").alias("agreeing"), (-first).alias("back"), length.cast("bigint").alias("length")))
-    best = judged.groupBy("doc_id", "sha", "item_id").agg(best.alias("b"))
+    counted = judged.select(
+        "doc_id", "sha", "item_id", first.alias("first"), length.cast("bigint").alias("length"),
+        F.col("o.agreeing").cast("bigint").alias("agreeing"),
+    )
+    short = _short_items(texts, items, docs)
+    counted = counted if short is None else counted.unionByName(short)
+    best = F.max(F.struct("agreeing", (-F.col("first")).alias("back"), "length"))
+    best = counted.groupBy("doc_id", "sha", "item_id").agg(best.alias("b"))
     return stored(
         best.select(
             "doc_id", "sha", "item_id", (-F.col("b.back")).alias("first_word"),

@@ -7,31 +7,6 @@ from keytally.llm import decontamination as d
 from pyspark.sql import functions as F
 
 
-def _best(said, item, diagonal):
-    """The stretch with the largest sum of 3 per agreeing and -7 per other word, by all stretches."""
-    best = (0, 0, 0, 0)
-    places = [i for i in range(len(said)) if 0 <= i - diagonal < len(item)]
-    for k, a in enumerate(places):
-        score = agreeing = 0
-        for b in places[k:]:
-            same = said[b] == item[b - diagonal]
-            agreeing += same
-            score += 3 if same else -7
-            if score > best[0]:
-                best = (score, a, b + 1, agreeing)
-    return best
-
-
-def test_best_overlap_equals_brute_force():
-    rng = np.random.default_rng(3)
-    for _ in range(200):
-        said, item = rng.integers(0, 3, rng.integers(0, 20)), rng.integers(0, 3, rng.integers(0, 12))
-        diagonal = int(rng.integers(-12, 20))
-        first, end, agreeing = d.best_overlap(said, item, diagonal)
-        score, *_ = _best(said, item, diagonal)
-        assert 3 * agreeing - 7 * (end - first - agreeing) == score if score else agreeing == 0
-
-
 def test_filter_loses_no_hash(spark):
     rng = np.random.default_rng(1)
     hashes = rng.integers(-(2**63), 2**63 - 1, 5_000)
@@ -86,10 +61,10 @@ def test_edges(spark, edge_docs, no_docs):
         "item_id bigint, text string, doc_id string",
     )
     got = {(r["doc_id"], r["contaminated"], r["item_id"]) for r in d.contamination(edge_docs, benchmark).collect()}
-    found = {1, 2, None}
-    assert got == {(i, i in found, 1 if i in found else None) for i in [1, 2, 3, 4, 5, 6, 7, 8, 9, None]}
+    found = {1: 1, 2: 1, None: 1, 9: 4}
+    assert got == {(i, i in found, found.get(i)) for i in [1, 2, 3, 4, 5, 6, 7, 8, 9, None]}
     kept = d.drop_contaminated(edge_docs, benchmark)
-    assert kept.columns == edge_docs.columns and kept.count() == 7
+    assert kept.columns == edge_docs.columns and kept.count() == 6
     assert d.contamination(no_docs, benchmark).count() == 0
     assert d.contamination(edge_docs, benchmark.filter(F.lit(False))).filter("contaminated").isEmpty()
 
@@ -164,3 +139,24 @@ def test_clean_rows_of_the_same_id_stay(spark):
     assert kept == {row for row in rows if item not in (row[1] or "")}
     marked = d.contamination(docs, benchmark)
     assert marked.count() == len(rows) and marked.filter("contaminated").count() == 2
+
+
+def test_items_below_a_seed_are_exact_word_runs(spark):
+    rng = random.Random(6)
+    items = {1: "what is two plus", 2: "Solo", 3: "a b", 4: "b a b", 5: None, 6: "...", 7: "what is two plus", 8: "é ü"}
+    texts = [" ".join(rng.choice("ab") if rng.random() < 0.5 else f"x{rng.randrange(9)}" for _ in range(rng.randrange(12))) for _ in range(150)]
+    texts += ["so What is, two PLUS two", "what is two minus plus", "what is two", "solos", "a solo", "é-ü", "", None, "w " * 5_000 + "é ü"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string").repartition(5)
+    benchmark = spark.createDataFrame([*items.items()], "item_id bigint, text string")
+    want = {}
+    for i, text in enumerate(texts):
+        said = brute.words(text or "")
+        for item, phrase in items.items():
+            asked = brute.words(phrase or "")
+            places = [k for k in range(len(said) - len(asked) + 1) if said[k : k + len(asked)] == asked] if asked else []
+            if places:
+                want[i, item] = (places[0], places[0] + len(asked), len(asked))
+    got = {(r["doc_id"], r["item_id"]): (r["first_word"], r["end_word"], r["agreeing"]) for r in d.overlaps(docs, benchmark).collect()}
+    assert len(want) > 40 and got == want
+    kept = {r["doc_id"] for r in d.drop_contaminated(docs, benchmark).collect()}
+    assert kept == set(range(len(texts))) - {i for i, _ in want}
