@@ -8,7 +8,9 @@ regression per language is fitted on those features. A batch of texts is scored
 by two matrix products: presences by landmarks, and kernel values by weights.
 
 The model is fitted on a bounded sample: at most ``per_lang`` texts of each
-language, of which ``landmarks`` are landmarks. Everything else sees whole texts.
+language, of which ``landmarks`` are landmarks, and fewer with many languages, so
+that ``MOST_TEXTS`` and ``MOST_LANDMARKS`` bound both in total. A language keeps
+one text at least. Everything else sees whole texts.
 
 The best of K regressions is never below about 2/K - 1, so it cannot tell that a
 text is in none of the languages. That is told by the share of a text's distinct
@@ -26,12 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keytally.llm.tables import held_out, named_again, numbered, text_or_empty
+from keytally.llm.tables import held_out, named_again, numbered, small, stored, text_or_empty
 from keytally.llm.words import Chunk, chunks
 
 PER_LANG = 400
 LANDMARKS = 32
-MAX_LANGS = 1_000
+#: Bounds over all languages. With more languages than landmarks the first ones have one each.
+MOST_TEXTS = 16_000
+MOST_LANDMARKS = 1_024
+#: Entries of a presence matrix of rows by n-grams; longer batches are scored in parts.
+MOST_ENTRIES = 1 << 23
 RIDGE = 1e-3
 #: The cut is halfway between the known share that all but this part of the labelled
 #: texts exceed, and the one that all but this part stay below if the landmarks of
@@ -74,6 +80,16 @@ def gram_codes(chunk: Chunk) -> Iterator[np.ndarray]:
         yield placed
 
 
+def parts(chunk: Chunk, width: int) -> Iterator[Chunk]:
+    """The chunk in pieces whose presence matrices have at most ``MOST_ENTRIES`` entries, or one row."""
+    rows = len(chunk.offsets) - 1
+    step = max(1, MOST_ENTRIES // max(width, 1))
+    for low in range(0, rows, step):
+        places = chunk.offsets[low : low + step + 1]
+        high = low + len(places) - 1
+        yield Chunk(chunk.low + low, chunk.low + high, chunk.data[places[0] : places[-1]], places - places[0])
+
+
 class Model(NamedTuple):
     langs: list[str]
     column: np.ndarray  # code -> column of the presence matrix, 0 for none
@@ -120,6 +136,14 @@ def learned(share: np.ndarray, number: np.ndarray, cut: float) -> np.ndarray:
     return share >= cut - ERRORS * np.sqrt(cut * (1 - cut) / np.maximum(number, 1))
 
 
+def indices(langs: list[str]) -> dict[str, list[int]]:
+    """Which texts are in each language, by name."""
+    found: dict[str, list[int]] = {}
+    for i, lang in enumerate(langs):
+        found.setdefault(lang, []).append(i)
+    return dict(sorted(found.items()))
+
+
 def cut_of(grams: list[np.ndarray], langs: list[str], chosen: list[int]) -> float:
     """The least known share of texts in the learned languages, from the fitted texts themselves.
 
@@ -128,24 +152,28 @@ def cut_of(grams: list[np.ndarray], langs: list[str], chosen: list[int]) -> floa
     Where the two overlap, the clean texts decide.
     """
     having = np.zeros(CODES, np.int32)
-    by_lang: dict[str, list[int]] = {}
     for i in chosen:
-        by_lang.setdefault(langs[i], []).append(i)
         having[grams[i]] += 1
     marks = set(chosen)
+    several = len({langs[i] for i in chosen}) > 1
     clean, foreign = [], []
-    for name in sorted(set(langs)):
-        own = np.zeros(CODES, np.int32)
-        for i in by_lang[name]:
+    own = np.zeros(CODES, np.int32)
+    for name, texts in indices(langs).items():
+        marked = [i for i in texts if i in marks]
+        if not marked:
+            continue
+        for i in marked:
             own[grams[i]] += 1
-        for i in [k for k, lang in enumerate(langs) if lang == name]:
+        for i in texts:
             longest = grams[i][grams[i] >= _STARTS[2]]
             if not len(longest):
                 continue
             if len(chosen) > 1:
                 clean.append(np.mean(having[longest] > (i in marks)))
-            if len(by_lang) > 1:
+            if several:
                 foreign.append(np.mean(having[longest] > own[longest]))
+        for i in marked:
+            own[grams[i]] = 0
     low = float(np.quantile(clean, CLEAN_TAIL)) if clean else 0.0
     high = float(np.quantile(foreign, 1 - FOREIGN_TAIL)) if foreign else 0.0
     return min(low, (low + high) / 2)
@@ -158,34 +186,40 @@ def kernel(present: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 def fit(grams: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """One-versus-rest kernel ridge regression on Nystroem features of distinct codes per text.
 
-    The first ``landmarks`` texts of each language are the landmarks. Each
-    language has the same weight in every regression, however many texts it has.
+    The first ``landmarks`` texts of each language are the landmarks, or as many as
+    ``MOST_LANDMARKS`` allows. Each language has the same weight in every regression,
+    however many texts it has.
     """
-    names = sorted(set(langs))
-    chosen = [i for name in names for i in [k for k, lang in enumerate(langs) if lang == name][:landmarks]]
+    by_lang = indices(langs)
+    names = list(by_lang)
+    landmarks = min(landmarks, max(1, MOST_LANDMARKS // max(len(names), 1)))
+    chosen = [i for name in names[:MOST_LANDMARKS] for i in by_lang[name][:landmarks]]
     known = np.unique(np.concatenate([grams[i] for i in chosen])) if chosen else np.zeros(0, np.int64)
     column = np.zeros(CODES + 1, np.int32)
     column[known] = np.arange(1, len(known) + 1)
 
-    def presence(indices: list[int]) -> np.ndarray:
-        present = np.zeros((len(indices), len(known) + 1), np.float32)
-        for row, i in enumerate(indices):
+    def presence(texts: list[int]) -> np.ndarray:
+        present = np.zeros((len(texts), len(known) + 1), np.float32)
+        for row, i in enumerate(texts):
             present[row, column[grams[i]]] = 1
         present[:, 0] = 0
         return present
 
+    step = max(1, MOST_ENTRIES // (len(known) + 1))
     marks = presence(chosen)
     marks = (marks / np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))).T.copy()
     if not chosen:
         return Model(names, column, marks, np.zeros((0, 0), np.float32), 0.0)
-    values = np.concatenate([kernel(presence(list(range(k, min(k + 256, len(grams))))), marks) for k in range(0, len(grams), 256)])
+    values = np.concatenate([kernel(presence(list(range(k, min(k + step, len(grams))))), marks) for k in range(0, len(grams), step)])
     values = values.astype(np.float64)
     spread, basis = np.linalg.eigh(values[chosen])
     kept = spread > 1e-6 * spread.max()
     root = basis[:, kept] / np.sqrt(spread[kept])
     features = np.concatenate([values @ root, np.ones((len(values), 1))], 1)
-    target = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in langs])
-    share = np.array([langs.count(lang) for lang in langs], np.float64)
+    target = np.full((len(langs), len(names)), -1.0)
+    for k, name in enumerate(names):
+        target[by_lang[name], k] = 1.0
+    share = np.array([len(by_lang[lang]) for lang in langs], np.float64)
     weighted = features / share[:, None]
     size = features.shape[1]
     solved = np.linalg.solve(weighted.T @ features + ridge * np.eye(size), weighted.T @ target)
@@ -193,29 +227,34 @@ def fit(grams: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, r
     return Model(names, column, marks, weights, cut_of(grams, langs, chosen))
 
 
+def labelled(docs: DataFrame) -> DataFrame:
+    """``(doc_id, lang, text)`` of the rows that may be learned from: an id not held out, a language, a letter."""
+    rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
+    return rows.filter(F.rlike("text", F.lit(r"\p{L}")))
+
+
 def training_sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """``(doc_id, lang)`` of at most ``per_lang`` labelled documents per language, by hash of the id.
 
-    A language's rows are thinned by its count first, so no task sorts them all.
+    An id counts once in a language, however many rows have it. A language's ids are
+    thinned by their number first, so no task sorts them all.
     """
-    labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    labelled = labelled.select("doc_id", F.col("lang").cast("string").alias("lang"))
-    counts = labelled.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not counts:
-        return labelled.limit(0)
-    rates = docs.sparkSession.createDataFrame(
-        [(row["lang"], 2.0 * per_lang / row["count"]) for row in counts], "lang string, rate double"
-    )
+    ids = stored(labelled(docs).select("doc_id", "lang").distinct(), "labelled")
+    counts = stored(ids.groupBy("lang").count(), "languages")
+    per_lang = min(per_lang, max(1, MOST_TEXTS // max(counts.count(), 1)))
+    rates = counts.select("lang", (F.lit(2.0 * per_lang + 20) / F.col("count")).alias("rate"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
-    drawn = labelled.withColumn("draw", draw).join(F.broadcast(rates), "lang").filter("draw < rate")
+    drawn = ids.withColumn("draw", draw).join(small(rates), "lang").filter("draw < rate")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
-    return drawn.withColumn("rank", rank).filter(F.col("rank") <= per_lang).select("doc_id", "lang").distinct()
+    return drawn.withColumn("rank", rank).filter(F.col("rank") <= per_lang).select("doc_id", "lang")
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -> Model:
-    """Fit on the sampled documents' whole texts; their distinct n-grams are found on the executors."""
+    """Fit on the sampled documents' whole texts; their distinct n-grams are found on the executors.
+
+    Of rows that share an id and a language the smallest text is learned from.
+    """
 
     @F.arrow_udf("array<int>")
     def distinct_grams(texts: pa.Array) -> pa.Array:
@@ -227,15 +266,16 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS)
                 found.append(codes[codes >= 0])
         return pa.array(found, pa.list_(pa.int32()))
 
-    sample = training_sample(docs, per_lang)
-    texts = docs.select("doc_id", text_or_empty().alias("text")).filter(F.rlike("text", F.lit(r"\p{L}")))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "lang", distinct_grams("text").alias("grams"))
-    rows = sorted(rows.toArrow().to_pylist(), key=lambda row: (row["lang"], row["doc_id"]))
-    return fit([np.array(row["grams"], np.int64) for row in rows], [row["lang"] for row in rows], landmarks)
+    sample = stored(training_sample(docs, per_lang), "sample")
+    rows = labelled(docs).join(small(sample), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = rows.select("doc_id", "lang", distinct_grams("text").alias("grams")).toArrow()
+    rows = rows.sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+    grams = [codes.values.to_numpy().astype(np.int64) for codes in rows["grams"]]
+    return fit(grams, rows["lang"].to_pylist(), landmarks)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``lang_pred``, ``score`` and ``learned``; all columns of ``docs`` stay as they are.
+    """Add ``lang_pred``, ``score`` and ``learned``; all other columns of ``docs`` stay as they are.
 
     A text that is NULL or has no letter, and any text if nothing could be
     learned, is ``und`` with score 0 and not ``learned``. The score is the best
@@ -250,8 +290,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def judge(texts: pa.Array) -> pa.Array:
         model = Model(*shared.value)
         names, scores, kept = [], [], []
-        for chunk in chunks(texts):
-            present = _presence(chunk, model.column, len(model.landmarks))
+        width = len(model.landmarks)
+        for chunk in (part for whole in chunks(texts) for part in parts(whole, width)):
+            present = _presence(chunk, model.column, width)
             values = kernel(present, model.landmarks)
             found = values @ model.weights[:-1] + model.weights[-1]
             best = found.argmax(1)
