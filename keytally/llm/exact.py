@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keytally.llm.tables import named_again, numbered, small, stored, text_or_empty
+from keytally.llm.tables import named_again, numbered, one_of_repeated, small, stored, text_or_empty
 
 #: A digest is frequent if it holds at least this share of the rows.
 SHARE = 1 / 500
@@ -94,10 +94,17 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 
 
 def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of equal texts, all columns as they were."""
+    """``docs`` with one row of each group of equal texts, all columns as they were.
+
+    Of rows that repeat the id and text that stay, one stays, by a hash of its columns.
+    """
     groups = exact_groups(docs, id, text)
     gone = stored(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), "digest").distinct(), "copies")
     gone = gone.withColumnRenamed("digest", "_digest")
+    place = f"_{docs.columns.index(id)}"
     marked = numbered(docs).withColumn("_is", digest_of(f"_{docs.columns.index(text)}"))
-    same = F.col(f"_{docs.columns.index(id)}").eqNullSafe(F.col("_gone")) & (F.col("_is") == F.col("_digest"))
-    return marked.join(small(gone), same, "left_anti").select(*named_again(marked, docs))
+    same = F.col(place).eqNullSafe(F.col("_gone")) & (F.col("_is") == F.col("_digest"))
+    repeated = groups.filter("kept and group_size > 1").groupBy(F.col("doc_id").alias(place), F.col("digest").alias("_is"))
+    repeated = stored(repeated.count().filter("count > 1"), "repeated")
+    left = one_of_repeated(marked.join(small(gone), same, "left_anti"), [place, "_is"], repeated)
+    return left.select(*named_again(left, docs))

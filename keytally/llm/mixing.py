@@ -25,11 +25,10 @@ from functools import reduce
 from itertools import islice
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
 
-from keytally.llm.tables import named_again, numbered, small, stored
+from keytally.llm.tables import named_again, numbered, row_hash, small, stored
 
 BLOCK_ROWS = 16
 #: Rows that one task numbers together, on average.
@@ -128,16 +127,6 @@ def target_weights(docs: DataFrame, source: str = "source", power: float = 0.5,
     return {s: max(1, round(parts * n**power / scale)) for s, n in sorted(sizes.items(), key=lambda x: (x[0] is not OTHER, x[0] or ""))}
 
 
-def _hash(rows: DataFrame, seed: int) -> Column:
-    """Of all columns that can be hashed, so that rows which share an id or have none are spread."""
-    plain = [f.name for f in rows.schema.fields if not _has_map(f.dataType)]
-    return F.xxhash64(*plain, F.lit(seed))
-
-
-def _has_map(kind: DataType) -> bool:
-    return any(name in kind.simpleString() for name in ("map<", "variant"))
-
-
 def mix(
     docs: DataFrame,
     weights: dict,
@@ -165,7 +154,7 @@ def mix(
     names = [s for s in weights if s is not OTHER]
     pools = stored(spark.createDataFrame([*zip(names, range(len(names)))], "_name string, _pool int"), "pools")
     plain = numbered(docs)
-    hashed = _hash(plain, seed)
+    hashed = row_hash(plain, seed)
     id, source = (f"_{docs.columns.index(c)}" for c in (id, source))
     plain = plain.withColumn("_h", hashed).join(small(pools), F.col(source).cast("string") == F.col("_name"), "left")
     plain = plain.withColumn("_pool", F.coalesce("_pool", F.lit(len(names))))

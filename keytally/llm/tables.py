@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from keytally.session import work_dir
 
@@ -60,3 +61,30 @@ def numbered(docs: DataFrame) -> DataFrame:
 def named_again(rows: DataFrame, docs: DataFrame) -> list[Column]:
     """The columns of ``numbered(docs)`` in ``rows``, under their own names."""
     return [rows[f"_{i}"].alias(c) for i, c in enumerate(docs.columns)]
+
+
+def _has_map(kind: DataType) -> bool:
+    return any(name in kind.simpleString() for name in ("map<", "variant"))
+
+
+def row_hash(rows: DataFrame, seed: int = 42) -> Column:
+    """Of all columns that Spark can hash, so that rows which share an id or have none are told apart."""
+    return F.xxhash64(*[f.name for f in rows.schema.fields if not _has_map(f.dataType)], F.lit(seed))
+
+
+def one_of_repeated(rows: DataFrame, keys: list[str], repeated: DataFrame) -> DataFrame:
+    """``rows`` with one row of each that the stored table ``repeated`` has by ``keys``; all others stay.
+
+    The row of the smallest ``row_hash`` stays. Rows are combined before the shuffle, so a key may
+    have any number of them. Keys may be NULL.
+    """
+    if repeated.isEmpty():
+        return rows
+    named = repeated.select(*[F.col(k).alias(f"_repeated_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_repeated_{k}"))
+    several = rows.join(small(named), same, "left_semi")
+    one = F.min_by(F.struct(*rows.columns), row_hash(rows)).alias("_row")
+    once = several.groupBy(*keys).agg(one).select("_row.*")
+    return rows.join(small(named), same, "left_anti").unionByName(once)

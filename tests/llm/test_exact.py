@@ -4,6 +4,7 @@ from collections import Counter
 import brute
 import pyarrow as pa
 from keytally.llm import exact
+from pyspark.sql import functions as F
 
 
 def test_misra_gries_bounds():
@@ -51,3 +52,15 @@ def test_stage_keeps_the_first_of_each_text(spark, tiny):
     for doc_id in sorted(texts):
         first.setdefault(texts[doc_id], doc_id)
     assert sorted(r["doc_id"] for r in exact.drop_copies(tiny).select("doc_id").collect()) == sorted(first.values())
+
+
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(1, "x y", "a"), (1, "x y", "b"), (1, "x\ty", "c"), (None, "z", None), (None, "z", None), (2, "z z", None)]
+    rows += [(3, "x y", "a"), (None, None, "n"), (None, "", "m")] + [(9, "hot", "h")] * 500
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, kept string").repartition(4)
+    kept = exact.drop_copies(docs.withColumn("tags", F.create_map(F.lit("k"), F.col("kept"))))
+    assert kept.columns == ["doc_id", "text", "kept", "tags"]
+    got = Counter((r["doc_id"], brute.normal(r["text"])) for r in kept.collect())
+    assert got == {(1, "x y"): 1, (None, "z"): 1, (2, "z z"): 1, (None, ""): 1, (9, "hot"): 1}
+    again = exact.drop_copies(docs.repartition(2))
+    assert {r["kept"] for r in kept.collect()} >= {r["kept"] for r in again.filter("doc_id = 1").collect()}

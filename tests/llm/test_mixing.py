@@ -2,7 +2,7 @@ import random
 from fractions import Fraction
 
 import pytest
-from keytally.llm import mixing
+from keytally.llm import mixing, tables
 
 
 def _slots(blocks, weights):
@@ -102,7 +102,7 @@ def test_all_sources_are_scheduled(spark):
 
 def test_rows_without_an_id_are_spread(spark):
     docs = spark.createDataFrame([(None, "a", f"t{i}") for i in range(2_000)], "doc_id bigint, source string, text string")
-    hashes = mixing._hash(docs, 1).alias("h")
+    hashes = tables.row_hash(docs, 1).alias("h")
     assert docs.select(hashes).distinct().count() == 2_000
     got = mixing.mix(docs, {"a": 1}, block_rows=10, cell_rows=100).collect()
     assert {(r["mix_slot"], r["mix_at"]) for r in got} == {divmod(i, 10) for i in range(2_000)}
