@@ -104,7 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, part_rows:
     """Learn ``toxic`` from labelled rows that are not held out.
 
     Labels that are NULL and rows without an id are not learned from; of
-    labels for one id the largest counts. Without any row to learn from the
+    labels for one id the largest counts, and of rows that share an id the
+    smallest text, so a part has at most about ``part_rows`` texts. Without any row to learn from the
     model has no weights and gives the score 0.
     """
     known = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -114,6 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, part_rows:
     taken = known.withColumn("draw", draw).filter(F.col("draw") < 1.2 * rows / max(total, 1))
     taken = taken.orderBy("draw", "doc_id").limit(rows).select("doc_id", "toxic", "draw")
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(taken), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text"))
     parts = texts.select((F.col("draw") * (1 << 20)).cast("int").alias("part"), "text", "toxic", "doc_id")
     parts = parts.withColumn("part", F.pmod("part", F.lit(-(-min(total, rows) // part_rows) or 1)))
 

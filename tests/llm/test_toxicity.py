@@ -1,3 +1,6 @@
+import math
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from keytally.llm import toxicity
@@ -49,3 +52,52 @@ def test_edges(spark, edge_docs, no_docs):
     rows = toxicity.toxicity(edge_docs, labels.limit(0)).collect()
     assert {r["predicted"] for r in rows} == {0}
     assert toxicity.toxicity(no_docs, labels).count() == 0
+
+
+def _plain_ftrl(rows, labels, epochs):
+    """FTRL-proximal by one dictionary entry per coordinate, weights taken from the sums when asked for."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        sign = 1.0 if z[i] > 0 else -1.0
+        return -(z[i] - sign * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    share = min(max(sum(labels) / len(labels), 1e-3), 1 - 1e-3)
+    bias = math.log(share / (1 - share))
+    order = np.arange(len(rows))
+    for epoch in range(epochs):
+        np.random.default_rng(epoch).shuffle(order)
+        for k in order:
+            now = {i: weight(i) for i in rows[k].tolist()}
+            chance = 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(now.values())))))
+            gradient = chance - labels[k]
+            for i, w in now.items():
+                before = n.get(i, 0.0)
+                n[i] = before + gradient**2
+                z[i] = z.get(i, 0.0) + gradient - (n[i] ** 0.5 - before**0.5) / toxicity.ALPHA * w
+            bias -= 0.01 * gradient
+    return {i: weight(i) for i in z}, bias
+
+
+def test_ftrl_equals_its_plain_form():
+    rng = np.random.default_rng(8)
+    rows = [np.unique(rng.integers(0, 60, rng.integers(0, 12))) for _ in range(200)]
+    labels = np.array([float(3 in r.tolist() or rng.random() < 0.1) for r in rows])
+    for epochs in (1, 3):
+        weights, bias = toxicity.ftrl(rows, labels, 60, epochs=epochs)
+        want, plain_bias = _plain_ftrl(rows, labels, epochs)
+        assert np.allclose(weights, [want.get(i, 0.0) for i in range(60)], atol=1e-9) and abs(bias - plain_bias) < 1e-9
+        assert weights.any() and not weights.all()
+
+
+def test_a_repeated_id_is_one_text_to_learn_from(spark, monkeypatch):
+    """Each part has as many texts as ids; counted where the weights are learned, by the bias of a part of one text."""
+    rows = [(1, f"same id {i}", ) for i in range(800)] + [(4, "kind words"), (5, "rude words")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(1, 0), (4, 0), (5, 1)], "doc_id bigint, toxic int")
+    ids = [i for i in (1, 4, 5) if zlib.crc32(str(i).encode()) % 4 != 2]
+    model = toxicity.train(docs, labels)
+    once = toxicity.train(spark.createDataFrame([(1, "same id 0"), *rows[800:]], docs.schema), labels)
+    assert len(ids) > 1 and model.bias == once.bias and np.array_equal(model.weights, once.weights)
