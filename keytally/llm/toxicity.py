@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keytally.llm.tables import held_out, text_or_empty
+from keytally.llm.tables import held_out, one_of_repeated, stored, text_or_empty
 from keytally.llm.words import Chunk, chunks, mix, prefix_hashes, words
 
 TRAIN_ROWS = 16_000
@@ -104,8 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, part_rows:
     """Learn ``toxic`` from labelled rows that are not held out.
 
     Labels that are NULL and rows without an id are not learned from; of
-    labels for one id the largest counts, and of rows that share an id the
-    smallest text, so a part has at most about ``part_rows`` texts. Without any row to learn from the
+    labels for one id the largest counts, and of rows that share an id one
+    text, of the smallest hash, so a part has at most about ``part_rows`` texts. Without any row to learn from the
     model has no weights and gives the score 0.
     """
     known = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -113,9 +113,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, part_rows:
     total = known.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 31)) / float(1 << 31)
     taken = known.withColumn("draw", draw).filter(F.col("draw") < 1.2 * rows / max(total, 1))
-    taken = taken.orderBy("draw", "doc_id").limit(rows).select("doc_id", "toxic", "draw")
+    taken = stored(taken.orderBy("draw", "doc_id").limit(rows).select("doc_id", "toxic", "draw"), "taken")
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(taken), "doc_id")
-    texts = texts.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text"))
+    texts = texts.withColumn("h", F.xxhash64("text"))
+    # Texts themselves are combined only for the ids that have one more than once.
+    first = texts.groupBy("doc_id", "h").count().groupBy("doc_id").agg(F.min(F.struct("h", "count")).alias("f"))
+    first = stored(first.select("doc_id", "f.*"), "chosen")
+    texts = texts.join(F.broadcast(first.select("doc_id", "h")), ["doc_id", "h"])
+    texts = one_of_repeated(texts, ["doc_id"], first.filter("count > 1").select("doc_id"))
     parts = texts.select((F.col("draw") * (1 << 20)).cast("int").alias("part"), "text", "toxic", "doc_id")
     parts = parts.withColumn("part", F.pmod("part", F.lit(-(-min(total, rows) // part_rows) or 1)))
 

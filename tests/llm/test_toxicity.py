@@ -92,12 +92,16 @@ def test_ftrl_equals_its_plain_form():
         assert weights.any() and not weights.all()
 
 
-def test_a_repeated_id_is_one_text_to_learn_from(spark, monkeypatch):
-    """Each part has as many texts as ids; counted where the weights are learned, by the bias of a part of one text."""
-    rows = [(1, f"same id {i}", ) for i in range(800)] + [(4, "kind words"), (5, "rude words")]
+def test_a_repeated_id_is_one_text_to_learn_from(spark):
+    """Repeated rows give the model of the distinct ones, and different texts of one id that of one of them."""
+    rows = [(1, "same id")] * 800 + [(4, "kind words")] * 3 + [(4, "kind words"), (5, "rude words")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     labels = spark.createDataFrame([(1, 0), (4, 0), (5, 1)], "doc_id bigint, toxic int")
     ids = [i for i in (1, 4, 5) if zlib.crc32(str(i).encode()) % 4 != 2]
     model = toxicity.train(docs, labels)
-    once = toxicity.train(spark.createDataFrame([(1, "same id 0"), *rows[800:]], docs.schema), labels)
+    once = toxicity.train(spark.createDataFrame([*set(rows)], docs.schema), labels)
     assert len(ids) > 1 and model.bias == once.bias and np.array_equal(model.weights, once.weights)
+    several = spark.createDataFrame([(1, f"same id {i}") for i in range(50)] + rows[800:], docs.schema)
+    again = toxicity.train(several, labels)
+    single = [toxicity.train(spark.createDataFrame([(1, f"same id {i}"), *set(rows[800:])], docs.schema), labels) for i in (0, 49)]
+    assert again.bias == single[0].bias == single[1].bias
