@@ -40,6 +40,8 @@ FEW_PAIRS, MOST_PAIRS = 45, 10_000_000
 BLOCK = 1_000
 #: Rows handed to Python at a time.
 BATCH_ROWS = 1_000
+#: Rows of a chunk whose darts are held together; each has some thousand, however short it is.
+DART_ROWS = 64
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xA0761D6478BD642F)
@@ -155,7 +157,12 @@ def sketch(text: Column, width: int = WIDTH, bands: int = BANDS, per_band: int =
             rows = chunk.high - chunk.low
             row, values, counts = shingle_sets(chunk, width)
             weights = counts.astype(np.float64) if counted else np.ones(len(row))
-            found = band_keys(dart_minhash(values, weights, row, rows, bands * per_band), bands, per_band)
+            found = []
+            for low in range(0, rows, DART_ROWS):
+                a, b = np.searchsorted(row, (low, low + DART_ROWS))
+                number = min(DART_ROWS, rows - low)
+                ids = dart_minhash(values[a:b], weights[a:b], row[a:b] - low, number, bands * per_band)
+                found += [*band_keys(ids, bands, per_band)]
             some = np.bincount(row, minlength=rows) > 0
             digests += [pair.tobytes() for pair in _fingerprint(chunk)]
             keys += [k if any_ else k[:0] for k, any_ in zip(found, some)]
