@@ -38,6 +38,8 @@ BANDS, ROWS = 40, 7
 #: members; beyond, it is joined by rare shingles. No way loses a link.
 FEW_PAIRS, MOST_PAIRS = 45, 10_000_000
 BLOCK = 1_000
+#: Shingles on either side of a block, so that long texts make smaller blocks.
+BLOCK_SHINGLES = 1_000_000
 #: Rows handed to Python at a time.
 BATCH_ROWS = 1_000
 #: Rows of a chunk whose darts are held together; each has some thousand, however short it is.
@@ -173,14 +175,22 @@ def sketch(text: Column, width: int = WIDTH, bands: int = BANDS, per_band: int =
     return of.asNondeterministic()(F.lower(text))
 
 
-def shingle_set(text: Column, width: int = WIDTH) -> Column:
-    """The distinct shingles of a text, as 64-bit hashes."""
+def shingle_set(text: Column, width: int = WIDTH, counted: bool = False) -> Column:
+    """The distinct shingles of a text, as 64-bit hashes.
+
+    With ``counted`` each further occurrence of a shingle is an element of its own, the
+    same in every text, so that the Jaccard similarity of two sets is the weighted one.
+    """
 
     @F.arrow_udf("array<bigint>")
     def of(texts: pa.Array) -> pa.Array:
         parts = [pa.array([], pa.list_(pa.int64()))]
         for chunk in chunks(texts):
-            row, values, _ = shingle_sets(chunk, width)
+            row, values, counts = shingle_sets(chunk, width)
+            if counted:
+                at = np.repeat(np.arange(len(values)), counts)
+                again = (np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
+                row, values = row[at], np.where(again > 0, mix(values[at] + again * _OTHER), values[at])
             ends = np.searchsorted(row, np.arange(chunk.high - chunk.low + 1)).astype(np.int32)
             parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64))))
         return pa.concat_arrays(parts)
@@ -193,11 +203,11 @@ def jaccard(a: str, b: str) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, counted: bool) -> DataFrame:
     """The pairs ``(a, b)`` whose shingle sets are similar; only their documents' texts are read again."""
     nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
     texts = docs.join(small(nodes), docs["_id"] == nodes["node"], "left_semi")
-    sets = stored(texts.select("_id", shingle_set(F.col("_text")).alias("set")), "sets", BATCH_ROWS)
+    sets = stored(texts.select("_id", shingle_set(F.col("_text"), counted=counted).alias("set")), "sets", BATCH_ROWS)
     left = pairs.join(sets.select(F.col("_id").alias("a"), F.col("set").alias("left")), "a")
     both = left.join(sets.select(F.col("_id").alias("b"), F.col("set").alias("right")), "b")
     return both.filter(jaccard("left", "right") >= similarity).select("a", "b")
@@ -212,11 +222,13 @@ def near_groups(
     per_band: int = ROWS,
     few_pairs: int = FEW_PAIRS,
     most_pairs: int = MOST_PAIRS,
+    counted: bool = False,
 ) -> DataFrame:
     """``(doc_id, class_id, class_size, kept)``, one row per row of ``docs``.
 
     Ids are integers. Two texts are linked if the Jaccard similarity of their sets
-    of five-word shingles is at least ``similarity``; a class is a connected
+    of five-word shingles is at least ``similarity``; with ``counted`` a shingle weighs
+    as much as it has occurrences and the weighted similarity counts. A class is a connected
     component and its id the smallest ``doc_id`` in it, which is kept. Words are
     lower-cased runs of letters and digits; a text of fewer than five words is one
     shingle. A text without words, NULL included, is linked to none, and so is a row
@@ -224,7 +236,7 @@ def near_groups(
     an id are one document: their texts share a class. Other columns are not read.
     """
     plain = docs.select(F.col(id).cast("bigint").alias("_id"), text_or_empty(text).alias("_text"))
-    sketches = plain.withColumn("_s", sketch(F.col("_text"), bands=bands, per_band=per_band)).select("_id", "_s.*")
+    sketches = plain.withColumn("_s", sketch(F.col("_text"), bands=bands, per_band=per_band, counted=counted)).select("_id", "_s.*")
     sketches = stored(sketches, "sketches", BATCH_ROWS)
     usable = sketches.filter(F.col("_id").isNotNull() & (F.size("keys") > 0))
     same = usable.groupBy("digest").agg(F.min("_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -241,7 +253,7 @@ def near_groups(
     leaders = crowded.join(met, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("back"))).alias("most"))
     stars = crowded.join(leaders.select("key", (-F.col("most.back")).alias("leader")), "key").filter("node <> leader")
     stars = stored(stars.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "stars")
-    links = stored(_verified(stars, plain, similarity), "links")
+    links = stored(_verified(stars, plain, similarity, counted), "links")
     placed = components(links)
 
     # What is left in different components of one bucket, against each other.
@@ -249,9 +261,9 @@ def near_groups(
     members = members.select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     members = stored(members.join(mixed.select("key"), "key"), "members")
-    rest, more = _crossing(members, plain, similarity, few_pairs, most_pairs)
+    rest, more = _crossing(members, plain, similarity, few_pairs, most_pairs, counted)
     rest = stored(rest.distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    more = more.unionByName(_verified(rest, plain, similarity))
+    more = more.unionByName(_verified(rest, plain, similarity, counted))
 
     everything = components(links.unionByName(more).unionByName(copies.select("a", "b")))
     sizes = everything.groupBy("root").agg(F.count(F.lit(1)).alias("class_size"))
@@ -267,7 +279,7 @@ def near_groups(
 
 
 def _crossing(
-    members: DataFrame, docs: DataFrame, similarity: float, few_pairs: int, most_pairs: int
+    members: DataFrame, docs: DataFrame, similarity: float, few_pairs: int, most_pairs: int, counted: bool
 ) -> tuple[DataFrame, DataFrame]:
     """Of a bucket's members ``(key, node, root)`` with different roots: pairs to verify, and links.
 
@@ -286,11 +298,11 @@ def _crossing(
     pairs = F.col("pairs")
     few = _across(members.join(sizes.filter(pairs <= few_pairs).select("key"), "key"), ["key"])
     between = sizes.filter((pairs > few_pairs) & (pairs <= most_pairs)).drop("pairs")
-    links = _block_links(members.join(between, "key"), docs, similarity)
+    links = _block_links(members.join(between, "key"), docs, similarity, counted)
     many = sizes.filter(pairs > most_pairs).select("key")
     if many.isEmpty():
         return few, links
-    return few.unionByName(_rare_pairs(members.join(many, "key"), docs, similarity)), links
+    return few.unionByName(_rare_pairs(members.join(many, "key"), docs, similarity, counted)), links
 
 
 def _across(rows: DataFrame, on: list[str]) -> DataFrame:
@@ -299,35 +311,46 @@ def _across(rows: DataFrame, on: list[str]) -> DataFrame:
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
-def _sets_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def _sets_of(rows: DataFrame, docs: DataFrame, counted: bool) -> DataFrame:
     """``(node, set)`` of the nodes in a stored table."""
     nodes = stored(rows.select("node").distinct(), "nodes")
     texts = docs.join(small(nodes), docs["_id"] == nodes["node"], "left_semi")
-    return stored(texts.select(F.col("_id").alias("node"), shingle_set(F.col("_text")).alias("set")), "node-sets", BATCH_ROWS)
+    return stored(
+        texts.select(F.col("_id").alias("node"), shingle_set(F.col("_text"), counted=counted).alias("set")),
+        "node-sets",
+        BATCH_ROWS,
+    )
 
 
-def _block_links(large: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+def _block_links(large: DataFrame, docs: DataFrame, similarity: float, counted: bool) -> DataFrame:
     """Links of the members outside their bucket's main component, with any other, by blocks.
 
-    A block has about ``BLOCK`` members on either side, whatever the bucket
-    holds. Of a member's links to one component the first is enough.
+    A block has about ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles on either side,
+    whatever the bucket holds. Of a member's links to one component the first is enough.
     """
     large = stored(large, "large-buckets")
+    sets = _sets_of(large, docs, counted)
+    outer = F.when(F.col("root") != F.col("main"), F.col("size"))
+    heavy = large.join(sets.select("node", F.size("set").cast("bigint").alias("size")), "node").groupBy("key").agg(
+        F.sum("size").alias("weight"), F.sum(outer).alias("outer_weight")
+    )
+    large = stored(large.join(heavy, "key"), "weighed-buckets")
 
-    def blocks(n: Column) -> Column:
-        return F.ceil(n / BLOCK).cast("int")
+    def blocks(n: Column, weight: Column) -> Column:
+        return F.ceil(F.greatest(n / BLOCK, weight / BLOCK_SHINGLES)).cast("int")
 
-    outside = F.col("n") - F.col("c")
-    place = F.pmod(F.hash("node"), F.greatest(blocks(F.col("n")), F.lit(1)))
+    across = blocks(F.col("n"), F.col("weight"))
+    down = blocks(F.col("n") - F.col("c"), F.col("outer_weight"))
+    place = F.pmod(F.hash("node"), across)
     left = large.filter("root <> main").select(
-        "key", "node", "root", F.explode(F.sequence(F.lit(0), blocks(F.col("n")) - 1)).alias("i"),
-        F.pmod(F.hash("node"), blocks(outside)).alias("j"), F.lit(True).alias("asks"),
+        "key", "node", "root", F.explode(F.sequence(F.lit(0), across - 1)).alias("i"),
+        F.pmod(F.hash("node"), down).alias("j"), F.lit(True).alias("asks"),
     )
     right = large.select(
         "key", "node", "root", place.alias("i"),
-        F.explode(F.sequence(F.lit(0), blocks(outside) - 1)).alias("j"), F.lit(False).alias("asks"),
+        F.explode(F.sequence(F.lit(0), down - 1)).alias("j"), F.lit(False).alias("asks"),
     )
-    rows = left.unionByName(right).join(_sets_of(large, docs), "node")
+    rows = left.unionByName(right).join(sets, "node")
 
     def compare(block: pa.Table) -> pa.Table:
         block = block.sort_by("node")
@@ -357,9 +380,9 @@ def _block_links(large: DataFrame, docs: DataFrame, similarity: float) -> DataFr
     return stored(grouped.applyInArrow(compare, "a bigint, b bigint"), "block-links")
 
 
-def _rare_pairs(large: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+def _rare_pairs(large: DataFrame, docs: DataFrame, similarity: float, counted: bool) -> DataFrame:
     large = stored(large, "largest-buckets")
-    spread = large.join(_sets_of(large, docs), "node").select(
+    spread = large.join(_sets_of(large, docs, counted), "node").select(
         "key", "node", "root", F.size("set").alias("n"), F.explode("set").alias("shingle")
     )
     spread = stored(spread, "large-shingles")
@@ -406,12 +429,13 @@ def _told_apart(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class of near duplicates, all columns as they were.
 
-    Different texts under one id are documents of their own here.
+    Shingles weigh as much as they occur. Different texts under one id are documents of
+    their own here.
     """
     apart = _told_apart(docs)
     if "_own" not in apart.columns:
         apart = apart.withColumn("_own", F.col("_id"))
-    gone = near_groups(apart, id="_own").filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_groups(apart, id="_own", counted=True).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     gone = stored(gone, "near")
     keys = apart.join(small(gone), apart["_own"] == gone["_gone"], "left_semi").select(F.col("_id").alias("_gone"), "_sha")
     keys = stored(keys.distinct(), "near-rows").withColumnRenamed("_sha", "_gone_sha")

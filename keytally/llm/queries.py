@@ -35,7 +35,7 @@ def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_groups(table(spark, sf_dir, "documents"))
+    return near.near_groups(table(spark, sf_dir, "documents"), counted=True)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

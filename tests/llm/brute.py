@@ -21,9 +21,18 @@ def shingles(text: str | None) -> frozenset:
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def near_classes(docs: dict[int, str | None], similarity: float = 0.8) -> dict[int, int]:
+def counted_shingles(text: str | None) -> frozenset:
+    w, seen, found = words(text), Counter(), []
+    for i in range(max(1, len(w) - 4) if w else 0):
+        shingle = tuple(w[i : i + 5])
+        seen[shingle] += 1
+        found.append((shingle, seen[shingle]))
+    return frozenset(found)
+
+
+def near_classes(docs: dict[int, str | None], similarity: float = 0.8, sets_of=shingles) -> dict[int, int]:
     """The smallest id of each id's component, by similarities of all pairs that share a shingle."""
-    sets = {d: shingles(text) for d, text in docs.items()}
+    sets = {d: sets_of(text) for d, text in docs.items()}
     parent = {d: d for d in docs}
 
     def find(x: int) -> int:

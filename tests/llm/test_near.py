@@ -75,6 +75,38 @@ def test_classes_equal_brute_force(spark, few, most):
     assert all((r["class_size"], r["kept"]) == (sizes[d], want[d] == d) for d, r in got.items())
 
 
+def _refrains() -> dict[int, str]:
+    """Texts with a refrain of up to forty rounds: near copies by their sets, far apart by their counts, or the reverse."""
+    rng = random.Random(11)
+    docs: dict[int, str] = {}
+    for family in range(12):
+        refrain = [f"r{family}x{i}" for i in range(rng.randrange(3, 9))]
+        verse = [f"v{family}x{i}" for i in range(rng.randrange(20, 60))]
+        for _ in range(8):
+            own = list(verse)
+            own[rng.randrange(len(own))] = f"o{rng.randrange(10)}"
+            docs[len(docs)] = " ".join(own + refrain * rng.choice([1, 2, 10, 11, 40]))
+    return docs
+
+
+@pytest.mark.parametrize("few, most", [(45, 10_000_000), (0, 10_000_000), (0, 0)])
+def test_weighted_classes_equal_brute_force(spark, few, most):
+    docs = _refrains()
+    want = brute.near_classes(docs, sets_of=brute.counted_shingles)
+    assert want != brute.near_classes(docs)
+    frame = spark.createDataFrame([*docs.items()], "doc_id bigint, text string").repartition(4)
+    got = near.near_groups(frame, few_pairs=few, most_pairs=most, counted=True).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
+def test_blocks_of_few_shingles_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 200)
+    docs = _family()
+    frame = spark.createDataFrame([*docs.items()], "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in near.near_groups(frame, few_pairs=0).collect()}
+    assert got == brute.near_classes(docs)
+
+
 def test_edges(edge_docs, no_docs):
     got = [(r["doc_id"] or 0, r["class_id"], r["kept"]) for r in near.near_groups(edge_docs).collect()]
     assert len(got) == edge_docs.count()
