@@ -18,19 +18,30 @@ from pyspark.sql.streaming import StreamingQuery
 from keytally.operators.counting import expand_ranges
 from keytally.streaming.counts import AVAILABLE_NOW, path_exists, state_settings
 
-_COMBINED = "key string, at timestamp, weight bigint, brought bigint"
-#: Combined rows that a task holds before it combines them again.
-_HELD_ROWS = 1 << 20
+_COMBINED = "key string, weight bigint, brought bigint"
+#: Rows that a task holds before it combines them.
+_HELD_ROWS = 1 << 18
+#: For each partition of the state so many tasks combine a micro-batch's records, each of which holds its keys.
+_SPREAD = 16
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    summed = table.group_by(["key", "at"]).aggregate([("weight", "sum"), ("brought", "sum")])
-    return summed.rename_columns(["key", "at", "weight", "brought"])
+def _sum(tables: list[pa.Table]) -> pa.Table:
+    whole = pa.concat_tables(tables, promote_options="default")
+    summed = whole.group_by("key", use_threads=False).aggregate([("weight", "sum"), ("brought", "sum")])
+    return summed.rename_columns(["key", "weight", "brought"])
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each key of every ``_HELD_ROWS`` rows, or a few more."""
+    held, rows = [], 0
     for batch in batches:
-        yield from _sum(pa.Table.from_batches([batch])).to_batches()
+        held.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        if rows >= _HELD_ROWS:
+            yield from _sum(held).to_batches()
+            held, rows = [], 0
+    if held:
+        yield from _sum(held).to_batches()
 
 
 def _combine_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,30 +51,31 @@ def _combine_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(pa.Table.from_batches([batch]))
         rows += batch.num_rows
         if rows > limit:
-            held = [_sum(pa.concat_tables(held, promote_options="default"))]
+            held = [_sum(held)]
             rows, limit = held[0].num_rows, max(_HELD_ROWS, 2 * held[0].num_rows)
     if held:
-        yield from _sum(pa.concat_tables(held, promote_options="default")).to_batches()
+        yield from _sum(held).to_batches()
 
 
 def stream_totals(rows: DataFrame, initial: DataFrame | None = None, key: str = "key", partitions: int | None = None) -> DataFrame:
     """The stream ``(key, base, cnt)``: for each key of a micro-batch its count before and its new records.
 
-    Records are combined inside each Arrow batch and again after a shuffle by
-    key, so that a micro-batch hands one row per key to the state; what it brought
+    Records are combined in stretches of a task's rows and again after a shuffle by
+    key, in ``_SPREAD`` times as many tasks as the state has partitions, so that a micro-batch hands one row per key to the state; what it brought
     is then that with the latest batch time. ``initial`` is a stream ``(key, n)``
     of which the first micro-batch has to hold all; it counts, but emits nothing.
     If the clock was put back between two micro-batches the query fails instead
     of counting wrongly, and can be started again once the clock has caught up.
     """
     number = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one, at = F.lit(1).cast("bigint"), F.current_timestamp().alias("at")
-    given = rows.select(F.col(key).cast("string").alias("key"), at, one.alias("weight"), one.alias("brought"))
+    one = F.lit(1).cast("bigint")
+    given = rows.select(F.col(key).cast("string").alias("key"), one.alias("weight"), one.alias("brought"))
     if initial is not None:
         held = F.col("n").cast("bigint").alias("weight")
-        state = initial.select(F.col(key).cast("string").alias("key"), at, held, F.lit(0).cast("bigint").alias("brought"))
+        state = initial.select(F.col(key).cast("string").alias("key"), held, F.lit(0).cast("bigint").alias("brought"))
         given = given.unionByName(state)
-    each = given.mapInArrow(_combine, _COMBINED).repartition(number, "key").mapInArrow(_combine_all, _COMBINED)
+    few = given.mapInArrow(_combine, _COMBINED).repartition(number * _SPREAD, "key").mapInArrow(_combine_all, _COMBINED)
+    each = few.withColumn("at", F.current_timestamp())
     state = each.groupBy("key").agg(
         F.sum("weight").alias("total"), F.max(F.struct("at", "brought")).alias("last"), F.min("at").alias("since")
     )

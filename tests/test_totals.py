@@ -1,3 +1,5 @@
+import os
+import uuid
 from collections import Counter
 
 import pytest
@@ -107,3 +109,36 @@ def test_keys_are_combined_before_the_state(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(rows) == 9 and sum(r["weight"] for r in rows) == 500
+
+
+def test_a_task_combines_a_share_of_its_partitions_keys(spark, root, monkeypatch):
+    """What Python holds of a micro-batch is far less than a partition of the state, and repeated keys are combined before the shuffle."""
+    monkeypatch.setattr(totals, "_HELD_ROWS", 100)
+    monkeypatch.setattr(totals, "expand_ranges", lambda ranges, **_: ranges)
+    combine_all = totals._combine_all
+
+    def held(batches):
+        rows = list(batches)
+        if rows:
+            open(f"{marks}/{uuid.uuid4().hex}", "w").write(str(sum(b.num_rows for b in rows)))
+        yield from combine_all(rows)
+
+    marks = root.removeprefix("file://") + "/marks"
+    os.makedirs(marks)
+    monkeypatch.setattr(totals, "_combine_all", held)
+    totals.start_totals(drop(spark, root, [str(i % 1600) for i in range(4800)]), f"{root}/out", f"{root}/checkpoint", partitions=2).awaitTermination()
+    marked = [int(open(f"{marks}/{name}").read()) for name in os.listdir(marks)]
+    assert len(marked) > 16 and max(marked) < 600
+    assert totals.read_totals(spark, f"{root}/checkpoint").agg(F.sum("n"), F.count("n")).first() == (4800, 1600)
+
+
+def test_records_are_combined_over_several_batches(spark):
+    """Before the shuffle a key is handed on once for many Arrow batches, not once for each."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        one = F.lit(1).cast("bigint")
+        given = spark.range(500).coalesce(1).select((F.col("id") % 9).cast("string").alias("key"), one.alias("weight"), one.alias("brought"))
+        rows = given.mapInArrow(totals._combine, "key string, weight bigint, brought bigint").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 9 and sum(r["weight"] for r in rows) == 500
