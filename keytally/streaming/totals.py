@@ -137,7 +137,9 @@ def read_totals(spark: SparkSession, checkpoint: str, batch_id: int | None = Non
     reader = spark.read.format("statestore")
     if batch_id is not None:
         reader = reader.option("batchId", batch_id)
-    return reader.load(checkpoint).select(F.col("key.key").alias("key"), F.col("value.sum").alias("n"))
+    with state_settings(spark, None):
+        state = reader.load(checkpoint)
+    return state.select(F.col("key.key").alias("key"), F.col("value.sum").alias("n"))
 
 
 def changed_totals(spark: SparkSession, checkpoint: str, before: int, after: int) -> DataFrame:

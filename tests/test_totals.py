@@ -142,3 +142,15 @@ def test_records_are_combined_over_several_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(rows) == 9 and sum(r["weight"] for r in rows) == 500
+
+
+def test_state_is_written_and_read_without_counting_its_keys(spark, root, monkeypatch):
+    """The number of keys would cost a look-up for each write; -1 says that it is not kept."""
+    name = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+    seen, load = [], type(spark.read).load
+    monkeypatch.setattr(type(spark.read), "load", lambda self, *a, **b: seen.append(spark.conf.get(name)) or load(self, *a, **b))
+    query = totals.start_totals(drop(spark, root, FIRST), f"{root}/out", f"{root}/checkpoint", partitions=3)
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < len(set(FIRST))
+    assert dict(totals.read_totals(spark, f"{root}/checkpoint").collect()) == Counter(FIRST)
+    assert seen == ["false"] and spark.conf.get(name, None) in (None, "true")
