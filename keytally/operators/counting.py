@@ -14,6 +14,10 @@ from keytally.session import stored
 
 #: A key of more rows is numbered in stretches; rows of a stretch, about.
 STRETCH_ROWS = 1 << 20
+#: Rows of long keys that go to one range, about: small beside a task's rows, so that tasks get like shares.
+RANGE_STRETCH_ROWS = 1 << 18
+#: Rows that a task sorts and numbers, about, besides a few keys or stretches more that fall to it by hash.
+TASK_ROWS = 1 << 21
 #: Long keys that are broadcast; more of them are joined by a shuffle, with the same result.
 BROADCAST_KEYS = 100_000
 #: Rows that a counted range is spread in, and made in.
@@ -35,29 +39,36 @@ def merge_state(*states: DataFrame, key: str = "key") -> DataFrame:
     return final_count(merged, key, weight="n")
 
 
-def _lifted(rows: DataFrame, lifts: DataFrame | None, place: list[str], order: list[str]) -> DataFrame:
-    """``rows`` and ``n``, their place in their group plus the group's ``_base``.
+def _lifted(rows: DataFrame, size: int, lifts: DataFrame | None, place: list[str], order: list[str]) -> DataFrame:
+    """The ``size`` ``rows`` and ``n``, their place in their group plus the group's ``_base``.
 
     A base is one more row of its group that comes first and weighs what it
     holds, so it goes along with the shuffle of the rows and nothing is joined.
+    Many rows are dealt out over more tasks than the session shuffles to, so
+    that what a task sorts does not grow with the input.
     """
     weighed = rows.withColumns({"_is_row": F.lit(1), "_weight": F.lit(1).cast("bigint")})
     if lifts is not None:
         bases = lifts.select(*place, F.lit(0).alias("_is_row"), F.col("_base").alias("_weight"))
         weighed = weighed.unionByName(bases, allowMissingColumns=True)
+    if size > TASK_ROWS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        weighed = weighed.repartition(-(-size // TASK_ROWS), *place)
     upto = Window.partitionBy(*place).orderBy("_is_row", *order).rowsBetween(Window.unboundedPreceding, 0)
     return weighed.withColumn("n", F.sum("_weight").over(upto)).filter("_is_row = 1").drop("_is_row", "_weight")
 
 
-def long_keys(rows: DataFrame, key: str, stretch_rows: int) -> tuple[DataFrame, int, int]:
-    """A stored table ``(_long)`` of the keys with more than ``stretch_rows`` rows, their number and rows.
+def long_keys(rows: DataFrame, key: str, stretch_rows: int) -> tuple[DataFrame, int, int, int]:
+    """A stored table ``(_long)`` of the keys with more than ``stretch_rows`` rows, their number and rows, and the other keys' rows.
 
     There are at most (all rows) / ``stretch_rows`` of them.
     """
-    found = final_count(rows, key).filter(F.col("n") > stretch_rows).select(F.col(key).alias("_long"), "n")
-    found = stored(found, "long-keys")
-    number, size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return found.select("_long"), number, size
+    is_long = F.col("n") > stretch_rows
+    marked = final_count(rows, key).select(is_long.alias("_is_long"), F.when(is_long, F.col(key)).alias("_long"), "n")
+    # One row for each long key, and one for all others together.
+    found = stored(marked.groupBy("_is_long", "_long").agg(F.sum("n").alias("n")), "long-keys")
+    of_long, of_rest = F.sum(F.when(F.col("_is_long"), F.col("n"))), F.sum(F.when(~F.col("_is_long"), F.col("n")))
+    number, size, rest = found.agg(F.count_if("_is_long"), F.coalesce(of_long, F.lit(0)), F.coalesce(of_rest, F.lit(0))).first()
+    return found.filter("_is_long").select("_long"), number, size, rest
 
 
 def running_count(
@@ -87,22 +98,22 @@ def running_count(
     state = None
     if initial is not None:
         state = initial.select(F.col(key).cast(rows.schema[key].dataType).alias(key), F.col("n").cast("bigint").alias("_base"))
-    keys, number, size = long_keys(rows, key, stretch_rows)
+    keys, number, size, others = long_keys(rows, key, stretch_rows)
     if not number:
-        return _lifted(rows, state, [key], order)
+        return _lifted(rows, others, state, [key], order)
     keys = F.broadcast(keys) if number <= BROADCAST_KEYS else keys
     is_long = F.col(key).eqNullSafe(F.col("_long"))
     rest, held = rows.join(keys, is_long, "left_anti"), None
     if state is not None:
         state, held = state.join(keys, is_long, "left_anti"), state.join(keys, is_long, "left_semi")
-    short = _lifted(rest, state, [key], order)
+    short = _lifted(rest, others, state, [key], order)
     return short.unionByName(_count_long(rows.join(keys, is_long, "left_semi"), size, key, order, held))
 
 
 def in_stretches(rows: DataFrame, size: int, key: str, order: list[str]) -> DataFrame:
     """``size`` rows stored by ranges of key and arrival, with the number of their range, ``_stretch``."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(max(parts, -(-size // STRETCH_ROWS)), key, *order)
+    dealt = rows.repartitionByRange(max(parts, -(-size // RANGE_STRETCH_ROWS)), key, *order)
     # The bounds are sampled anew each time, so the stretches hold only once they are stored.
     return stored(dealt.withColumn("_stretch", F.spark_partition_id()), "stretches")
 
@@ -115,7 +126,7 @@ def _count_long(rows: DataFrame, size: int, key: str, order: list[str], state: D
     # A key has a row here for each stretch, so never more than there are partitions.
     earlier = Window.partitionBy(key).orderBy("_stretch").rangeBetween(Window.unboundedPreceding, -1)
     lifts = sums.withColumn("_base", F.sum("_c").over(earlier)).filter("_stretch >= 0 and _base > 0")
-    return _lifted(placed, lifts, [key, "_stretch"], order).drop("_stretch")
+    return _lifted(placed, size, lifts, [key, "_stretch"], order).drop("_stretch")
 
 
 def running_count_by_window(rows: DataFrame, key: str = "key", seq: str | list[str] = "seq") -> DataFrame:

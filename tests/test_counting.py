@@ -125,6 +125,19 @@ def test_a_row_costs_the_same_in_many_stretches(spark):
     assert "Join" not in long_side and "lambda" not in plan
 
 
+@pytest.mark.parametrize("stretch_rows", [1 << 20, 100])
+def test_a_task_numbers_no_more_rows_of_a_larger_input(spark, monkeypatch, stretch_rows):
+    """Short keys and stretches of long ones alike; the session's number of shuffle partitions stays."""
+    monkeypatch.setattr("keytally.operators.counting.TASK_ROWS", 200)
+    monkeypatch.setattr("keytally.operators.counting.RANGE_STRETCH_ROWS", 50)
+    for size in (4_000, 16_000):
+        df = spark.range(size).select(F.col("id").alias("seq"), F.when(F.col("id") % 4 == 0, "hot").otherwise((F.col("id") % 997).cast("string")).alias("key"))
+        counted = running_count(df, stretch_rows=stretch_rows)
+        tasks = counted.filter("key <> 'hot'" if stretch_rows > size else "key = 'hot'").groupBy(F.spark_partition_id()).count()
+        assert max(r["count"] for r in tasks.collect()) < 600
+        assert counted.exceptAll(running_count_by_window(df)).count() == 0 and counted.count() == size
+
+
 def test_repeated_state_of_a_key_adds_up(spark):
     df = spark.createDataFrame([(i, "k") for i in range(20)] + [(20, "one")], SCHEMA)
     state = spark.createDataFrame([("k", 5), ("k", 6), ("one", 1), ("one", 2)], "key string, n bigint")
